@@ -107,10 +107,15 @@ def in_session(rows: DataFrame, ts: str = "ts", **window: str) -> DataFrame:
 
 
 def minute_signals(rolled: DataFrame) -> DataFrame:
-    """Signals of the trading loop: close-all override, strikes, ids, cycle number and
-    clock flags. ``rolled`` holds one row per symbol, timeframe and ``minute``."""
+    """Signals of the trading loop, with their cycle number. ``rolled`` holds one row per
+    symbol, timeframe and ``minute``."""
+    return number_cycles(clocked_signals(rolled))
+
+
+def clocked_signals(rolled: DataFrame) -> DataFrame:
+    """Close-all override, strikes, ids and clock flags."""
     local = clock.local_time(F.col("minute"))
-    flagged = rolled.select(
+    return rolled.select(
         "symbol", "tf", "minute", local.alias("local_ts"),
         local.cast("date").alias("session_date"),
         "OSCI", "MA", "BUY", "SELL", "NEUTRAL", "FPRICE",
@@ -121,7 +126,6 @@ def minute_signals(rolled: DataFrame) -> DataFrame:
         ids.cycle_id(F.col("symbol"), F.col("minute")).alias("SID"),
         ids.signal_id(F.col("symbol"), F.col("tf"), F.col("minute")).alias("UID"),
     ).withColumn("PSP", strikes.put_strike(F.col("CSP")))
-    return number_cycles(flagged)
 
 
 def number_cycles(signals: DataFrame) -> DataFrame:

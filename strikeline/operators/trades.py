@@ -48,7 +48,9 @@ def closes(signal: Column, entry_signal: Column) -> Column:
 # --- set-based lifecycle -----------------------------------------------------
 
 
-def pair_trades(decisions: DataFrame, exit_requires_strike: bool = True) -> DataFrame:
+def pair_trades(
+    decisions: DataFrame, exit_requires_strike: bool = True, carried: DataFrame | None = None
+) -> DataFrame:
     """Pair every entry with the signal that closes it.
 
     ``decisions`` has one row per symbol, timeframe and minute. For each tradable signal
@@ -57,6 +59,8 @@ def pair_trades(decisions: DataFrame, exit_requires_strike: bool = True) -> Data
     day, a group of at most 1,440 minutes; per key only the first rows of a day and a
     trade left open at its end (three rows at most) are brought together across days.
 
+    ``carried``: trades still open from before the first decision (key and ``entry``).
+
     Result: key, ``entry`` (the opening decision), ``exit_ts``, ``exit_signal``,
     ``exit_fprice``, ``exit_cycle`` (null while open).
     """
@@ -99,6 +103,14 @@ def pair_trades(decisions: DataFrame, exit_requires_strike: bool = True) -> Data
 
     # the few edge rows of all days meet in one group per key, other rows stay in their day
     together = placed.withColumn("within", F.when(~at_edge, F.col("session_date")))
+    if carried is not None:
+        together = together.unionByName(
+            carried.select(
+                *KEY, F.col("entry.minute").alias("minute"), F.col("entry").alias("row"),
+                F.lit(True).alias("opens"),
+            ),
+            allowMissingColumns=True,
+        )
     across = Window.partitionBy(*KEY, "within").orderBy("minute")
     at_edge = F.col("within").isNull()
     joined = (

@@ -641,4 +641,17 @@ ORACLES: dict[str, str] = {
           SELECT scope FROM ladder_check WHERE NOT passed)""",
         "chain", "config_check", "ladder_check",
     ),
+    # minutes are emitted once the newest in-session event is a minute past their end
+    "stream_signals": _sql(
+        f"""SELECT symbol, tf, minute, local_ts, session_date, "OSCI", "MA", "BUY", "SELL",
+          "NEUTRAL", "FPRICE", "TA_SIGNAL", "CSP", stop_entry, "SID", "UID", "PSP" FROM sig
+        WHERE minute + INTERVAL '2 minutes' <= (SELECT max(ts) FROM events
+          WHERE (ts + {IST})::TIME BETWEEN TIME '09:15:00' AND TIME '15:25:00')""", "sig",
+    ),
+    "stream_trade_events": _sql(
+        """SELECT symbol, tf, x AS trade_signal, 'OPEN' AS action, minute AS "at",
+          "TA_SIGNAL" AS signal, "FPRICE" AS fprice, opt_token AS token FROM paired
+        UNION ALL SELECT symbol, tf, x, 'CLOSE', ex_minute, ex_signal, ex_fprice, opt_token
+        FROM paired WHERE ex_minute IS NOT NULL""", "paired",
+    ),
 }

@@ -20,6 +20,8 @@ from strikeline.plans import daily, minute, validation
 from strikeline.session import prepare, shared_dir
 from strikeline.sources import driver_tables as dt
 from strikeline.sources import readers, writers
+from strikeline.streaming.signals import append_to, signal_stream
+from strikeline.streaming.trades import EVENT_SCHEMA, trade_events, trade_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -593,4 +595,44 @@ def promoted_chain(spark, d):
     covered = _prices(spark, d)
     checks = validation.checks(config, chain, covered, AS_OF, skip_market=True)
     validation.promote(chain, config, checks, path)
-    return spark.read.parquet(f"{path}/chain")
+    return readers.option_chain(spark, f"{path}/chain")
+
+
+# --- streams (one run over what is there) -----------------------------------------------------
+
+
+def _events_stream(spark, d):
+    schema = dt.read(spark, d, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+
+
+@query
+def stream_signals(spark, d):
+    """Signals of all minutes the watermark has passed."""
+    stream = signal_stream(dt.snapshots_of(_events_stream(spark, d)))
+    path = shared_dir(spark)
+    append_to(stream, f"{path}/table", f"{path}/progress").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/table")
+
+
+@query
+def stream_trades(spark, d):
+    """Trades closed by the streamed signals."""
+    path = shared_dir(spark)
+    trade_stream(
+        signal_stream(dt.snapshots_of(_events_stream(spark, d))),
+        _chain(spark, d), dt.quotes(spark, d), path, f"{path}/progress",
+    ).awaitTermination()
+    return spark.read.parquet(f"{path}/closed").drop("batch_id")
+
+
+@query
+def stream_trade_events(spark, d):
+    """Stored decisions streamed through keyed state."""
+    path = shared_dir(spark)
+    decided = _decided(spark, d)
+    decided.write.parquet(f"{path}/decisions")
+    stream = spark.readStream.schema(decided.schema).parquet(f"{path}/decisions")
+    append_to(trade_events(stream), f"{path}/events", f"{path}/progress").awaitTermination()
+    events = spark.read.schema(EVENT_SCHEMA).parquet(f"{path}/events")
+    return events.withColumn("at", F.col("at").cast("timestamp_ntz")).drop("price")
