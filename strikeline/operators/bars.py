@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strikeline import fixed
 
 
-def _bar_start(ts: Column, minutes: int) -> Column:
-    return F.window(ts, f"{minutes} minutes")["start"].cast("timestamp_ntz")
-
-
 def minute_bars(ticks: DataFrame, tie: str = "event_id") -> DataFrame:
     """One-minute bars: symbol, bar_ts, open, high, low, close, volume, ticks."""
     order = F.struct("ts", tie)
@@ -24,23 +18,29 @@ def minute_bars(ticks: DataFrame, tie: str = "event_id") -> DataFrame:
     )
 
 
-def coarser_bars(bars: DataFrame, minutes: int) -> DataFrame:
-    """Bars of ``minutes`` from one-minute bars; minute starts are unique per symbol, so
-    no further tie-break is needed."""
-    return bars.groupBy("symbol", _bar_start(F.col("bar_ts"), minutes).alias("start")).agg(
-        F.min_by("open", "bar_ts").alias("open"), F.max("high").alias("high"),
-        F.min("low").alias("low"), F.max_by("close", "bar_ts").alias("close"),
-        F.sum("volume").alias("volume"), F.sum("ticks").alias("ticks"),
-    ).withColumnRenamed("start", "bar_ts")
+def _frame_start(minutes: int) -> Column:
+    """Start of the frame a bar lies in; ``minutes`` divides the hour."""
+    hour = "cast(date_trunc('hour', bar_ts) as timestamp_ntz)"
+    return F.expr(f"{hour} + make_dt_interval(0, 0, minute(bar_ts) div {minutes} * {minutes}, 0)")
 
 
 def all_timeframes(bars: DataFrame) -> DataFrame:
-    """The five traded timeframes from one-minute bars: a tick is read and shuffled once."""
-    frames = [
-        (bars if minutes == 1 else coarser_bars(bars, minutes)).withColumn("tf", F.lit(tf))
+    """Bars of the five traded timeframes from one-minute bars: ticks are read and
+    shuffled once, what is spread over the timeframes are minute bars only. Minute starts
+    are unique per symbol, so no further tie-break is needed."""
+    starts = F.array(*[
+        F.struct(F.lit(tf).alias("tf"), _frame_start(minutes).alias("start"))
         for tf, minutes in fixed.TIMEFRAME_MINUTES.items()
-    ]
-    return reduce(DataFrame.unionByName, frames)
+    ])
+    return (
+        bars.withColumn("frame", F.explode(starts)).select("*", "frame.*")
+        .groupBy("symbol", "tf", F.col("start")).agg(
+            F.min_by("open", "bar_ts").alias("open"), F.max("high").alias("high"),
+            F.min("low").alias("low"), F.max_by("close", "bar_ts").alias("close"),
+            F.sum("volume").alias("volume"), F.sum("ticks").alias("ticks"),
+        )
+        .withColumnRenamed("start", "bar_ts")
+    )
 
 
 def last_price(bars: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 SLICE = "time_slice"
 _AT = "slice_position"
+_SAMPLE_PER_SLICE = 1000
 
 
 def _position(ts: Column) -> Column:
@@ -23,15 +24,20 @@ def _position(ts: Column) -> Column:
 
 
 def time_cuts(df: DataFrame, ts: str, slices: int | None = None) -> list[float]:
-    """At most ``slices - 1`` quantiles of a time column (default: one slice per
+    """At most ``slices - 1`` sampled quantiles of a time column (default: one slice per
     shuffle partition). This is the only thing that reaches the driver."""
     if slices is None:
         slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if slices < 2:
         return []
+    rows = df.count()
+    if rows == 0:
+        return []
+    enough = min(1.0, slices * _SAMPLE_PER_SLICE / rows)
     shares = [i / slices for i in range(1, slices)]
-    found = df.select(_position(F.col(ts)).alias(_AT)).approxQuantile(
-        _AT, shares, relativeError=1 / (10 * slices)
+    found = (
+        df.select(_position(F.col(ts)).alias(_AT)).sample(enough, seed=1)
+        .approxQuantile(_AT, shares, relativeError=1 / (10 * slices))
     )
     return sorted(set(found))
 
@@ -102,29 +108,32 @@ def asof_join(
     if cuts is None:
         cuts = time_cuts(quotes.select(ts).unionByName(probes.select(ts)), ts)
 
-    quote = F.struct(F.col(ts).alias("at"), *values).alias("quote")
     known = quotes.select(*keys, ts, *values).dropna(subset=[*keys, ts])
-    sliced = with_slice(known, ts, cuts).select(*keys, ts, SLICE, quote)
-    outermost = F.min("quote") if forward else F.max("quote")
-    slice_ends = sliced.groupBy(*keys, SLICE).agg(outermost.alias("quote"))
+    sliced = with_slice(known, ts, cuts).select(*keys, SLICE, ts, *values)
+    outermost = (F.min if forward else F.max)(F.struct(ts, *values)).alias("quote")
+    slice_ends = sliced.groupBy(*keys, SLICE).agg(outermost)
     carried = _carry_backward(slice_ends, keys) if forward else _carry_forward(
         slice_ends, keys, len(cuts)
     )
-    carried = carried.select(*keys, F.col("quote.at").alias(ts), SLICE, "quote")
     asked = with_slice(probes, ts, cuts).select(
-        *keys, ts, SLICE, F.struct(*probes.columns).alias("probe")
+        *keys, SLICE, ts, F.struct(*probes.columns).alias("probe")
+    )
+    rows = (
+        sliced.unionByName(carried.select(*keys, SLICE, "quote.*"))
+        .unionByName(asked, allowMissingColumns=True)
     )
-    rows = sliced.unionByName(carried).unionByName(asked, allowMissingColumns=True)
-
     is_probe = F.col("probe").isNotNull()
-    order = [F.desc(ts), is_probe, F.desc("quote")] if forward else [F.asc(ts), is_probe, "quote"]
+    order = (
+        [F.desc(ts), is_probe, *[F.desc(v) for v in values]] if forward
+        else [F.asc(ts), is_probe, *values]
+    )
     so_far = (
         Window.partitionBy(*keys, SLICE).orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    latest = F.last(F.when(~is_probe, F.struct(*values)), ignorenulls=True).over(so_far)
     return (
-        rows.withColumn("quote", F.last("quote", ignorenulls=True).over(so_far))
-        .where(F.col("probe").isNotNull())
+        rows.select("probe", ts, latest.alias("quote")).where(is_probe)
         .select(
             "probe.*",
             *[F.when(F.col(ts).isNotNull(), F.col(f"quote.{v}")).alias(v) for v in values],

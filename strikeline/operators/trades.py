@@ -185,16 +185,13 @@ def settle_exits(
     next closing signal that has one, and entries in between are not taken.
 
     Each round moves all still unpriced exits forward at once: to the token's next usable
-    quote, then to the key's next closing row. Rounds needed = the longest run of price
+    quote, then to the key's next closing row, reading only the quotes of their tokens.
+    ``decisions`` is read in every round and should be stored. Rounds needed = the longest run of price
     drop-outs of one trade, independent of the number of trades.
     """
     columns = [c for c in pairs.columns if not c.startswith("exit_")]
     exit_columns = ["exit_ts", "exit_signal", "exit_fprice", "exit_cycle"]
     closings = closing_rows(decisions, exit_requires_strike)
-    revived = quotes.where(usable(F.col("ltp"))).select(
-        F.col("token").alias("opt_token"), "ts", F.col("ts").alias("revived_at")
-    )
-
     todo = cut_lineage(
         with_exit_price(pairs, quotes, cuts).withColumn("nominal_ts", F.col("exit_ts"))
     )
@@ -205,6 +202,11 @@ def settle_exits(
         failed = todo.where(~settled).select(*columns, "opt_token", "nominal_ts", "exit_ts")
         if failed.isEmpty():
             break
+        tokens = failed.select("opt_token").distinct()
+        asked = quotes.join(tokens.withColumnRenamed("opt_token", "token"), "token", "left_semi")
+        revived = asked.where(usable(F.col("ltp"))).select(
+            F.col("token").alias("opt_token"), "ts", F.col("ts").alias("revived_at")
+        )
         later = asof_join(
             failed.withColumnRenamed("exit_ts", "ts"), revived,
             ["opt_token"], "ts", ["revived_at"], cuts, forward=True,
@@ -214,7 +216,7 @@ def settle_exits(
             KEY, "ts", exit_columns, cuts, forward=True,
         ).drop("ts")
         todo = cut_lineage(
-            price_at(moved, quotes, "opt_token", "exit_ts", "exit_price", cuts)
+            price_at(moved, asked, "opt_token", "exit_ts", "exit_price", cuts)
         )
     exits = reduce(DataFrame.unionByName, finished)
     return _without_overtaken(exits, cuts)

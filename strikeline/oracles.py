@@ -363,6 +363,57 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+# One row per (symbol, timeframe, entry signal) walks through the minutes; a close without a
+# positive price leaves the trade open.
+_WALK = """
+    step AS (SELECT *, row_number() OVER (PARTITION BY symbol, tf ORDER BY minute) AS n FROM decided),
+    x AS (SELECT unnest(['BUY','STRONG_BUY','SELL','STRONG_SELL']) AS x),
+    walk(symbol, tf, x, n, held, token, closed, price) AS (
+      SELECT DISTINCT symbol, tf, x, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT, NULL::DOUBLE
+      FROM step, x
+      UNION ALL
+      SELECT symbol, tf, x, n,
+        CASE WHEN price > 0 THEN NULL WHEN held IS NOT NULL THEN held WHEN enters THEN n END,
+        CASE WHEN price > 0 THEN NULL WHEN held IS NOT NULL THEN token WHEN enters THEN new_token END,
+        CASE WHEN price > 0 THEN held END, CASE WHEN price > 0 THEN price END
+      FROM (
+        SELECT w.symbol, w.tf, w.x, s.n, w.held, w.token, s.opt_token AS new_token,
+          s.can_enter AND s."TA_SIGNAL" = w.x AS enters,
+          CASE WHEN w.held IS NOT NULL AND s.strike_ok AND (s."TA_SIGNAL" IN
+              ('NEUTRAL','ERROR','NO_RESPONSE','CLOSE_ALL_MARKET_TIMEOUT')
+            OR (w.x LIKE '%BUY' AND s."TA_SIGNAL" IN ('SELL','STRONG_SELL'))
+            OR (w.x LIKE '%SELL' AND s."TA_SIGNAL" IN ('BUY','STRONG_BUY')))
+          THEN (SELECT arg_max(q.ltp, q.ts) FROM quote q
+                WHERE q.token = w.token AND q.ts <= s.minute) END AS price
+        FROM walk w JOIN step s ON s.symbol = w.symbol AND s.tf = w.tf AND s.n = w.n + 1)),
+    settled AS (
+      SELECT symbol, tf, x, closed AS n, n AS ex_n, price FROM walk WHERE closed IS NOT NULL
+      UNION ALL
+      SELECT symbol, tf, x, held, NULL, NULL FROM walk
+      WHERE held IS NOT NULL AND n = (SELECT max(n) FROM step s
+        WHERE s.symbol = walk.symbol AND s.tf = walk.tf)),
+    walked AS (
+      SELECT p.x, en.*, p.price, ex.minute AS ex_minute, ex."TA_SIGNAL" AS ex_signal,
+        ex."FPRICE" AS ex_fprice, ex."C_NUM" AS ex_cycle, ex.local_ts AS ex_local
+      FROM settled p JOIN step en ON en.symbol = p.symbol AND en.tf = p.tf AND en.n = p.n
+      LEFT JOIN step ex ON ex.symbol = p.symbol AND ex.tf = p.tf AND ex.n = p.ex_n)"""
+
+
+def _walked_trades() -> str:
+    trades = CTES["trades"][1].split("FROM paired")[0].replace("q.ltp", "price")
+    return _sql("", "decided", "quote").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + (
+        f",{_WALK}\n{trades} FROM walked"
+    )
+
+
+def _emitted_only(sql: str) -> str:
+    """Only the minutes a stream has emitted: the newest in-session event is at least a
+    minute past their end."""
+    return sql.replace("WHERE rn = 1),\nsig AS", f"""WHERE rn = 1
+        AND minute + INTERVAL '2 minutes' <= (SELECT max(ts) FROM events
+          WHERE (ts + {IST})::TIME BETWEEN TIME '09:15:00' AND TIME '15:25:00')),\nsig AS""")
+
+
 def _ordered(needs: tuple[str, ...], done: list[str]) -> list[str]:
     for name in needs:
         if name not in done:
@@ -641,13 +692,15 @@ ORACLES: dict[str, str] = {
           SELECT scope FROM ladder_check WHERE NOT passed)""",
         "chain", "config_check", "ladder_check",
     ),
-    # minutes are emitted once the newest in-session event is a minute past their end
-    "stream_signals": _sql(
-        f"""SELECT symbol, tf, minute, local_ts, session_date, "OSCI", "MA", "BUY", "SELL",
-          "NEUTRAL", "FPRICE", "TA_SIGNAL", "CSP", stop_entry, "SID", "UID", "PSP" FROM sig
-        WHERE minute + INTERVAL '2 minutes' <= (SELECT max(ts) FROM events
-          WHERE (ts + {IST})::TIME BETWEEN TIME '09:15:00' AND TIME '15:25:00')""", "sig",
+    "stream_signals": _emitted_only(_sql(
+        """SELECT symbol, tf, minute, local_ts, session_date, "OSCI", "MA", "BUY", "SELL",
+          "NEUTRAL", "FPRICE", "TA_SIGNAL", "CSP", stop_entry, "SID", "UID", "PSP" FROM sig""",
+        "sig",
+    )),
+    "stream_trades": _emitted_only(
+        _sql("SELECT * FROM trades WHERE \"TRADE_STATUS\" = 'CLOSE'", "trades")
     ),
+    "trade_lifecycle_priced_exits": _walked_trades(),
     "stream_trade_events": _sql(
         """SELECT symbol, tf, x AS trade_signal, 'OPEN' AS action, minute AS "at",
           "TA_SIGNAL" AS signal, "FPRICE" AS fprice, opt_token AS token FROM paired

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strikeline.operators import decisions as dec
 from strikeline.operators import indicators as ind
 from strikeline.operators import trades as tr
+from strikeline.session import cut_lineage
 
 
 def signals(snapshots: DataFrame, session_only: bool = True) -> DataFrame:
@@ -30,9 +31,10 @@ def history(
     """
     looked_up = dec.attach_strikes(signals(snapshots), chain)
     decided = dec.entry_decisions(looked_up, quotes, cuts)
-    pairs = tr.pair_trades(decided)
     if exits_always_priced:
-        return tr.trade_rows(tr.with_exit_price(pairs, quotes, cuts))
+        return tr.trade_rows(tr.with_exit_price(tr.pair_trades(decided), quotes, cuts))
+    decided = cut_lineage(decided)  # read again in every round of settling
+    pairs = tr.pair_trades(decided)
     return tr.trade_rows(tr.settle_exits(pairs, decided, quotes, cuts))
 
 

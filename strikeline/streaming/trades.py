@@ -11,6 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StringType, StructField, StructType
 
 from strikeline.operators import decisions as dec
 from strikeline.operators import indicators as ind
@@ -29,46 +30,51 @@ def _batch_path(root: str, table: str, batch_id: int) -> str:
 
 def _process(
     batch: DataFrame, batch_id: int, root: str, chain: DataFrame, quotes: DataFrame,
-    exits_always_priced: bool,
+    cuts: list[float], exits_always_priced: bool,
 ) -> None:
     spark = batch.sparkSession
-    batch.write.mode("overwrite").parquet(_batch_path(root, "signals", batch_id))
 
-    def stored(table: str, number: int, schema) -> DataFrame:
-        return spark.read.schema(schema).parquet(_batch_path(root, table, number))
-
-    # cycle numbers go on from the earlier signals of the same session days
-    fresh = stored("signals", batch_id, batch.schema)
-    log = spark.read.schema(batch.schema).option("basePath", f"{root}/signals").parquet(
-        *[_batch_path(root, "signals", i) for i in range(batch_id + 1)]
+    def store(df: DataFrame, table: str) -> DataFrame:
+        path = _batch_path(root, table, batch_id)
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    def before(table: str, schema) -> DataFrame:
+        """The table as the previous batch left it."""
+        if batch_id == 0:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(_batch_path(root, table, batch_id - 1))
+
+    # cycle numbers go on where the symbol's session stopped
+    numbered = ind.number_cycles(store(batch, "signals"))
+    counted = numbered.select("symbol", "session_date", "C_NUM")
+    last = before("cycles", counted.schema)
+    numbered = numbered.join(
+        last.withColumnRenamed("C_NUM", "counted"), ["symbol", "session_date"], "left"
+    ).withColumn("C_NUM", F.col("C_NUM") + F.coalesce("counted", F.lit(0))).drop("counted")
+
+    decided = store(
+        dec.entry_decisions(dec.attach_strikes(numbered, chain), quotes, cuts), "decisions"
     )
-    days = fresh.select("symbol", "session_date").distinct()
-    numbered = ind.number_cycles(log.join(days, ["symbol", "session_date"], "left_semi")).join(
-        fresh.select("UID"), "UID", "left_semi"
+    newest = F.max(F.struct("session_date", "C_NUM")).alias("n")
+    store(
+        last.unionByName(decided.select(*last.columns)).groupBy("symbol").agg(newest)
+        .select("symbol", "n.*"),
+        "cycles",
     )
 
-    cuts = time_cuts(quotes, "ts")
-    decided = dec.entry_decisions(dec.attach_strikes(numbered, chain), quotes, cuts)
-    decided.write.mode("overwrite").parquet(_batch_path(root, "decisions", batch_id))
-    decided = stored("decisions", batch_id, decided.schema)
-
-    pairs = tr.pair_trades(decided)
-    if batch_id > 0:
-        carried = stored("open", batch_id - 1, pairs.select(*tr.KEY, "entry").schema)
-        pairs = tr.pair_trades(decided, carried=carried)
+    entry = StructType([
+        StructField(k, StringType()) for k in tr.KEY
+    ] + [StructField("entry", decided.schema)])
+    pairs = tr.pair_trades(decided, carried=before("open", entry))
     if exits_always_priced:
         settled = tr.with_exit_price(pairs, quotes, cuts)
     else:
         settled = tr.settle_exits(pairs, decided, quotes, cuts)
-    settled.write.mode("overwrite").parquet(_batch_path(root, "settled", batch_id))
-    settled = stored("settled", batch_id, settled.schema)
-    still_open = settled.where(F.col("exit_ts").isNull())
-    still_open.select(*tr.KEY, "entry").write.mode("overwrite").parquet(
-        _batch_path(root, "open", batch_id)
-    )
-    tr.trade_rows(settled.where(F.col("exit_ts").isNotNull())).write.mode("overwrite").parquet(
-        _batch_path(root, "closed", batch_id)
-    )
+    settled = store(settled, "settled")
+    still_open = F.col("exit_ts").isNull()
+    store(settled.where(still_open).select(*tr.KEY, "entry"), "open")
+    store(tr.trade_rows(settled.where(~still_open)), "closed")
 
 
 def trade_stream(
@@ -81,7 +87,8 @@ def trade_stream(
     folders named after the batch, so a repeated batch replaces its own output.
     """
     run = partial(
-        _process, root=root, chain=chain, quotes=quotes, exits_always_priced=exits_always_priced
+        _process, root=root, chain=chain, quotes=quotes, cuts=time_cuts(quotes, "ts"),
+        exits_always_priced=exits_always_priced,
     )
     return (
         signals.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)

@@ -10,9 +10,6 @@ import pytest
 import __spark_entry__ as contract
 from tests.conftest import DATA
 
-# no SQL: rows depend on the run of exit prices, see tests/test_trades.py and test_streaming.py
-WITHOUT_SQL = {"trade_lifecycle_priced_exits", "stream_trades"}
-
 
 @pytest.fixture(scope="module")
 def duck():
@@ -32,8 +29,7 @@ def _sorted(rows, columns):
 
 
 def test_registered_names():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == WITHOUT_SQL
-    assert set(contract.oracle_sql()) <= set(contract.queries())
+    assert set(contract.queries()) == set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
@@ -46,10 +42,5 @@ def test_query(spark, duck, name):
     assert _sorted([tuple(r) for r in got.collect()], got.columns) == want
 
 
-@pytest.mark.parametrize("name", sorted(WITHOUT_SQL))
-def test_query_without_sql_runs(spark, name):
-    assert contract.queries()[name](spark, DATA).count() > 0
-
-
 def test_entry(spark):
     assert contract.entry(spark).count() == 1000
