@@ -195,18 +195,19 @@ def settle_exits(
     todo = cut_lineage(
         with_exit_price(pairs, quotes, cuts).withColumn("nominal_ts", F.col("exit_ts"))
     )
-    finished = []
+    finished, asked = [], None
     while True:
         settled = F.col("exit_ts").isNull() | usable(F.col("exit_price"))
         finished.append(todo.where(settled))
         failed = todo.where(~settled).select(*columns, "opt_token", "nominal_ts", "exit_ts")
         if failed.isEmpty():
             break
-        tokens = failed.select("opt_token").distinct()
-        asked = quotes.join(tokens.withColumnRenamed("opt_token", "token"), "token", "left_semi")
-        revived = asked.where(usable(F.col("ltp"))).select(
-            F.col("token").alias("opt_token"), "ts", F.col("ts").alias("revived_at")
-        )
+        if asked is None:  # the quotes of all tokens that can still matter
+            tokens = failed.select(F.col("opt_token").alias("token")).distinct()
+            asked = cut_lineage(quotes.join(tokens, "token", "left_semi"))
+            revived = asked.where(usable(F.col("ltp"))).select(
+                F.col("token").alias("opt_token"), "ts", F.col("ts").alias("revived_at")
+            )
         later = asof_join(
             failed.withColumnRenamed("exit_ts", "ts"), revived,
             ["opt_token"], "ts", ["revived_at"], cuts, forward=True,

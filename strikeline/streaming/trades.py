@@ -30,7 +30,7 @@ def _batch_path(root: str, table: str, batch_id: int) -> str:
 
 def _process(
     batch: DataFrame, batch_id: int, root: str, chain: DataFrame, quotes: DataFrame,
-    cuts: list[float], exits_always_priced: bool,
+    exits_always_priced: bool,
 ) -> None:
     spark = batch.sparkSession
 
@@ -45,8 +45,26 @@ def _process(
             return spark.createDataFrame([], schema)
         return spark.read.schema(schema).parquet(_batch_path(root, table, batch_id - 1))
 
+    fresh = store(batch, "signals")
+
+    # of the quotes only those since the previous batch, and each token's last one before
+    seen = before("progress", "upto timestamp_ntz").agg(F.max("upto")).first()[0]
+    upto = fresh.agg(F.max("minute")).first()[0] or seen
+    store(spark.createDataFrame([(upto,)], "upto timestamp_ntz"), "progress")
+    since = quotes.select("token", "ts", "ltp").where(F.col("ts") <= F.lit(upto))
+    if seen is not None:
+        since = since.where(F.col("ts") > F.lit(seen))
+    recent = before("last_quotes", since.schema).unionByName(since)
+    cuts = time_cuts(recent, "ts")
+    newest_quote = F.max(F.struct("ts", "ltp")).alias("q")
+    store(
+        recent.where(F.col("token").isNotNull()).groupBy("token").agg(newest_quote)
+        .select("token", "q.*"),
+        "last_quotes",
+    )
+
     # cycle numbers go on where the symbol's session stopped
-    numbered = ind.number_cycles(store(batch, "signals"))
+    numbered = ind.number_cycles(fresh)
     counted = numbered.select("symbol", "session_date", "C_NUM")
     last = before("cycles", counted.schema)
     numbered = numbered.join(
@@ -54,7 +72,7 @@ def _process(
     ).withColumn("C_NUM", F.col("C_NUM") + F.coalesce("counted", F.lit(0))).drop("counted")
 
     decided = store(
-        dec.entry_decisions(dec.attach_strikes(numbered, chain), quotes, cuts), "decisions"
+        dec.entry_decisions(dec.attach_strikes(numbered, chain), recent, cuts), "decisions"
     )
     newest = F.max(F.struct("session_date", "C_NUM")).alias("n")
     store(
@@ -68,9 +86,9 @@ def _process(
     ] + [StructField("entry", decided.schema)])
     pairs = tr.pair_trades(decided, carried=before("open", entry))
     if exits_always_priced:
-        settled = tr.with_exit_price(pairs, quotes, cuts)
+        settled = tr.with_exit_price(pairs, recent, cuts)
     else:
-        settled = tr.settle_exits(pairs, decided, quotes, cuts)
+        settled = tr.settle_exits(pairs, decided, recent, cuts)
     settled = store(settled, "settled")
     still_open = F.col("exit_ts").isNull()
     store(settled.where(still_open).select(*tr.KEY, "entry"), "open")
@@ -83,12 +101,14 @@ def trade_stream(
 ):
     """Keep the trade table below ``root`` up to date with a stream of signals.
 
-    A micro-batch writes its signals, the trades it closed and the ones open after it to
-    folders named after the batch, so a repeated batch replaces its own output.
+    ``quotes`` must be complete up to the newest signal of a batch. A micro-batch reads the
+    quotes since the one before, so its work does not grow with the history; keep the table
+    partitioned or sorted by time for the filter to skip files. It writes its signals, the
+    trades it closed and the ones open after it to folders named after the batch, so a
+    repeated batch replaces its own output.
     """
     run = partial(
-        _process, root=root, chain=chain, quotes=quotes, cuts=time_cuts(quotes, "ts"),
-        exits_always_priced=exits_always_priced,
+        _process, root=root, chain=chain, quotes=quotes, exits_always_priced=exits_always_priced
     )
     return (
         signals.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
