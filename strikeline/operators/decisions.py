@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strikeline import fixed
 from strikeline.operators.instruments import ladder
-from strikeline.operators.ordered import asof_join
+from strikeline.operators.ordered import Slices, asof_join
 
 _LOTS = {tf: m for tf, _, _, m in fixed.TIMEFRAMES if m is not None}
 
@@ -65,20 +65,20 @@ def usable(price: Column) -> Column:
 
 
 def price_at(rows: DataFrame, quotes: DataFrame, token: str, ts: str, name: str,
-             cuts: list[float]) -> DataFrame:
+             slices: Slices) -> DataFrame:
     """Add the last traded price of ``token`` at ``ts``. ``quotes``: token, ts, ltp."""
     offered = quotes.select(
         F.col("token").alias(token), F.col("ts").alias(ts), F.col("ltp").alias(name)
     )
-    return asof_join(rows, offered, [token], ts, [name], cuts)
+    return asof_join(rows, offered, [token], ts, [name], slices)
 
 
 def entry_decisions(
-    looked_up: DataFrame, quotes: DataFrame, cuts: list[float]
+    looked_up: DataFrame, quotes: DataFrame, slices: Slices
 ) -> DataFrame:
     """Signals with entry price and ``can_enter``."""
     priced = price_at(
-        with_trade_params(looked_up), quotes, "opt_token", "minute", "en_price", cuts
+        with_trade_params(looked_up), quotes, "opt_token", "minute", "en_price", slices
     )
     tradable = F.col("trade_type").isNotNull()
     return priced.withColumn(

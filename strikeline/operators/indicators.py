@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strikeline import fixed
 from strikeline.functions import clock, ids, strikes, votes
-from strikeline.operators.ordered import previous_values
+from strikeline.operators.ordered import Slices, previous_values
 
 PREVIOUS_BAR = {
     "rsi1": ("rsi", 1), "k1": ("k", 1), "d1": ("d", 1), "cci1": ("cci", 1),
@@ -16,10 +16,10 @@ PREVIOUS_BAR = {
 }
 
 
-def add_previous_bars(snapshots: DataFrame, cuts: list[float], tie: str = "event_id") -> DataFrame:
+def add_previous_bars(snapshots: DataFrame, slices: Slices, tie: str = "event_id") -> DataFrame:
     """Fill in the previous-bar columns for a feed that does not send them."""
     base = snapshots.drop(*PREVIOUS_BAR)
-    return previous_values(base, ["symbol", "tf"], ["ts", tie], PREVIOUS_BAR, cuts)
+    return previous_values(base, ["symbol", "tf"], ["ts", tie], PREVIOUS_BAR, slices)
 
 
 def votes_of(snapshots: DataFrame, rules=votes.COUNTED, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -1,14 +1,17 @@
 """Ordered per-key work that stays balanced when one key holds most of the rows.
 
-Time is cut at quantiles of the whole data set, so a (key, time slice) group holds at
-most about 1/slices of all rows however many of them share a key. Each slice is a task
-of its own; what it needs from earlier slices is a few boundary rows per slice.
-The cut points only balance the work: any set of cut points gives the same result.
+Keys with a large share of the rows are cut in time, at quantiles of the whole data set:
+a (key, time slice) group then holds at most about 1/slices of all rows however many of
+them share a key. Each slice is grouped by itself; what it needs from other slices is a few
+boundary rows per slice. Other keys stay in one piece. Which keys are cut, and where, only
+balances the work: any choice gives the same result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -17,41 +20,72 @@ from pyspark.sql import functions as F
 SLICE = "time_slice"
 _AT = "slice_position"
 _SAMPLE_PER_SLICE = 1000
+_SLICES_PER_PARTITION = 4
+_SMALL = 100_000
+
+
+@dataclass(frozen=True)
+class Slices:
+    """Where to cut time, and the hashes of the keys to cut (``None``: every key)."""
+
+    cuts: tuple[float, ...] = ()
+    hot: frozenset[int] | None = None
+
+    def is_cut(self, keys: Sequence[str]) -> Column:
+        if self.hot is None:
+            return F.lit(True)
+        # rows without a key match nothing; they are spread like those of a hot key
+        keyless = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+        return keyless | _key_hash(keys).isin(*self.hot)
+
+
+def _key_hash(keys: Sequence[str]) -> Column:
+    return F.xxhash64(*[F.col(k).cast("string") for k in keys])
 
 
 def _position(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp")).cast("double")
 
 
-def time_cuts(df: DataFrame, ts: str, slices: int | None = None) -> list[float]:
-    """At most ``slices - 1`` sampled quantiles of a time column (default: one slice per
-    shuffle partition). This is the only thing that reaches the driver."""
-    if slices is None:
-        slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if slices < 2:
-        return []
+def slices_of(
+    df: DataFrame, keys: Sequence[str], ts: str, count: int | None = None
+) -> Slices:
+    """Slices for ``df`` from a sample: ``count`` time slices (default: four per shuffle
+    partition, none for small data) of the keys with more than half a partition's share.
+
+    What reaches the driver is bounded by the number of shuffle partitions: the cut points
+    and the hashes of at most two hot keys per partition.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.count()
-    if rows == 0:
-        return []
-    enough = min(1.0, slices * _SAMPLE_PER_SLICE / rows)
-    shares = [i / slices for i in range(1, slices)]
-    found = (
-        df.select(_position(F.col(ts)).alias(_AT)).sample(enough, seed=1)
-        .approxQuantile(_AT, shares, relativeError=1 / (10 * slices))
+    if rows == 0 or (count is None and rows < _SMALL):
+        return Slices()
+    count = count or _SLICES_PER_PARTITION * partitions
+    if count < 2:
+        return Slices()
+    share = min(1.0, count * _SAMPLE_PER_SLICE / rows)
+    sample = df.select(_position(F.col(ts)).alias(_AT), _key_hash(keys).alias("key")).sample(
+        share, seed=1
     )
-    return sorted(set(found))
+    cuts = sample.approxQuantile(
+        _AT, [i / count for i in range(1, count)], relativeError=1 / (10 * count)
+    )
+    heavy = F.col("count") > rows * share / (2 * partitions)
+    hot = sample.groupBy("key").count().where(heavy).select("key").collect()
+    return Slices(tuple(sorted(set(cuts))), frozenset(r.key for r in hot))
 
 
-def with_slice(df: DataFrame, ts: str, cuts: Sequence[float]) -> DataFrame:
-    """Add the time slice number: how many cut points are at or before ``ts``."""
-    if not cuts:
+def with_slice(df: DataFrame, keys: Sequence[str], ts: str, slices: Slices) -> DataFrame:
+    """Add the time slice number: how many cut points are at or before ``ts``; 0 for keys
+    that are not cut."""
+    if not slices.cuts:
         return df.withColumn(SLICE, F.lit(0))
     placed = df.withColumn(_AT, F.coalesce(_position(F.col(ts)), F.lit(float("-inf"))))
     slicer = Bucketizer(
-        splits=[float("-inf"), *cuts, float("inf")], inputCol=_AT, outputCol=SLICE,
+        splits=[float("-inf"), *slices.cuts, float("inf")], inputCol=_AT, outputCol=SLICE,
     )
-    sliced = slicer.transform(placed).drop(_AT)
-    return sliced.withColumn(SLICE, F.col(SLICE).cast("int"))
+    number = F.when(slices.is_cut(keys), F.col(SLICE).cast("int")).otherwise(0)
+    return slicer.transform(placed).drop(_AT).withColumn(SLICE, number)
 
 
 def previous_values(
@@ -59,7 +93,7 @@ def previous_values(
     keys: Sequence[str],
     order: Sequence[str],
     wanted: dict[str, tuple[str, int]],
-    cuts: Sequence[float],
+    slices: Slices,
 ) -> DataFrame:
     """Add ``{new: (column, k)}``: the value of ``column`` k rows earlier in its key.
 
@@ -68,8 +102,13 @@ def previous_values(
     of the slices, which is all that is ever gathered per key.
     """
     reach = max(k for _, k in wanted.values())
+    if not slices.cuts:
+        in_key = Window.partitionBy(*keys).orderBy(*order)
+        return df.select(
+            "*", *[F.lag(c, k).over(in_key).alias(n) for n, (c, k) in wanted.items()]
+        )
     in_slice = Window.partitionBy(*keys, SLICE).orderBy(*order)
-    placed = with_slice(df, order[0], cuts).select(
+    placed = with_slice(df, keys, order[0], slices).select(
         "*",
         *[F.lag(c, k).over(in_slice).alias(f"_near_{n}") for n, (c, k) in wanted.items()],
         F.row_number().over(in_slice).alias("_place"),
@@ -94,7 +133,7 @@ def asof_join(
     keys: Sequence[str],
     ts: str,
     values: Sequence[str],
-    cuts: Sequence[float] | None = None,
+    slices: Slices | None = None,
     forward: bool = False,
 ) -> DataFrame:
     """Left as-of join: each probe gets ``values`` of its key's last quote at or before
@@ -105,23 +144,19 @@ def asof_join(
     One shuffle on (key, time slice). Every slice is handed a copy of the nearest quote
     outside it, so no slice has to look into another.
     """
-    if cuts is None:
-        cuts = time_cuts(quotes.select(ts).unionByName(probes.select(ts)), ts)
+    if slices is None:
+        both = quotes.select(*keys, ts).unionByName(probes.select(*keys, ts))
+        slices = slices_of(both, keys, ts)
 
     known = quotes.select(*keys, ts, *values).dropna(subset=[*keys, ts])
-    sliced = with_slice(known, ts, cuts).select(*keys, SLICE, ts, *values)
-    outermost = (F.min if forward else F.max)(F.struct(ts, *values)).alias("quote")
-    slice_ends = sliced.groupBy(*keys, SLICE).agg(outermost)
-    carried = _carry_backward(slice_ends, keys) if forward else _carry_forward(
-        slice_ends, keys, len(cuts)
-    )
-    asked = with_slice(probes, ts, cuts).select(
+    sliced = with_slice(known, keys, ts, slices).select(*keys, SLICE, ts, *values)
+    asked = with_slice(probes, keys, ts, slices).select(
         *keys, SLICE, ts, F.struct(*probes.columns).alias("probe")
     )
-    rows = (
-        sliced.unionByName(carried.select(*keys, SLICE, "quote.*"))
-        .unionByName(asked, allowMissingColumns=True)
-    )
+    rows = sliced.unionByName(asked, allowMissingColumns=True)
+    if slices.cuts and slices.hot != frozenset():
+        carried = _carried(sliced, keys, ts, values, slices, forward)
+        rows = rows.unionByName(carried, allowMissingColumns=True)
     is_probe = F.col("probe").isNotNull()
     order = (
         [F.desc(ts), is_probe, *[F.desc(v) for v in values]] if forward
@@ -141,22 +176,23 @@ def asof_join(
     )
 
 
-def _carry_forward(slice_ends: DataFrame, keys: Sequence[str], last_slice: int) -> DataFrame:
-    """Copy each slice's last quote into the slices up to and including the next that has one."""
-    following = F.lead(SLICE).over(Window.partitionBy(*keys).orderBy(SLICE))
-    until = F.coalesce(following, F.lit(last_slice))
-    return (
-        slice_ends.withColumn("until", until).where(F.col("until") > F.col(SLICE))
-        .withColumn(SLICE, F.explode(F.sequence(F.col(SLICE) + 1, F.col("until"))))
-    )
-
-
-def _carry_backward(slice_ends: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Copy each slice's first quote into the slices down to and including the one before
-    that has one."""
-    preceding = F.lag(SLICE).over(Window.partitionBy(*keys).orderBy(SLICE))
-    until = F.coalesce(preceding, F.lit(0))
+def _carried(
+    sliced: DataFrame, keys: Sequence[str], ts: str, values: Sequence[str], slices: Slices,
+    forward: bool,
+) -> DataFrame:
+    """Copies of each slice's outermost quote for the slices up to and including the next
+    one (``forward``: the one before) of that key that has quotes of its own."""
+    outermost = (F.min if forward else F.max)(F.struct(ts, *values)).alias("quote")
+    ends = sliced.where(slices.is_cut(keys)).groupBy(*keys, SLICE).agg(outermost)
+    by_slice = Window.partitionBy(*keys).orderBy(SLICE)
+    if forward:
+        first = F.coalesce(F.lag(SLICE).over(by_slice), F.lit(0))
+        last = F.col(SLICE) - 1
+    else:
+        first = F.col(SLICE) + 1
+        last = F.coalesce(F.lead(SLICE).over(by_slice), F.lit(len(slices.cuts)))
     return (
-        slice_ends.withColumn("until", until).where(F.col("until") < F.col(SLICE))
-        .withColumn(SLICE, F.explode(F.sequence(F.col("until"), F.col(SLICE) - 1)))
+        ends.withColumns({"first": first, "last": last}).where(F.col("first") <= F.col("last"))
+        .withColumn(SLICE, F.explode(F.sequence("first", "last")))
+        .select(*keys, SLICE, "quote.*")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strikeline import fixed
 from strikeline.operators.decisions import price_at, usable
-from strikeline.operators.ordered import asof_join
+from strikeline.operators.ordered import Slices, asof_join, slices_of
 from strikeline.session import cut_lineage
 
 KEY = ("symbol", "tf", "trade_signal")
@@ -124,11 +124,11 @@ def pair_trades(
     )
 
 
-def with_exit_price(pairs: DataFrame, quotes: DataFrame, cuts: list[float]) -> DataFrame:
+def with_exit_price(pairs: DataFrame, quotes: DataFrame, slices: Slices) -> DataFrame:
     """Add ``exit_price``: the last price of the traded option when it is closed."""
     return price_at(
         pairs.withColumn("opt_token", F.col("entry.opt_token")),
-        quotes, "opt_token", "exit_ts", "exit_price", cuts,
+        quotes, "opt_token", "exit_ts", "exit_price", slices,
     )
 
 
@@ -178,7 +178,7 @@ def closing_rows(decisions: DataFrame, exit_requires_strike: bool = True) -> Dat
 
 
 def settle_exits(
-    pairs: DataFrame, decisions: DataFrame, quotes: DataFrame, cuts: list[float],
+    pairs: DataFrame, decisions: DataFrame, quotes: DataFrame, slices: Slices,
     exit_requires_strike: bool = True,
 ) -> DataFrame:
     """Exits with usable prices only: a close without one leaves the trade open until the
@@ -192,8 +192,9 @@ def settle_exits(
     columns = [c for c in pairs.columns if not c.startswith("exit_")]
     exit_columns = ["exit_ts", "exit_signal", "exit_fprice", "exit_cycle"]
     closings = closing_rows(decisions, exit_requires_strike)
+    by_key = slices_of(closings, KEY, "exit_ts")
     todo = cut_lineage(
-        with_exit_price(pairs, quotes, cuts).withColumn("nominal_ts", F.col("exit_ts"))
+        with_exit_price(pairs, quotes, slices).withColumn("nominal_ts", F.col("exit_ts"))
     )
     finished, asked = [], None
     while True:
@@ -210,20 +211,20 @@ def settle_exits(
             )
         later = asof_join(
             failed.withColumnRenamed("exit_ts", "ts"), revived,
-            ["opt_token"], "ts", ["revived_at"], cuts, forward=True,
+            ["opt_token"], "ts", ["revived_at"], slices, forward=True,
         ).drop("ts").withColumnRenamed("revived_at", "ts")
         moved = asof_join(
             later, closings.withColumn("ts", F.col("exit_ts")),
-            KEY, "ts", exit_columns, cuts, forward=True,
+            KEY, "ts", exit_columns, by_key, forward=True,
         ).drop("ts")
         todo = cut_lineage(
-            price_at(moved, asked, "opt_token", "exit_ts", "exit_price", cuts)
+            price_at(moved, asked, "opt_token", "exit_ts", "exit_price", slices)
         )
     exits = reduce(DataFrame.unionByName, finished)
-    return _without_overtaken(exits, cuts)
+    return _without_overtaken(exits, by_key)
 
 
-def _without_overtaken(exits: DataFrame, cuts: list[float]) -> DataFrame:
+def _without_overtaken(exits: DataFrame, by_key: Slices) -> DataFrame:
     """Drop trades whose entry lies inside a kept, prolonged trade of the same key."""
     never = F.lit("9999-12-31 00:00:00").cast("timestamp_ntz")
     marked = cut_lineage(
@@ -253,7 +254,7 @@ def _without_overtaken(exits: DataFrame, cuts: list[float]) -> DataFrame:
             asof_join(
                 ranked.where("not certain").select(*KEY, "ts", "until"),
                 certain.select(*KEY, "ts", F.col("until").alias("taken_until")),
-                KEY, "ts", ["taken_until"], cuts,
+                KEY, "ts", ["taken_until"], by_key,
             ).where(F.col("ts") >= F.col("taken_until")).drop("taken_until")
         )
     if kept is None:
@@ -264,7 +265,7 @@ def _without_overtaken(exits: DataFrame, cuts: list[float]) -> DataFrame:
         F.col("until").alias("taken_until"),
     )
     return (
-        asof_join(marked, taken, KEY, "ts", ["taken_until"], cuts)
+        asof_join(marked, taken, KEY, "ts", ["taken_until"], by_key)
         .where(F.coalesce(F.col("ts") >= F.col("taken_until"), F.lit(True)))
         .drop("ts", "until", "taken_until", "nominal_ts")
     )

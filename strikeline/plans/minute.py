@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strikeline.operators import decisions as dec
 from strikeline.operators import indicators as ind
 from strikeline.operators import trades as tr
+from strikeline.operators.ordered import Slices
 from strikeline.session import cut_lineage
 
 
@@ -21,7 +22,7 @@ def signals(snapshots: DataFrame, session_only: bool = True) -> DataFrame:
 
 
 def history(
-    snapshots: DataFrame, chain: DataFrame, quotes: DataFrame, cuts: list[float],
+    snapshots: DataFrame, chain: DataFrame, quotes: DataFrame, slices: Slices,
     exits_always_priced: bool = True,
 ) -> DataFrame:
     """All trades of a history, set-based.
@@ -30,12 +31,12 @@ def history(
     a close without a usable price is retried at the next one.
     """
     looked_up = dec.attach_strikes(signals(snapshots), chain)
-    decided = dec.entry_decisions(looked_up, quotes, cuts)
+    decided = dec.entry_decisions(looked_up, quotes, slices)
     if exits_always_priced:
-        return tr.trade_rows(tr.with_exit_price(tr.pair_trades(decided), quotes, cuts))
+        return tr.trade_rows(tr.with_exit_price(tr.pair_trades(decided), quotes, slices))
     decided = cut_lineage(decided)  # read again in every round of settling
     pairs = tr.pair_trades(decided)
-    return tr.trade_rows(tr.settle_exits(pairs, decided, quotes, cuts))
+    return tr.trade_rows(tr.settle_exits(pairs, decided, quotes, slices))
 
 
 @dataclass(frozen=True)
@@ -47,7 +48,7 @@ class Cycle:
 
 def cycle(
     open_trades: DataFrame, now: DataFrame, chain: DataFrame, quotes: DataFrame,
-    cuts: list[float],
+    slices: Slices,
 ) -> Cycle:
     """One minute: which open trades close, which signals enter.
 
@@ -57,9 +58,9 @@ def cycle(
     looked_up = dec.attach_strikes(now, chain)
     listed = looked_up.where("strike_ok")
     closing = dec.price_at(
-        tr.closable(open_trades, listed), quotes, "OPT_TOKEN", "exit_ts", "exit_price", cuts
+        tr.closable(open_trades, listed), quotes, "OPT_TOKEN", "exit_ts", "exit_price", slices
     )
-    decided = dec.entry_decisions(looked_up, quotes, cuts)
+    decided = dec.entry_decisions(looked_up, quotes, slices)
     entering = tr.not_yet_open(decided, open_trades)
     none = F.lit(None)
     entries = entering.where("can_enter").select(

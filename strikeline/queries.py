@@ -15,7 +15,7 @@ from strikeline.operators import indicators as ind
 from strikeline.operators import instruments as ins
 from strikeline.operators import logs, quality
 from strikeline.operators import trades as tr
-from strikeline.operators.ordered import asof_join, time_cuts
+from strikeline.operators.ordered import asof_join, slices_of
 from strikeline.plans import daily, minute, validation
 from strikeline.session import prepare, shared_dir
 from strikeline.sources import driver_tables as dt
@@ -72,12 +72,12 @@ def _looked_up(spark, d):
     return dec.attach_strikes(_signals(spark, d), _chain(spark, d))
 
 
-def _cuts(spark, d):
-    return time_cuts(dt.quotes(spark, d), "ts")
+def _slices(spark, d):
+    return slices_of(dt.quotes(spark, d), ["token"], "ts")
 
 
 def _decided(spark, d):
-    return dec.entry_decisions(_looked_up(spark, d), dt.quotes(spark, d), _cuts(spark, d))
+    return dec.entry_decisions(_looked_up(spark, d), dt.quotes(spark, d), _slices(spark, d))
 
 
 def _open(spark, d):
@@ -88,7 +88,7 @@ def _closing(spark, d):
     now = tr.current_signals(_signals(spark, d))
     return dec.price_at(
         tr.closable(_open(spark, d), now), dt.quotes(spark, d),
-        "OPT_TOKEN", "exit_ts", "exit_price", _cuts(spark, d),
+        "OPT_TOKEN", "exit_ts", "exit_price", _slices(spark, d),
     )
 
 
@@ -162,7 +162,7 @@ def prev_bar_lag(spark, d):
     snaps = dt.snapshots(spark, d).select(
         "symbol", "tf", "ts", "event_id", "rsi", "k", "d", "cci", "pdi", "ndi", "ao", "mom"
     )
-    return ind.add_previous_bars(snaps, time_cuts(snaps, "ts"))
+    return ind.add_previous_bars(snaps, slices_of(snaps, ["symbol", "tf"], "ts"))
 
 
 @query
@@ -377,8 +377,7 @@ def asof_price(spark, d):
         "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"),
         (F.col("event_id") % 200).cast("string").alias("token"),
     )
-    cuts = time_cuts(quotes.select("ts").unionByName(probes.select("ts")), "ts")
-    priced = asof_join(probes, quotes, ["token"], "ts", ["ltp"], cuts)
+    priced = asof_join(probes, quotes, ["token"], "ts", ["ltp"])
     return priced.withColumn("usable", dec.usable(F.col("ltp")))
 
 
@@ -452,14 +451,14 @@ def no_duplicate_entry(spark, d):
 @query
 def trade_lifecycle(spark, d):
     return minute.history(
-        dt.snapshots(spark, d), _chain(spark, d), dt.quotes(spark, d), _cuts(spark, d)
+        dt.snapshots(spark, d), _chain(spark, d), dt.quotes(spark, d), _slices(spark, d)
     )
 
 
 @query
 def trade_lifecycle_priced_exits(spark, d):
     return minute.history(
-        dt.snapshots(spark, d), _chain(spark, d), dt.quotes(spark, d), _cuts(spark, d),
+        dt.snapshots(spark, d), _chain(spark, d), dt.quotes(spark, d), _slices(spark, d),
         exits_always_priced=False,
     )
 
@@ -484,7 +483,7 @@ def minute_cycle(spark, d):
     """One cycle on the stored trades: what enters."""
     now = tr.current_signals(_signals(spark, d))
     return minute.cycle(
-        _open(spark, d), now, _chain(spark, d), dt.quotes(spark, d), _cuts(spark, d)
+        _open(spark, d), now, _chain(spark, d), dt.quotes(spark, d), _slices(spark, d)
     ).entries
 
 
@@ -493,7 +492,7 @@ def minute_cycle_exits(spark, d):
     """One cycle on the stored trades: what exits."""
     now = tr.current_signals(_signals(spark, d))
     return minute.cycle(
-        _open(spark, d), now, _chain(spark, d), dt.quotes(spark, d), _cuts(spark, d)
+        _open(spark, d), now, _chain(spark, d), dt.quotes(spark, d), _slices(spark, d)
     ).exits
 
 

@@ -16,7 +16,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from strikeline.operators import decisions as dec
 from strikeline.operators import indicators as ind
 from strikeline.operators import trades as tr
-from strikeline.operators.ordered import time_cuts
+from strikeline.operators.ordered import slices_of
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -55,7 +55,7 @@ def _process(
     if seen is not None:
         since = since.where(F.col("ts") > F.lit(seen))
     recent = before("last_quotes", since.schema).unionByName(since)
-    cuts = time_cuts(recent, "ts")
+    slices = slices_of(recent, ["token"], "ts")
     newest_quote = F.max(F.struct("ts", "ltp")).alias("q")
     store(
         recent.where(F.col("token").isNotNull()).groupBy("token").agg(newest_quote)
@@ -72,7 +72,7 @@ def _process(
     ).withColumn("C_NUM", F.col("C_NUM") + F.coalesce("counted", F.lit(0))).drop("counted")
 
     decided = store(
-        dec.entry_decisions(dec.attach_strikes(numbered, chain), recent, cuts), "decisions"
+        dec.entry_decisions(dec.attach_strikes(numbered, chain), recent, slices), "decisions"
     )
     newest = F.max(F.struct("session_date", "C_NUM")).alias("n")
     store(
@@ -86,9 +86,9 @@ def _process(
     ] + [StructField("entry", decided.schema)])
     pairs = tr.pair_trades(decided, carried=before("open", entry))
     if exits_always_priced:
-        settled = tr.with_exit_price(pairs, recent, cuts)
+        settled = tr.with_exit_price(pairs, recent, slices)
     else:
-        settled = tr.settle_exits(pairs, decided, recent, cuts)
+        settled = tr.settle_exits(pairs, decided, recent, slices)
     settled = store(settled, "settled")
     still_open = F.col("exit_ts").isNull()
     store(settled.where(still_open).select(*tr.KEY, "entry"), "open")

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from strikeline.operators.ordered import SLICE, asof_join, previous_values, time_cuts, with_slice
+from strikeline.operators.ordered import SLICE, Slices, asof_join, previous_values, slices_of, with_slice
 
 START = datetime(2024, 1, 1)
 SCHEMA = "token string, ts timestamp_ntz"
@@ -15,13 +15,20 @@ def _at(second):
     return START + timedelta(seconds=second)
 
 
+def _cut(df, count, hot_only):
+    """``count`` slices of the hot key only, or of every key."""
+    found = slices_of(df, ["token"], "ts", count)
+    return found if hot_only else Slices(found.cuts)
+
+
 def _skewed(rng, n, horizon):
     keys = ["hot"] * 6 + ["a", "b", "c"]
     return [(rng.choice(keys), rng.randrange(horizon)) for _ in range(n)]
 
 
+@pytest.mark.parametrize("hot_only", [True, False])
 @pytest.mark.parametrize("slices,forward", [(1, False), (7, False), (40, False), (7, True), (40, True)])
-def test_asof_join(spark, slices, forward):
+def test_asof_join(spark, slices, forward, hot_only):
     rng = random.Random(slices)
     quotes = [(k, t, rng.choice([0.0, 1.0, 2.5])) for k, t in _skewed(rng, 300, 400)]
     probes = [(i, k, t) for i, (k, t) in enumerate(_skewed(rng, 300, 450))]
@@ -37,8 +44,9 @@ def test_asof_join(spark, slices, forward):
     p = spark.createDataFrame(
         [(i, k, None if t is None else _at(t)) for i, k, t in probes], f"id int, {SCHEMA}"
     )
-    cuts = time_cuts(q.select("ts").unionByName(p.select("ts")), "ts", slices)
-    got = {r.id: r.ltp for r in asof_join(p, q, ["token"], "ts", ["ltp"], cuts, forward).collect()}
+    both = q.select("token", "ts").unionByName(p.select("token", "ts"))
+    cut = _cut(both, slices, hot_only)
+    got = {r.id: r.ltp for r in asof_join(p, q, ["token"], "ts", ["ltp"], cut, forward).collect()}
     assert got == {i: expected(k, t) for i, k, t in probes}
 
 
@@ -50,15 +58,15 @@ def test_asof_without_quotes(spark):
     ]
 
 
-@pytest.mark.parametrize("slices", [1, 5, 60])
-def test_previous_values(spark, slices):
+@pytest.mark.parametrize("slices,hot_only", [(1, True), (5, True), (60, True), (60, False)])
+def test_previous_values(spark, slices, hot_only):
     rng = random.Random(slices)
     rows = [(k, t, i, rng.random()) for i, (k, t) in enumerate(_skewed(rng, 400, 150))]
     df = spark.createDataFrame(
         [(k, _at(t), i, v) for k, t, i, v in rows], f"{SCHEMA}, id int, v double"
     )
     out = previous_values(
-        df, ["token"], ["ts", "id"], {"v1": ("v", 1), "v2": ("v", 2)}, time_cuts(df, "ts", slices)
+        df, ["token"], ["ts", "id"], {"v1": ("v", 1), "v2": ("v", 2)}, _cut(df, slices, hot_only)
     )
     assert out.columns == ["token", "ts", "id", "v", "v1", "v2"]
     got = {r.id: (r.v1, r.v2) for r in out.collect()}
@@ -74,6 +82,7 @@ def test_slices_split_a_hot_key(spark):
     df = spark.range(10_000).selectExpr(
         "'hot' AS token", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, cast(id as int)) AS ts"
     )
-    cuts = time_cuts(df, "ts", 20)
-    sizes = [r["count"] for r in with_slice(df, "ts", cuts).groupBy(SLICE).count().collect()]
+    cut = slices_of(df, ["token"], "ts", 20)
+    assert len(cut.hot) == 1
+    sizes = [r["count"] for r in with_slice(df, ["token"], "ts", cut).groupBy(SLICE).count().collect()]
     assert len(sizes) == 20 and max(sizes) < 1500

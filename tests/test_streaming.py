@@ -9,7 +9,7 @@ from strikeline import fixed
 from strikeline.operators import decisions as dec
 from strikeline.operators import instruments as ins
 from strikeline.operators import trades as tr
-from strikeline.operators.ordered import time_cuts
+from strikeline.operators.ordered import slices_of
 from strikeline.plans import minute
 from strikeline.session import shared_dir
 from strikeline.sources import driver_tables as dt
@@ -63,7 +63,7 @@ def test_signals_equal_batch(spark, inputs):
 @pytest.mark.parametrize("always_priced", [True, False])
 def test_trades_equal_batch(spark, inputs, always_priced):
     chain, quotes = inputs[2], dt.quotes(spark, DATA)
-    cuts = time_cuts(quotes, "ts")
+    slices = slices_of(quotes, ["token"], "ts")
     path = shared_dir(spark)
     query = trade_stream(
         signal_stream(_stream(spark, inputs)), chain, quotes, path, f"{path}/c", always_priced
@@ -72,12 +72,12 @@ def test_trades_equal_batch(spark, inputs, always_priced):
     closed = spark.read.parquet(f"{path}/closed").drop("batch_id")
 
     decided = dec.entry_decisions(
-        dec.attach_strikes(_batch_signals(spark, inputs), chain), quotes, cuts
+        dec.attach_strikes(_batch_signals(spark, inputs), chain), quotes, slices
     )
     pairs = tr.pair_trades(decided)
     settled = (
-        tr.with_exit_price(pairs, quotes, cuts) if always_priced
-        else tr.settle_exits(pairs, decided, quotes, cuts)
+        tr.with_exit_price(pairs, quotes, slices) if always_priced
+        else tr.settle_exits(pairs, decided, quotes, slices)
     )
     want = tr.trade_rows(settled.where(F.col("exit_ts").isNotNull()))
     assert want.count() > 10
@@ -88,7 +88,7 @@ def test_keyed_state_equals_pairing(spark, inputs):
     chain, quotes = inputs[2], dt.quotes(spark, DATA)
     decided = dec.entry_decisions(
         dec.attach_strikes(minute.signals(dt.snapshots_of(inputs[0])), chain), quotes,
-        time_cuts(quotes, "ts"),
+        slices_of(quotes, ["token"], "ts"),
     )
     path = shared_dir(spark)
     for i, half in enumerate(("<", ">=")):

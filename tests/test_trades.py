@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strikeline import fixed
 from strikeline.operators import trades as tr
-from strikeline.operators.ordered import time_cuts
+from strikeline.operators.ordered import slices_of
 
 OPEN_AT = datetime(2024, 1, 10, 4, 0)
 SCHEMA = (
@@ -135,7 +135,7 @@ def test_failed_exits_are_retried(spark, seed, gap):
         [(tok, at, p) for (tok, at), p in quotes.items()], "token string, ts timestamp_ntz, ltp double"
     )
     decided = spark.createDataFrame(rows, SCHEMA)
-    settled = tr.settle_exits(tr.pair_trades(decided), decided, q, time_cuts(q, "ts", 5))
+    settled = tr.settle_exits(tr.pair_trades(decided), decided, q, slices_of(q, ["token"], "ts", 5))
     want = _loop(rows, price)
     assert _got(settled) == want
     assert want != _loop(rows)
