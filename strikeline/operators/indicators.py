@@ -55,6 +55,24 @@ def vote_counts(snapshots: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     )
 
 
+def vote_totals(snapshots: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """How often each kind of indicator cast each vote, per key: the rows of ``votes_long``
+    counted, from the packed per-row counts instead of one row per vote."""
+    kinds = {"oscillator": "osc", "moving_average": "ma"}
+    labels = (fixed.BUY, fixed.SELL, fixed.NEUTRAL)
+    columns = {(k, x): f"{short}_{x.lower()}" for k, short in kinds.items() for x in labels}
+    sums = vote_counts(snapshots, keys).groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in columns.values()]
+    )
+    rows = [
+        F.struct(F.lit(k).alias("kind"), F.lit(x).alias("vote"), F.col(c).alias("n"))
+        for (k, x), c in columns.items()
+    ]
+    return sums.select(*keys, F.explode(F.array(*rows)).alias("t")).select(
+        *keys, "t.*"
+    ).where("n > 0")
+
+
 def rollup(snapshots: DataFrame, keep: tuple[str, ...] = ("symbol", "tf", "ts")) -> DataFrame:
     """Recommendation, counts and price per snapshot; a snapshot that cannot be analysed
     yields an empty signal with price 0 and no votes."""

@@ -112,8 +112,7 @@ def votes_unwired(spark, d):
 
 @query
 def votes_by_kind(spark, d):
-    long = ind.votes_long(dt.snapshots(spark, d), ("symbol", "tf"))
-    return long.groupBy("symbol", "tf", "kind", "vote").agg(F.count("*").alias("n"))
+    return ind.vote_totals(dt.snapshots(spark, d), ("symbol", "tf"))
 
 
 @query

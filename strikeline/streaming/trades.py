@@ -16,7 +16,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from strikeline.operators import decisions as dec
 from strikeline.operators import indicators as ind
 from strikeline.operators import trades as tr
-from strikeline.operators.ordered import slices_of
+from strikeline.operators.ordered import Slices, slices_of
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -28,6 +28,11 @@ def _batch_path(root: str, table: str, batch_id: int) -> str:
     return f"{root}/{table}/batch_id={batch_id}"
 
 
+def _open_schema(decided: DataFrame) -> StructType:
+    keys = [StructField(k, StringType()) for k in tr.KEY]
+    return StructType([*keys, StructField("entry", decided.schema)])
+
+
 def _process(
     batch: DataFrame, batch_id: int, root: str, chain: DataFrame, quotes: DataFrame,
     exits_always_priced: bool,
@@ -46,15 +51,29 @@ def _process(
         return spark.read.schema(schema).parquet(_batch_path(root, table, batch_id - 1))
 
     fresh = store(batch, "signals")
+    offered = quotes.select("token", "ts", "ltp")
+    numbered = ind.number_cycles(fresh)
+    counted = numbered.select("symbol", "session_date", "C_NUM").schema
+    last_numbers = before("cycles", counted)
+    last_quotes = before("last_quotes", offered.schema)
+    progress = before("progress", "upto timestamp_ntz")
+
+    seen = progress.agg(F.max("upto")).first()[0]
+    upto = fresh.agg(F.max("minute")).first()[0]
+    if upto is None:  # nothing new: hand the state on
+        store(progress, "progress")
+        store(last_quotes, "last_quotes")
+        store(last_numbers, "cycles")
+        plan = dec.entry_decisions(dec.attach_strikes(numbered, chain), offered, Slices())
+        store(before("open", _open_schema(plan)), "open")
+        return
+    store(spark.createDataFrame([(upto,)], "upto timestamp_ntz"), "progress")
 
     # of the quotes only those since the previous batch, and each token's last one before
-    seen = before("progress", "upto timestamp_ntz").agg(F.max("upto")).first()[0]
-    upto = fresh.agg(F.max("minute")).first()[0] or seen
-    store(spark.createDataFrame([(upto,)], "upto timestamp_ntz"), "progress")
-    since = quotes.select("token", "ts", "ltp").where(F.col("ts") <= F.lit(upto))
+    since = offered.where(F.col("ts") <= F.lit(upto))
     if seen is not None:
         since = since.where(F.col("ts") > F.lit(seen))
-    recent = before("last_quotes", since.schema).unionByName(since)
+    recent = last_quotes.unionByName(since)
     slices = slices_of(recent, ["token"], "ts")
     newest_quote = F.max(F.struct("ts", "ltp")).alias("q")
     store(
@@ -64,27 +83,21 @@ def _process(
     )
 
     # cycle numbers go on where the symbol's session stopped
-    numbered = ind.number_cycles(fresh)
-    counted = numbered.select("symbol", "session_date", "C_NUM")
-    last = before("cycles", counted.schema)
-    numbered = numbered.join(
-        last.withColumnRenamed("C_NUM", "counted"), ["symbol", "session_date"], "left"
-    ).withColumn("C_NUM", F.col("C_NUM") + F.coalesce("counted", F.lit(0))).drop("counted")
-
+    before_batch = last_numbers.withColumnRenamed("C_NUM", "counted")
+    numbered = numbered.join(before_batch, ["symbol", "session_date"], "left").withColumn(
+        "C_NUM", F.col("C_NUM") + F.coalesce("counted", F.lit(0))
+    ).drop("counted")
     decided = store(
         dec.entry_decisions(dec.attach_strikes(numbered, chain), recent, slices), "decisions"
     )
     newest = F.max(F.struct("session_date", "C_NUM")).alias("n")
     store(
-        last.unionByName(decided.select(*last.columns)).groupBy("symbol").agg(newest)
-        .select("symbol", "n.*"),
+        last_numbers.unionByName(decided.select(*last_numbers.columns)).groupBy("symbol")
+        .agg(newest).select("symbol", "n.*"),
         "cycles",
     )
 
-    entry = StructType([
-        StructField(k, StringType()) for k in tr.KEY
-    ] + [StructField("entry", decided.schema)])
-    pairs = tr.pair_trades(decided, carried=before("open", entry))
+    pairs = tr.pair_trades(decided, carried=before("open", _open_schema(decided)))
     if exits_always_priced:
         settled = tr.with_exit_price(pairs, recent, slices)
     else:
