@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikeline.llm import exact_dedup, sharding, url_trust
+from strikeline.llm import exact_dedup, packing, sentencepiece_agenda, sharding, url_trust
 from strikeline.llm.common import table
 
 
@@ -18,6 +19,16 @@ def op1_vector_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return sentencepiece_agenda.encode(table(spark, sf_dir, "documents"), model)
+
+
+def op8_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer, longest=2048, end_id=1)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -29,7 +40,10 @@ def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_vector_shards, op9_exact_dedup, op10_url_trust)
+    f.__name__: f for f in (
+        op1_vector_shards, op2_sentencepiece, op8_power_of_two_packing, op9_exact_dedup,
+        op10_url_trust,
+    )
 }
 
 ORACLES: dict[str, str] = {
