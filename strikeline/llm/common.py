@@ -35,3 +35,21 @@ def ascii_lower(text: Column) -> Column:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def join_groups(
+    rows: DataFrame, groups: DataFrame, key: str, size: str, total: int
+) -> DataFrame:
+    """Inner join of ``rows`` with ``groups`` (one row per ``key``, ``size`` rows of it), in
+    which no group gathers in a task.
+
+    Groups with more than a quarter of a partition's share of ``total`` rows, at most four
+    per partition, are broadcast; the others are joined by a shuffle.
+    """
+    many = F.col(size) > max(1, total // (4 * partitions_of(rows.sparkSession)))
+    large = groups.where(many)
+    tried = rows.join(F.broadcast(large), key, "left")
+    by_shuffle = (
+        tried.where(F.col(size).isNull()).select(*rows.columns).join(groups.where(~many), key)
+    )
+    return tried.where(F.col(size).isNotNull()).unionByName(by_shuffle)

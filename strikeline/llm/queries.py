@@ -8,8 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikeline.llm import exact_dedup, packing, sentencepiece_agenda, sharding, url_trust
+from strikeline.llm import (
+    exact_dedup,
+    packing,
+    sentencepiece_agenda,
+    sharding,
+    syncmers,
+    url_trust,
+    warc,
+)
 from strikeline.llm.common import table
+from strikeline.session import shared_dir
 
 
 def op1_vector_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +33,17 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_agenda.encode(table(spark, sf_dir, "documents"), model)
 
 
+def op5_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.edit_test(table(spark, sf_dir, "documents"))
+
+
+def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write(table(spark, sf_dir, "pages"), shared_dir(spark))
+    return warc.read(manifest).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op8_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer, longest=2048, end_id=1)
@@ -41,12 +61,13 @@ def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_vector_shards, op2_sentencepiece, op8_power_of_two_packing, op9_exact_dedup,
-        op10_url_trust,
+        op1_vector_shards, op2_sentencepiece, op5_closed_syncmers, op7_warc_round_trip,
+        op8_power_of_two_packing, op9_exact_dedup, op10_url_trust,
     )
 }
 
 ORACLES: dict[str, str] = {
+    "op7_warc_round_trip": warc.READ_BACK_SQL,
     "op9_exact_dedup": exact_dedup.REPORT_SQL,
     "op10_url_trust": url_trust.VERDICT_SQL,
 }

@@ -86,22 +86,16 @@ def shard(
     is_large = F.greatest(*share) > 1.0 / (_LARGE * cells)
     residual = [[1.0 / shards] * 3 for _ in range(shards)]
 
-    large = groups.where(is_large).select("key").withColumn("is_large", F.lit(True))
-    # at most 3 * _LARGE rows for each cell
-    large = F.broadcast(large)
+    # at most 3 * _LARGE rows for each cell; those that fit a small share of a shard stay whole
+    large = F.broadcast(groups.where(is_large).select(
+        "key", F.lit(True).alias("is_large"),
+        (F.greatest(*share) > 1.0 / (_LARGE * shards)).alias("is_cut"),
+    ))
     marked = rows.join(large, "key", "left")
-    one = Window.partitionBy("key")
-    parts = (
-        marked.where("is_large").groupBy("key", "salt").agg(
-            F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"),
-            F.count("*").alias("rows"),
-        )
-        # a large group that still fits a small share of a shard stays whole
-        .withColumn("whole", F.greatest(*[
-            F.sum(d).over(one) / F.lit(float(max(totals[d], 1))) for d in _DIMS
-        ]) <= 1.0 / (_LARGE * shards))
-        .withColumn("part", F.when(~F.col("whole"), F.col("salt")))
-        .groupBy("key", "part").agg(*[F.sum(d).alias(d) for d in _DIMS])
+    parts = marked.where("is_large").groupBy(
+        "key", F.when(F.col("is_cut"), F.col("salt")).alias("part")
+    ).agg(
+        F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")
     )
     placed = []
     demands = [
@@ -143,15 +137,12 @@ def shard(
     )
     whole = F.broadcast(placed.where("part is null").drop("part"))
     cut = F.broadcast(placed.where("part is not null"))
-    cut_keys = F.broadcast(placed.where("part is not null").select("key").distinct()
-                           .withColumn("is_cut", F.lit(True)))
-    big = marked.where("is_large").drop("is_large").join(cut_keys, "key", "left")
     kept = ["doc_id", "size", "tokens", "text_crc32", "shard", "part"]
     none = F.lit(None).cast("int").alias("part")
     assigned = cut_lineage(union_all([
         marked.where("is_large is null").join(packed, "key").withColumn("part", none).select(*kept),
-        big.where("is_cut is null").join(whole, "key").withColumn("part", none).select(*kept),
-        big.where("is_cut").join(cut, (big.key == cut.key) & (big.salt == cut.part))
+        marked.where("not is_cut").join(whole, "key").withColumn("part", none).select(*kept),
+        marked.where("is_cut").withColumn("part", F.col("salt")).join(cut, ["key", "part"])
         .select(*kept),
     ]))
     return with_slots(assigned)
