@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strikeline.llm import (
     exact_dedup,
     packing,
+    pii,
     sentencepiece_agenda,
     sharding,
     syncmers,
@@ -33,6 +34,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_agenda.encode(table(spark, sf_dir, "documents"), model)
 
 
+def op4_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op5_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edit_test(table(spark, sf_dir, "documents"))
 
@@ -61,8 +66,8 @@ def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_vector_shards, op2_sentencepiece, op5_closed_syncmers, op7_warc_round_trip,
-        op8_power_of_two_packing, op9_exact_dedup, op10_url_trust,
+        op1_vector_shards, op2_sentencepiece, op4_weak_supervision_pii, op5_closed_syncmers,
+        op7_warc_round_trip, op8_power_of_two_packing, op9_exact_dedup, op10_url_trust,
     )
 }
 
