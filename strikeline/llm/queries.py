@@ -15,6 +15,7 @@ from strikeline.llm import (
     sentencepiece_agenda,
     sharding,
     syncmers,
+    toxicity,
     url_trust,
     warc,
 )
@@ -34,6 +35,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_agenda.encode(table(spark, sf_dir, "documents"), model)
 
 
+def op3_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -66,8 +71,8 @@ def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_vector_shards, op2_sentencepiece, op4_weak_supervision_pii, op5_closed_syncmers,
-        op7_warc_round_trip, op8_power_of_two_packing, op9_exact_dedup, op10_url_trust,
+        op1_vector_shards, op2_sentencepiece, op3_counterfactual_toxicity,
+        op4_weak_supervision_pii, op5_closed_syncmers, op7_warc_round_trip, op8_power_of_two_packing, op9_exact_dedup, op10_url_trust,
     )
 }
 
