@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strikeline.llm import (
     exact_dedup,
+    jaccard_join,
     packing,
     pii,
     sentencepiece_agenda,
@@ -47,6 +48,10 @@ def op5_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edit_test(table(spark, sf_dir, "documents"))
 
 
+def op6_heavy_light_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.report(table(spark, sf_dir, "documents"))
+
+
 def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write(table(spark, sf_dir, "pages"), shared_dir(spark))
     return warc.read(manifest).select(
@@ -71,8 +76,16 @@ def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_vector_shards, op2_sentencepiece, op3_counterfactual_toxicity,
-        op4_weak_supervision_pii, op5_closed_syncmers, op7_warc_round_trip, op8_power_of_two_packing, op9_exact_dedup, op10_url_trust,
+        op1_vector_shards,
+        op2_sentencepiece,
+        op3_counterfactual_toxicity,
+        op4_weak_supervision_pii,
+        op5_closed_syncmers,
+        op6_heavy_light_jaccard,
+        op7_warc_round_trip,
+        op8_power_of_two_packing,
+        op9_exact_dedup,
+        op10_url_trust,
     )
 }
 
