@@ -141,7 +141,7 @@ def deduplicate(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     blocks = blocks_for(docs.count())
     bits = repeated_bits(hashed, blocks)
     carried = docs.select(
-        digest_of(text).alias("digest"), F.struct(*[docs[c] for c in docs.columns]).alias("doc")
+        digest_of(text).alias("digest"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc")
     )
     flagged = with_possibly_repeated(carried, bits, blocks)
     order = F.struct(F.col(f"doc.`{id_column}`"), F.xxhash64("doc"))

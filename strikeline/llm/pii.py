@@ -201,7 +201,7 @@ def _candidate(kind: str, origin: str) -> str:
 def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` as a struct ``_doc`` with arrays ``_base`` (accepted by base rules) and
     ``_other`` (refused or loose, the latter without those that touch a base span)."""
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"),
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_doc"),
                        filled(docs[text]).alias("_text"))
     for kind, pattern in BASE.items():
         rows = _found(rows, kind, pattern)

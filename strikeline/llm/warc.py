@@ -184,12 +184,14 @@ class _Reader:
                 out = inflate.decompress(piece, 0 if checked else _HEADER_LIMIT)
             except zlib.error:
                 return None
-            at += len(piece) - len(inflate.unconsumed_tail) - len(inflate.unused_data)
+            # at a member's end both may hold what follows it
+            rest = inflate.unused_data if inflate.eof else inflate.unconsumed_tail
+            at += len(piece) - len(rest)
             got.append(out)
             length += len(out)
             if not checked:
                 head = b"".join(got)
-                if not b"WARC/1.".startswith(head[:7]) and head[:7] != b"WARC/1.":
+                if not b"WARC/1.".startswith(head[:7]):
                     return None
                 checked = b"\r\n\r\n" in head
                 if not checked and length >= _HEADER_LIMIT:
