@@ -1,23 +1,56 @@
-"""Training-corpus pipeline: stages that each take the documents the one before kept."""
+"""Training-corpus pipeline: stages that each take the documents the one before kept.
+
+A stage gets the documents as a DataFrame read from what the stage before has written, works
+on all of them and returns those it keeps, with the columns of ``documents``; the last returns
+packed sequences. Nulls, empty texts and repeated rows are handled as the operators say.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strikeline.llm import exact_dedup
+from strikeline.llm import exact_dedup, jaccard_join, packing, pii, toxicity
 from strikeline.session import shared_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the counterfactual-regularised classifier scores 0.5 or more go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.without_toxic(docs, toxicity.fit(docs, labels))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents equal but for the case of A-Z, the one with the largest doc_id stays."""
     return exact_dedup.deduplicate(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", drop_exact_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by Jaccard 0.8 of five-word shingles, the smallest doc_id stays."""
+    return jaccard_join.one_of_each(docs)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data give way to their kind; n_chars is that of the new text."""
+    return pii.redacted(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents become sequences of power-of-two lengths."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("pii", redact_personal_data),
+    ("packing", pack_sequences),
+]
 
 #: Classifiers and tokenizers have no SQL counterpart.
 ORACLE_SQL = None
