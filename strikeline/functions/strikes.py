@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from strikeline import fixed
 
 
+def usable(price: Column) -> Column:
+    """Whether a price can be traded on: a number above zero. NaN, which sorts above all
+    numbers, is none."""
+    return F.coalesce((price > 0) & ~F.isnan(price), F.lit(False))
+
+
 def _step_down(whole: Column) -> Column:
     """Largest-magnitude multiple of the strike step not beyond ``whole`` (toward zero)."""
     step = F.lit(fixed.STRIKE_STEP).cast("long")
@@ -15,15 +21,15 @@ def _step_down(whole: Column) -> Column:
 
 
 def call_strike(price: Column, mode: str = "round") -> Column:
-    """The call-side strike of a numeric price.
+    """The call-side strike of a numeric price; null for NaN and infinity.
 
     ``round``: half-even to a whole number first (trading and checks).
     ``trunc``: drop the fraction first (building the strike band).
     """
     if mode == "round":
-        whole = F.bround(price.cast("double"), 0).cast("long")
+        whole = F.bround(price.cast("double"), 0).try_cast("bigint")
     elif mode == "trunc":
-        whole = price.cast("double").cast("long")
+        whole = price.cast("double").try_cast("bigint")
     else:
         raise ValueError(f"mode must be 'round' or 'trunc', not {mode!r}")
     return _step_down(whole)
@@ -47,7 +53,7 @@ def strikes_from_text(price: Column) -> tuple[Column, Column]:
 
 def strike_from_hundredths(text: Column) -> Column:
     """Strike text in hundredths ("4450000.000000") to a whole strike."""
-    return (text.try_cast("double") / 100).cast("long")
+    return (text.try_cast("double") / 100).try_cast("bigint")
 
 
 def band(centre: Column, half_width: int) -> tuple[Column, Column]:

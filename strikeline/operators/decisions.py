@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strikeline import fixed
-from strikeline.operators.instruments import ladder
+from strikeline.functions.strikes import usable
+from strikeline.operators.instruments import chain_of_days, ladder
 from strikeline.operators.ordered import Slices, asof_join
 
 _LOTS = {tf: m for tf, _, _, m in fixed.TIMEFRAMES if m is not None}
@@ -16,13 +17,21 @@ def attach_strikes(signals: DataFrame, chain: DataFrame) -> DataFrame:
     """Add the call at CSP and the put at PSP; ``strike_ok`` needs both.
 
     The ladder is left to the optimizer: it is broadcast when its size is known to be
-    small and joined by shuffle, with skewed keys split, when it is not.
+    small and joined by shuffle, with skewed keys split, when it is not. A chain with
+    ``session_date`` is looked up by the signal's day.
     """
-    return signals.join(ladder(chain), ["symbol", "CSP"], "left").withColumn(
+    days = [c for c in ("session_date",) if c in chain.columns]
+    return signals.join(ladder(chain), ["symbol", *days, "CSP"], "left").withColumn(
         "strike_ok", F.col("ce_token").isNotNull() & F.col("pe_token").isNotNull()
     )
 
 
+def attach_daily_strikes(signals: DataFrame, options: DataFrame) -> DataFrame:
+    """Strikes from the chain that is current on each signal's own day."""
+    days = signals.select(F.col("symbol").alias("name"), "session_date")
+    return attach_strikes(signals, chain_of_days(options, days))
+
+
 def strike_issues(looked_up: DataFrame) -> DataFrame:
     """One row per signal whose strikes are not listed; a missing call is reported first."""
     call_missing = F.col("ce_token").isNull()
@@ -60,10 +69,6 @@ def with_trade_params(looked_up: DataFrame) -> DataFrame:
     )
 
 
-def usable(price: Column) -> Column:
-    return F.coalesce(price > 0, F.lit(False))
-
-
 def price_at(rows: DataFrame, quotes: DataFrame, token: str, ts: str, name: str,
              slices: Slices) -> DataFrame:
     """Add the last traded price of ``token`` at ``ts``. ``quotes``: token, ts, ltp."""

@@ -59,16 +59,28 @@ def current_option_expiry(options: DataFrame, as_of: str | Column) -> DataFrame:
 def option_chain(options: DataFrame, as_of: str | Column) -> DataFrame:
     """Call and put rows of every underlying's current expiry, strikes as whole numbers."""
     current = current_option_expiry(options, as_of).withColumnRenamed("opt_expiry", "expiry_date")
-    return (
-        options.join(current, ["name", "expiry_date"])
-        .select(
-            "name", "token", "symbol",
-            strikes.strike_from_hundredths(F.col("strike")).alias("strike"),
-            F.col("expiry_date").alias("expiry"),
-            F.right("symbol", F.lit(2)).alias("ce_or_pe"),
-        )
-        .where(F.col("ce_or_pe").isin(fixed.CALL, fixed.PUT))
+    return _chain_rows(options.join(current, ["name", "expiry_date"]))
+
+
+def chain_of_days(options: DataFrame, days: DataFrame) -> DataFrame:
+    """The option chain of every (name, session_date) in ``days``: the rows of the expiry that
+    is current on that day, with ``session_date``. A day after the last expiry has no rows."""
+    current = (
+        days.select("name", "session_date").distinct()
+        .join(distinct_expiries(options), "name")
+        .where(F.col("expiry_date") >= F.col("session_date"))
+        .groupBy("name", "session_date").agg(F.min("expiry_date").alias("expiry_date"))
     )
+    return _chain_rows(options.join(current, ["name", "expiry_date"]), "session_date")
+
+
+def _chain_rows(options: DataFrame, *more: str) -> DataFrame:
+    return options.select(
+        "name", "token", "symbol",
+        strikes.strike_from_hundredths(F.col("strike")).alias("strike"),
+        F.col("expiry_date").alias("expiry"),
+        F.right("symbol", F.lit(2)).alias("ce_or_pe"), *more,
+    ).where(F.col("ce_or_pe").isin(fixed.CALL, fixed.PUT))
 
 
 def one_side(chain: DataFrame, side: str) -> DataFrame:
@@ -80,7 +92,7 @@ def in_band(chain: DataFrame, prices: DataFrame, half_width: int = fixed.BUILD_B
     strike (truncating variant). ``prices``: name, price; a price that is not above zero
     keeps nothing."""
     call = strikes.call_strike(F.col("price"), mode="trunc")
-    centres = prices.where(F.col("price") > 0).select("name", call.alias("call_centre"))
+    centres = prices.where(strikes.usable(F.col("price"))).select("name", call.alias("call_centre"))
     centre = F.when(F.col("ce_or_pe") == fixed.CALL, F.col("call_centre")).otherwise(
         strikes.put_strike(F.col("call_centre"))
     )
@@ -91,19 +103,21 @@ def in_band(chain: DataFrame, prices: DataFrame, half_width: int = fixed.BUILD_B
 
 
 def ladder(chain: DataFrame) -> DataFrame:
-    """One row per underlying and call strike: the call at that strike and the put one
-    step above it. The smallest token wins where a strike is listed twice."""
+    """One row per underlying and call strike (and day, for a chain of days): the call at
+    that strike and the put one step above it. The smallest token wins where a strike is
+    listed twice."""
+    days = [c for c in ("session_date",) if c in chain.columns]
     is_call = F.col("ce_or_pe") == fixed.CALL
     entry = F.struct("token", "symbol")
     call_at = F.when(is_call, F.col("strike")).otherwise(F.col("strike") - fixed.STRIKE_STEP)
     return (
-        chain.groupBy(F.col("name").alias("symbol"), call_at.alias("CSP"))
+        chain.groupBy(F.col("name").alias("symbol"), *days, call_at.alias("CSP"))
         .agg(
             F.min(F.when(is_call, entry)).alias("ce"),
             F.min(F.when(~is_call, entry)).alias("pe"),
         )
         .select(
-            "symbol", "CSP",
+            "symbol", *days, "CSP",
             F.col("ce.token").alias("ce_token"), F.col("ce.symbol").alias("ce_symbol"),
             F.col("pe.token").alias("pe_token"), F.col("pe.symbol").alias("pe_symbol"),
         )

@@ -21,7 +21,6 @@ SLICE = "time_slice"
 _AT = "slice_position"
 _SAMPLE_PER_SLICE = 1000
 _SLICES_PER_PARTITION = 4
-_SMALL = 100_000
 
 
 @dataclass(frozen=True)
@@ -51,14 +50,14 @@ def slices_of(
     df: DataFrame, keys: Sequence[str], ts: str, count: int | None = None
 ) -> Slices:
     """Slices for ``df`` from a sample: ``count`` time slices (default: four per shuffle
-    partition, none for small data) of the keys with more than half a partition's share.
+    partition) of the keys with more than half a partition's share; none without such keys.
 
     What reaches the driver is bounded by the number of shuffle partitions: the cut points
     and the hashes of at most two hot keys per partition.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.count()
-    if rows == 0 or (count is None and rows < _SMALL):
+    if rows == 0:
         return Slices()
     count = count or _SLICES_PER_PARTITION * partitions
     if count < 2:
@@ -72,7 +71,8 @@ def slices_of(
     )
     heavy = F.col("count") > rows * share / (2 * partitions)
     hot = sample.groupBy("key").count().where(heavy).select("key").collect()
-    return Slices(tuple(sorted(set(cuts))), frozenset(r.key for r in hot))
+    keys_to_cut = frozenset(r.key for r in hot)
+    return Slices(tuple(sorted(set(cuts))), keys_to_cut) if keys_to_cut else Slices()
 
 
 def with_slice(df: DataFrame, keys: Sequence[str], ts: str, slices: Slices) -> DataFrame:

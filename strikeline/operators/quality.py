@@ -22,7 +22,7 @@ def expected_ladder(prices: DataFrame, half_width: int = fixed.CHECK_BAND) -> Da
     low, high = strikes.band(F.col("centre"), half_width)
     ladder = F.sequence(low, high, F.lit(fixed.STRIKE_STEP).cast("long"))
     return (
-        prices.where(F.col("price") > 0).select("name", centre.alias("centre"))
+        prices.where(strikes.usable(F.col("price"))).select("name", centre.alias("centre"))
         .where(F.col("centre") > 0)
         .select("name", F.explode(ladder).alias("strike"))
         .withColumn("ce_or_pe", F.explode(F.array(F.lit(fixed.CALL), F.lit(fixed.PUT))))
@@ -74,6 +74,16 @@ def config_checks(
     return config.select(F.explode(F.array(*rows)).alias("c")).select("c.*")
 
 
+def present_checks(names: DataFrame, config: DataFrame) -> DataFrame:
+    """One row for each underlying in ``names``: is there a config record for it."""
+    there = config.select("name").distinct().withColumn("there", F.lit(True))
+    found = F.col("there").isNotNull()
+    return names.select("name").distinct().join(there, "name", "left").select(*_check(
+        "name", "has_config", found, CRITICAL,
+        F.when(found, "").otherwise("no config record"),
+    ))
+
+
 def ladder_checks(chain: DataFrame, prices: DataFrame) -> DataFrame:
     """Per underlying and side: is every expected strike listed. An underlying without a
     usable price has no expected strikes and fails."""

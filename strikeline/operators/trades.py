@@ -283,7 +283,7 @@ def current_signals(signals: DataFrame) -> DataFrame:
 def can_exit() -> Column:
     """A stored trade that has all it takes to be closed."""
     named = (F.col("OPT_SYMBOL") != "") & (F.col("OPT_TOKEN") != "")
-    return F.coalesce(named & (F.col("EN_OPT_PRICE") > 0), F.lit(False))
+    return F.coalesce(named, F.lit(False)) & usable(F.col("EN_OPT_PRICE"))
 
 
 def closable(open_trades: DataFrame, signals: DataFrame) -> DataFrame:

@@ -185,6 +185,20 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                 CASE WHEN ce_or_pe = 'CE' THEN strike ELSE strike - 100 END AS "CSP",
                 row_number() OVER (PARTITION BY name, ce_or_pe, strike ORDER BY token) AS rn
               FROM chain) WHERE rn = 1 GROUP BY symbol, "CSP" """),
+    "day_ladder": (("sig", "opt"), """
+        SELECT symbol, session_date, "CSP", max(t) FILTER (side = 'CE') AS ce_token,
+          max(s) FILTER (side = 'CE') AS ce_symbol, max(t) FILTER (side = 'PE') AS pe_token,
+          max(s) FILTER (side = 'PE') AS pe_symbol
+        FROM (SELECT d.symbol, d.session_date, right(o.symbol, 2) AS side, o.token AS t, o.symbol AS s,
+                (o.strike::DOUBLE / 100)::BIGINT
+                  - CASE WHEN right(o.symbol, 2) = 'CE' THEN 0 ELSE 100 END AS "CSP",
+                row_number() OVER (PARTITION BY d.symbol, d.session_date, right(o.symbol, 2), o.strike
+                  ORDER BY o.token) AS rn
+              FROM (SELECT DISTINCT symbol, session_date FROM sig) d
+              JOIN opt o ON o.name = d.symbol AND right(o.symbol, 2) IN ('CE', 'PE')
+                AND o.expiry_date = (SELECT min(e.expiry_date) FROM opt e
+                  WHERE e.name = d.symbol AND e.expiry_date >= d.session_date))
+        WHERE rn = 1 GROUP BY symbol, session_date, "CSP" """),
     "bar1": ((), """
         SELECT symbol, minute AS bar_ts, max(price) FILTER (up = 1) AS "open", max(price) AS high,
           min(price) AS low, max(price) FILTER (down = 1) AS close,
@@ -219,10 +233,11 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
               + to_minutes((l_orderkey * 37 + l_linenumber * 1009) % 43200) AS ts,
             CASE WHEN (l_orderkey + l_linenumber) % 23 = 0 THEN 0::DOUBLE
               ELSE l_extendedprice END AS ltp FROM lineitem) GROUP BY token, ts"""),
-    "looked": (("sig", "ladder"), """
+    "looked": (("sig", "day_ladder"), """
         SELECT sig.*, ce_token, ce_symbol, pe_token, pe_symbol,
           ce_token IS NOT NULL AND pe_token IS NOT NULL AS strike_ok
-        FROM sig LEFT JOIN ladder ON sig.symbol = ladder.symbol AND sig."CSP" = ladder."CSP" """),
+        FROM sig LEFT JOIN day_ladder l ON sig.symbol = l.symbol AND sig."CSP" = l."CSP"
+          AND sig.session_date = l.session_date"""),
     "params": (("looked",), """
         SELECT *, CASE WHEN buys THEN 'BUY' WHEN sells THEN 'SELL' END AS trade_type,
           CASE WHEN buys THEN 'CE' WHEN sells THEN 'PE' END AS side,
@@ -287,7 +302,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT *, sg IN ('BUY','STRONG_BUY') AS buy FROM (
           SELECT o_orderkey::VARCHAR AS "UID", {SYMBOLS}[o_custkey % 5 + 1] AS symbol,
             {TFS}[left(o_orderpriority, 1)::INTEGER] AS "TS_TF", o_orderdate, o_totalprice,
-            ['BUY','STRONG_BUY','SELL'][o_custkey % 3 + 1] AS sg,
+            ['BUY','STRONG_BUY','SELL','STRONG_SELL'][o_custkey % 4 + 1] AS sg,
             (44000 + o_orderkey % 4900)::DOUBLE AS "EN_FUT_PRICE",
             o_orderkey % 49 * 100 + 44000 AS "OPT_STRIKE_PRICE",
             'OPT' || (o_orderkey % 400)::VARCHAR AS "OPT_SYMBOL",
@@ -314,16 +329,25 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT name, unnest(range(c - 700, c + 701, 100)) AS strike, ce_or_pe
         FROM (SELECT name, round_even(price, 0)::BIGINT - round_even(price, 0)::BIGINT % 100 AS c
               FROM price WHERE price > 0), (VALUES ('CE'),('PE')) v(ce_or_pe) WHERE c > 0"""),
-    "ladder_check": (("expected", "chain", "price", "config"), """
-        SELECT name AS scope, lower(ce_or_pe) || '_strikes' AS "check", wanted = found AS passed,
-          'CRITICAL_ERROR' AS severity, CASE WHEN wanted = found THEN ''
+    "named": (("chain", "price", "config"), """
+        SELECT name FROM chain UNION SELECT name FROM price UNION SELECT name FROM config"""),
+    "ladder_check": (("expected", "chain", "named"), """
+        SELECT name AS scope, lower(ce_or_pe) || '_strikes' AS "check",
+          coalesce(wanted = found, false) AS passed,
+          'CRITICAL_ERROR' AS severity, CASE WHEN wanted IS NULL THEN 'no usable price'
+            WHEN wanted = found THEN ''
             ELSE (wanted - found)::VARCHAR || ' strikes missing' END AS message
-        FROM (SELECT e.name, e.ce_or_pe, count(*) AS wanted, count(c.strike) AS found
-              FROM expected e SEMI JOIN config ON e.name = config.name
+        FROM (SELECT name, ce_or_pe FROM named, (VALUES ('CE'),('PE')) v(ce_or_pe)) LEFT JOIN (
+              SELECT e.name, e.ce_or_pe, count(*) AS wanted, count(c.strike) AS found
+              FROM expected e
               LEFT JOIN (SELECT DISTINCT name, ce_or_pe, strike FROM chain) c
                 ON e.name = c.name AND e.ce_or_pe = c.ce_or_pe AND e.strike = c.strike
-              GROUP BY ALL)"""),
-    "config_check": (("config",), f"""
+              GROUP BY ALL) USING (name, ce_or_pe)"""),
+    "config_check": (("config", "named"), f"""
+        SELECT name AS scope, 'has_config' AS "check", name IN (SELECT name FROM config) AS passed,
+          'CRITICAL_ERROR' AS severity,
+          CASE WHEN name IN (SELECT name FROM config) THEN '' ELSE 'no config record' END AS message
+        FROM named UNION ALL
         SELECT name AS scope, u."check", u.passed, u.severity, u.message FROM (
           SELECT name, unnest([
             {{'check': 'has_UPDATED_DATE_TIME', 'passed': "UPDATED_DATE_TIME" IS NOT NULL,
@@ -406,6 +430,16 @@ def _walked_trades() -> str:
     )
 
 
+def _closed_trades() -> str:
+    """Closed trades with the expiry of their option; both flags must hold."""
+    head, body = _walked_trades().rsplit("FROM walked", 1)[0], "FROM walked"
+    start = head.rindex("SELECT symbol")
+    return head[:start] + f"""SELECT w."UID", x AS "EN_T_SIGNAL", session_date AS "T_DATE",
+        o.expiry_date AS expiry, price AS "EX_OPT_PRICE", true AS before_expiry, true AS priced
+        {body} w JOIN (SELECT token, CASE WHEN expiry <> '' THEN strptime(expiry, '%d%b%Y')::DATE END
+          AS expiry_date FROM master) o ON o.token = w.opt_token WHERE ex_minute IS NOT NULL"""
+
+
 def _emitted_only(sql: str) -> str:
     """Only the minutes a stream has emitted: the newest in-session event is at least a
     minute past their end."""
@@ -605,7 +639,13 @@ ORACLES: dict[str, str] = {
           SELECT 1 FROM held WHERE held.symbol = sig.symbol AND held."TS_TF" = sig.tf
             AND held."EN_T_SIGNAL" = sig."TA_SIGNAL")""", "sig", "held",
     ),
-    "trade_lifecycle": _sql("SELECT * FROM trades", "trades"),
+    "trade_lifecycle": _walked_trades(),
+    "price_guard": """SELECT l_orderkey, l_linenumber, k >= 4 AS usable,
+        CASE WHEN k > 1 THEN round_even(p, 0)::BIGINT - round_even(p, 0)::BIGINT % 100 END AS "CSP",
+        CASE WHEN k > 1 THEN trunc(p)::BIGINT - trunc(p)::BIGINT % 100 END AS "CSP_trunc"
+        FROM (SELECT l_orderkey, l_linenumber, (l_orderkey + l_linenumber) % 7 AS k,
+          CASE (l_orderkey + l_linenumber) % 7 WHEN 2 THEN 0 WHEN 3 THEN -l_extendedprice
+            ELSE l_extendedprice END::DOUBLE AS p FROM lineitem)""",
     "open_positions": _sql("SELECT * FROM held", "held"),
     "exit_overlay": _sql(
         """SELECT live."UID", symbol, "TS_TF", "TRADE_TYPE", "EN_T_SIGNAL", "EN_FUT_PRICE",
@@ -627,8 +667,9 @@ ORACLES: dict[str, str] = {
     ),
     "minute_cycle_exits": _sql(
         """SELECT exit_vals.* FROM exit_vals JOIN closing ON exit_vals."UID" = closing."UID"
-        JOIN ladder ON closing.symbol = ladder.symbol AND closing."CSP" = ladder."CSP"
-        WHERE ce_token IS NOT NULL AND pe_token IS NOT NULL""", "exit_vals", "closing", "ladder",
+        JOIN day_ladder l ON closing.symbol = l.symbol AND closing."CSP" = l."CSP"
+          AND closing.exit_local::DATE = l.session_date
+        WHERE ce_token IS NOT NULL AND pe_token IS NOT NULL""", "exit_vals", "closing", "day_ladder",
     ),
     "minute_cycle": _sql(
         """SELECT d.symbol, d."UID", d.tf AS "TS_TF", trade_type AS "TRADE_TYPE",
@@ -687,20 +728,19 @@ ORACLES: dict[str, str] = {
     "csv_copy": _sql('SELECT name, "FUT_TOKEN", "FUT_EXPIRY_DATE_STR" FROM config', "config"),
     "json_copy": _sql("SELECT * EXCLUDE (name) FROM config", "config"),
     "promoted_chain": _sql(
-        """SELECT * FROM chain WHERE name IN (SELECT scope FROM config_check) AND name NOT IN (
+        """SELECT name, token, symbol, strike, expiry, ce_or_pe FROM banded
+        WHERE name IN (SELECT scope FROM config_check) AND name NOT IN (
           SELECT scope FROM config_check WHERE NOT passed UNION ALL
           SELECT scope FROM ladder_check WHERE NOT passed)""",
-        "chain", "config_check", "ladder_check",
+        "banded", "config_check", "ladder_check",
     ),
     "stream_signals": _emitted_only(_sql(
         """SELECT symbol, tf, minute, local_ts, session_date, "OSCI", "MA", "BUY", "SELL",
           "NEUTRAL", "FPRICE", "TA_SIGNAL", "CSP", stop_entry, "SID", "UID", "PSP" FROM sig""",
         "sig",
     )),
-    "stream_trades": _emitted_only(
-        _sql("SELECT * FROM trades WHERE \"TRADE_STATUS\" = 'CLOSE'", "trades")
-    ),
-    "trade_lifecycle_priced_exits": _walked_trades(),
+    "stream_trades": _emitted_only(_walked_trades() + " WHERE ex_minute IS NOT NULL"),
+    "trade_lifecycle_priced_exits": _closed_trades(),
     "stream_trade_events": _sql(
         """SELECT symbol, tf, x AS trade_signal, 'OPEN' AS action, minute AS "at",
           "TA_SIGNAL" AS signal, "FPRICE" AS fprice, opt_token AS token FROM paired

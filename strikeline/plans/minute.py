@@ -22,18 +22,13 @@ def signals(snapshots: DataFrame, session_only: bool = True) -> DataFrame:
 
 
 def history(
-    snapshots: DataFrame, chain: DataFrame, quotes: DataFrame, slices: Slices,
-    exits_always_priced: bool = True,
+    snapshots: DataFrame, options: DataFrame, quotes: DataFrame, slices: Slices,
 ) -> DataFrame:
-    """All trades of a history, set-based.
-
-    With ``exits_always_priced`` a trade is closed at its first closing signal; otherwise
-    a close without a usable price is retried at the next one.
+    """All trades of a history, set-based. Strikes come from the chain of each session day;
+    a close without a usable price is retried at the next closing signal.
     """
-    looked_up = dec.attach_strikes(signals(snapshots), chain)
+    looked_up = dec.attach_daily_strikes(signals(snapshots), options)
     decided = dec.entry_decisions(looked_up, quotes, slices)
-    if exits_always_priced:
-        return tr.trade_rows(tr.with_exit_price(tr.pair_trades(decided), quotes, slices))
     decided = cut_lineage(decided)  # read again in every round of settling
     pairs = tr.pair_trades(decided)
     return tr.trade_rows(tr.settle_exits(pairs, decided, quotes, slices))
@@ -47,7 +42,7 @@ class Cycle:
 
 
 def cycle(
-    open_trades: DataFrame, now: DataFrame, chain: DataFrame, quotes: DataFrame,
+    open_trades: DataFrame, now: DataFrame, options: DataFrame, quotes: DataFrame,
     slices: Slices,
 ) -> Cycle:
     """One minute: which open trades close, which signals enter.
@@ -55,7 +50,7 @@ def cycle(
     ``now`` has one signal per symbol and timeframe. Both decisions read the trades that
     were open when the minute began, so a signal may close one trade and open another.
     """
-    looked_up = dec.attach_strikes(now, chain)
+    looked_up = dec.attach_daily_strikes(now, options)
     listed = looked_up.where("strike_ok")
     closing = dec.price_at(
         tr.closable(open_trades, listed), quotes, "OPT_TOKEN", "exit_ts", "exit_price", slices

@@ -10,15 +10,21 @@ from strikeline.sources import writers
 
 def checks(
     config: DataFrame, chain: DataFrame, prices: DataFrame, as_of: str,
-    skip_freshness: bool = False, skip_market: bool = False,
+    skip_freshness: bool = False, skip_market: bool = False, names: DataFrame | None = None,
 ) -> DataFrame:
+    """Checks of all underlyings in ``names`` (default: whatever config, chain or prices
+    name); one without config, price or strikes fails instead of going unmentioned."""
+    if names is None:
+        names = config.select("name").unionAll(chain.select("name")).unionAll(prices.select("name"))
+    names = names.select("name").distinct()
     return quality.all_checks(
+        quality.present_checks(names, config),
         quality.config_checks(config, as_of, skip_freshness, skip_market),
-        quality.ladder_checks(chain, prices.join(config.select("name"), "name", "left_semi")),
+        quality.ladder_checks(chain, names.join(prices.select("name", "price"), "name", "left")),
     )
 
 
 def promote(chain: DataFrame, config: DataFrame, results: DataFrame, root: str) -> None:
-    """Store chain and config of the underlyings whose checks all passed."""
+    """Store the (banded) chain and config of the underlyings whose checks all passed."""
     writers.write_chain(quality.passed_only(chain, results), f"{root}/chain")
     writers.write_json(quality.passed_only(config, results), f"{root}/config")

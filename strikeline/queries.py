@@ -34,6 +34,7 @@ def query(fn: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fn(prepare(spark), sf_dir)
 
+    run.__wrapped__ = fn
     REGISTRY[fn.__name__] = run
     return run
 
@@ -69,7 +70,7 @@ def _signals(spark, d):
 
 
 def _looked_up(spark, d):
-    return dec.attach_strikes(_signals(spark, d), _chain(spark, d))
+    return dec.attach_daily_strikes(_signals(spark, d), _options(spark, d))
 
 
 def _slices(spark, d):
@@ -240,6 +241,22 @@ def atm_strikes_text(spark, d):
     )
 
 
+@query
+def price_guard(spark, d):
+    """Which of a line's prices, made NaN, null, zero or negative for some, can be traded on,
+    and their strikes."""
+    case = (F.col("l_orderkey") + F.col("l_linenumber")) % 7
+    price = (
+        F.when(case == 0, F.lit(float("nan"))).when(case == 1, F.lit(None)).when(case == 2, 0.0)
+        .when(case == 3, -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice"))
+    ).cast("double")
+    return dt.read(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", strikes.usable(price).alias("usable"),
+        strikes.call_strike(price).alias("CSP"),
+        strikes.call_strike(price, mode="trunc").alias("CSP_trunc"),
+    )
+
+
 # --- reference data ----------------------------------------------------------------
 
 
@@ -450,15 +467,20 @@ def no_duplicate_entry(spark, d):
 @query
 def trade_lifecycle(spark, d):
     return minute.history(
-        dt.snapshots(spark, d), _chain(spark, d), dt.quotes(spark, d), _slices(spark, d)
+        dt.snapshots(spark, d), _options(spark, d), dt.quotes(spark, d), _slices(spark, d)
     )
 
 
 @query
 def trade_lifecycle_priced_exits(spark, d):
-    return minute.history(
-        dt.snapshots(spark, d), _chain(spark, d), dt.quotes(spark, d), _slices(spark, d),
-        exits_always_priced=False,
+    """Of the closed trades, entry day, expiry and prices: no entry after the expiry, no exit
+    without a price above zero."""
+    trades = trade_lifecycle.__wrapped__(spark, d).where("TRADE_STATUS = 'CLOSE'")
+    expiries = _options(spark, d).select(F.col("token").alias("OPT_TOKEN"), "expiry_date")
+    return trades.join(expiries, "OPT_TOKEN").select(
+        "UID", "EN_T_SIGNAL", "T_DATE", F.col("expiry_date").alias("expiry"), "EX_OPT_PRICE",
+        (F.col("T_DATE") <= F.col("expiry_date")).alias("before_expiry"),
+        dec.usable(F.col("EX_OPT_PRICE")).alias("priced"),
     )
 
 
@@ -482,7 +504,7 @@ def minute_cycle(spark, d):
     """One cycle on the stored trades: what enters."""
     now = tr.current_signals(_signals(spark, d))
     return minute.cycle(
-        _open(spark, d), now, _chain(spark, d), dt.quotes(spark, d), _slices(spark, d)
+        _open(spark, d), now, _options(spark, d), dt.quotes(spark, d), _slices(spark, d)
     ).entries
 
 
@@ -491,7 +513,7 @@ def minute_cycle_exits(spark, d):
     """One cycle on the stored trades: what exits."""
     now = tr.current_signals(_signals(spark, d))
     return minute.cycle(
-        _open(spark, d), now, _chain(spark, d), dt.quotes(spark, d), _slices(spark, d)
+        _open(spark, d), now, _options(spark, d), dt.quotes(spark, d), _slices(spark, d)
     ).exits
 
 
@@ -587,10 +609,10 @@ def json_copy(spark, d):
 
 @query
 def promoted_chain(spark, d):
-    """Chains of the underlyings that pass every check, stored and read back."""
+    """Banded chains of the underlyings that pass every check, stored and read back."""
     path = shared_dir(spark)
-    chain, config = _chain(spark, d), _config(spark, d)
-    covered = _prices(spark, d)
+    covered, config = _prices(spark, d), _config(spark, d)
+    chain = ins.in_band(_chain(spark, d), covered)
     checks = validation.checks(config, chain, covered, AS_OF, skip_market=True)
     validation.promote(chain, config, checks, path)
     return readers.option_chain(spark, f"{path}/chain")
@@ -619,7 +641,7 @@ def stream_trades(spark, d):
     path = shared_dir(spark)
     trade_stream(
         signal_stream(dt.snapshots_of(_events_stream(spark, d))),
-        _chain(spark, d), dt.quotes(spark, d), path, f"{path}/progress",
+        lambda: _options(spark, d), lambda: dt.quotes(spark, d), path, f"{path}/progress",
     ).awaitTermination()
     return spark.read.parquet(f"{path}/closed").drop("batch_id")
 

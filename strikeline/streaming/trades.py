@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import pandas as pd
@@ -21,6 +21,14 @@ from strikeline.operators.ordered import Slices, slices_of
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: A table, or a function that reads it anew: a file table lists its files once only.
+Source = DataFrame | Callable[[], DataFrame]
+
+
+def _now(source: Source) -> DataFrame:
+    return source() if callable(source) else source
+
+
 # --- micro-batches over stored tables ------------------------------------------
 
 
@@ -34,10 +42,10 @@ def _open_schema(decided: DataFrame) -> StructType:
 
 
 def _process(
-    batch: DataFrame, batch_id: int, root: str, chain: DataFrame, quotes: DataFrame,
-    exits_always_priced: bool,
+    batch: DataFrame, batch_id: int, root: str, options: Source, quotes: Source,
 ) -> None:
     spark = batch.sparkSession
+    options, quotes = _now(options), _now(quotes)
 
     def store(df: DataFrame, table: str) -> DataFrame:
         path = _batch_path(root, table, batch_id)
@@ -64,7 +72,7 @@ def _process(
         store(progress, "progress")
         store(last_quotes, "last_quotes")
         store(last_numbers, "cycles")
-        plan = dec.entry_decisions(dec.attach_strikes(numbered, chain), offered, Slices())
+        plan = dec.entry_decisions(dec.attach_daily_strikes(numbered, options), offered, Slices())
         store(before("open", _open_schema(plan)), "open")
         return
     store(spark.createDataFrame([(upto,)], "upto timestamp_ntz"), "progress")
@@ -88,7 +96,7 @@ def _process(
         "C_NUM", F.col("C_NUM") + F.coalesce("counted", F.lit(0))
     ).drop("counted")
     decided = store(
-        dec.entry_decisions(dec.attach_strikes(numbered, chain), recent, slices), "decisions"
+        dec.entry_decisions(dec.attach_daily_strikes(numbered, options), recent, slices), "decisions"
     )
     newest = F.max(F.struct("session_date", "C_NUM")).alias("n")
     store(
@@ -98,31 +106,28 @@ def _process(
     )
 
     pairs = tr.pair_trades(decided, carried=before("open", _open_schema(decided)))
-    if exits_always_priced:
-        settled = tr.with_exit_price(pairs, recent, slices)
-    else:
-        settled = tr.settle_exits(pairs, decided, recent, slices)
-    settled = store(settled, "settled")
+    settled = store(tr.settle_exits(pairs, decided, recent, slices), "settled")
     still_open = F.col("exit_ts").isNull()
     store(settled.where(still_open).select(*tr.KEY, "entry"), "open")
     store(tr.trade_rows(settled.where(~still_open)), "closed")
 
 
 def trade_stream(
-    signals: DataFrame, chain: DataFrame, quotes: DataFrame, root: str, checkpoint: str,
-    exits_always_priced: bool = True, trigger: dict | None = None,
+    signals: DataFrame, options: Source, quotes: Source, root: str, checkpoint: str,
+    trigger: dict | None = None,
 ):
     """Keep the trade table below ``root`` up to date with a stream of signals.
 
+    ``options`` and ``quotes`` are tables or, so that a running stream sees what was added
+    since it started, functions that read them; each batch calls them once. Strikes are those
+    of each signal's day, and a trade closes at its first closing signal with a usable price.
     ``quotes`` must be complete up to the newest signal of a batch. A micro-batch reads the
     quotes since the one before, so its work does not grow with the history; keep the table
     partitioned or sorted by time for the filter to skip files. It writes its signals, the
     trades it closed and the ones open after it to folders named after the batch, so a
     repeated batch replaces its own output.
     """
-    run = partial(
-        _process, root=root, chain=chain, quotes=quotes, exits_always_priced=exits_always_priced
-    )
+    run = partial(_process, root=root, options=options, quotes=quotes)
     return (
         signals.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()

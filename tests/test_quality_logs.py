@@ -63,6 +63,26 @@ def test_ladder_and_promotion(spark, tmp_path):
         assert stored.count() == kept
 
 
+def test_absent_inputs_fail(spark, tmp_path):
+    """Underlyings without config, price or chain are named as failed and not promoted."""
+    full = _chain(spark, range(43800, 45300, 100))
+    prices = spark.createDataFrame([("IDX", 44512.3)], "name string, price double")
+    nothing = prices.where("false")
+    assert _failed(validation.checks(_config(spark), full, nothing, AS_OF)) == {
+        "ce_strikes", "pe_strikes"
+    }
+    assert _failed(validation.checks(_config(spark), full.where("false"), prices, AS_OF)) == {
+        "ce_strikes", "pe_strikes"
+    }
+    no_config = validation.checks(_config(spark).where("false"), full, prices, AS_OF)
+    assert _failed(no_config) == {"has_config"}
+    expected = spark.createDataFrame([("IDX",), ("OTHER",)], "name string")
+    both = validation.checks(_config(spark), full, prices, AS_OF, names=expected)
+    assert {r.scope for r in quality.verdict(both).where("not passed").collect()} == {"OTHER"}
+    validation.promote(full, _config(spark), no_config, str(tmp_path))
+    assert spark.read.schema(schemas.OPTION_CHAIN).parquet(f"{tmp_path}/chain").count() == 0
+
+
 def test_missing_partitions(spark):
     chain = _chain(spark, [44000]).where("ce_or_pe = 'CE'")
     expected = chain.select("expiry").distinct().crossJoin(

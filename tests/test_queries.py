@@ -8,6 +8,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from strikeline.oracles import ORACLES
+from strikeline.queries import REGISTRY
 from tests.conftest import DATA
 
 
@@ -29,10 +31,12 @@ def _sorted(rows, columns):
 
 
 def test_registered_names():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(REGISTRY) == set(ORACLES)
+    assert set(REGISTRY) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, duck, name):
     got = contract.queries()[name](spark, DATA)
     result = duck.execute(contract.oracle_sql()[name])

@@ -3,6 +3,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from strikeline import fixed, schemas
+from strikeline.functions import strikes
 from strikeline.operators import instruments as ins
 from strikeline.plans import daily
 
@@ -45,6 +46,39 @@ def test_current_future_and_expiry(spark):
     assert [r.token for r in ins.unreadable_expiries(options).collect()] == ["15"]
 
 
+def test_chain_follows_the_day(spark):
+    """Each day has the chain of the nearest expiry not before it, if there is one."""
+    options = ins.of_type(_master(spark), fixed.OPTION_TYPE)
+    rows = options.select("name", "expiry_date").where("expiry_date is not null").distinct().collect()
+    by_name = {}
+    for r in rows:
+        by_name.setdefault(r.name, []).append(r.expiry_date)
+    days = [(n, e) for n, es in by_name.items() for e in es]
+    days += [(n, max(es).replace(year=max(es).year + 1)) for n, es in by_name.items()]
+    chain = ins.chain_of_days(
+        options, spark.createDataFrame(days, "name string, session_date date")
+    ).collect()
+    assert chain and all(r.expiry == r.session_date for r in chain)
+    late = {max(es).replace(year=max(es).year + 1) for es in by_name.values()}
+    assert not late & {r.session_date for r in chain}
+    one = ins.ladder(ins.chain_of_days(
+        options, spark.createDataFrame(days[:1], "name string, session_date date")
+    ))
+    assert "session_date" in one.columns
+
+
+def test_prices_that_are_none(spark):
+    prices = [float("nan"), None, 0.0, -5.0, float("inf"), 44512.3]
+    got = spark.createDataFrame([(p,) for p in prices], "p double").select(
+        strikes.usable(F.col("p")).alias("u"), strikes.call_strike(F.col("p")).alias("r"),
+        strikes.call_strike(F.col("p"), mode="trunc").alias("t"),
+        strikes.strike_from_hundredths(F.lit("NaN")).alias("h"),
+    ).collect()
+    assert [r.u for r in got] == [False, False, False, False, True, True]
+    assert [r.r for r in got] == [None, None, 0, 0, None, 44500] == [r.t for r in got]
+    assert got[0].h is None
+
+
 def test_chain_band_and_ladder(spark):
     chain = ins.option_chain(ins.of_type(_master(spark), fixed.OPTION_TYPE), AS_OF)
     assert {r.token for r in chain.collect()} == {"10", "11", "12", "16", "17"}

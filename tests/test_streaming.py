@@ -26,10 +26,8 @@ def inputs(spark):
     for i, (low, high) in enumerate(((0, 350), (350, 700), (700, 10**9))):
         part = events.where(F.col("event_id").between(low, high - 1)).coalesce(1)
         part.write.mode("append").parquet(f"{folder}/{i}")
-    chain = ins.option_chain(
-        ins.of_type(dt.instrument_master(spark, DATA), fixed.OPTION_TYPE), "2024-01-10"
-    ).cache()
-    return events, folder, chain
+    options = ins.of_type(dt.instrument_master(spark, DATA), fixed.OPTION_TYPE).cache()
+    return events, folder, options
 
 
 def _stream(spark, inputs):
@@ -60,34 +58,33 @@ def test_signals_equal_batch(spark, inputs):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
-@pytest.mark.parametrize("always_priced", [True, False])
-def test_trades_equal_batch(spark, inputs, always_priced):
-    chain, quotes = inputs[2], dt.quotes(spark, DATA)
+@pytest.mark.parametrize("loaded", [True, False])
+def test_trades_equal_batch(spark, inputs, loaded):
+    """``loaded``: the tables are read anew in each batch."""
+    options, quotes = inputs[2], dt.quotes(spark, DATA)
     slices = slices_of(quotes, ["token"], "ts")
     path = shared_dir(spark)
     query = trade_stream(
-        signal_stream(_stream(spark, inputs)), chain, quotes, path, f"{path}/c", always_priced
+        signal_stream(_stream(spark, inputs)), (lambda: options) if loaded else options,
+        (lambda: dt.quotes(spark, DATA)) if loaded else quotes, path, f"{path}/c",
     )
     query.awaitTermination()
     closed = spark.read.parquet(f"{path}/closed").drop("batch_id")
 
     decided = dec.entry_decisions(
-        dec.attach_strikes(_batch_signals(spark, inputs), chain), quotes, slices
+        dec.attach_daily_strikes(_batch_signals(spark, inputs), options), quotes, slices
     )
     pairs = tr.pair_trades(decided)
-    settled = (
-        tr.with_exit_price(pairs, quotes, slices) if always_priced
-        else tr.settle_exits(pairs, decided, quotes, slices)
-    )
+    settled = tr.settle_exits(pairs, decided, quotes, slices)
     want = tr.trade_rows(settled.where(F.col("exit_ts").isNotNull()))
-    assert want.count() > 10
+    assert want.count() >= 5  # few days of this small table have listed strikes
     assert closed.exceptAll(want).count() == 0 and want.exceptAll(closed).count() == 0
 
 
 def test_keyed_state_equals_pairing(spark, inputs):
-    chain, quotes = inputs[2], dt.quotes(spark, DATA)
+    options, quotes = inputs[2], dt.quotes(spark, DATA)
     decided = dec.entry_decisions(
-        dec.attach_strikes(minute.signals(dt.snapshots_of(inputs[0])), chain), quotes,
+        dec.attach_daily_strikes(minute.signals(dt.snapshots_of(inputs[0])), options), quotes,
         slices_of(quotes, ["token"], "ts"),
     )
     path = shared_dir(spark)
