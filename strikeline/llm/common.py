@@ -37,6 +37,16 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+#: Rows up to which a stored table of a few numbers a row is broadcast (some 10 MB at most).
+SMALL_ROWS = 100_000
+
+
+def if_small(table: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``table`` marked for broadcast if it is counted to be small; else it is joined by a
+    shuffle. The table should be stored, so that counting costs nothing."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def join_groups(
     rows: DataFrame, groups: DataFrame, key: str, size: str, total: int
 ) -> DataFrame:

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strikeline.llm.common import SMALL_ROWS
 from strikeline.session import cut_lineage
 
 
 def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     """node, label of every node in ``links`` (a, b): the smallest node it is connected to.
 
-    In each round every node points to its smallest neighbour, pointers are followed once
-    more, and the links between what they point to are what is left. Links shrink by a factor
-    each round; every round is written to the shared folder.
+    In each round every node points to its smallest neighbour, and the links between what
+    nodes point to are what is left. Links shrink by a factor each round; every round is
+    written to the shared folder. Pointers are broadcast while they are counted to be few.
     """
     links = cut_lineage(links.where("a <> b").select("a", "b").distinct())
     labels = cut_lineage(
@@ -28,13 +29,14 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
             both.groupBy("a").agg(F.min("b").alias("b"))
             .select(F.col("a").alias("node"), F.least("a", "b").alias("next"))
         )
-        onward = nearest.select(F.col("node").alias("next"), F.col("next").alias("after"))
-        jumped = cut_lineage(
-            nearest.join(onward, "next").select("node", F.col("after").alias("next"))
-        )
-        to = lambda column: jumped.select(
-            F.col("node").alias(column), F.col("next").alias(f"{column}_next")
-        )
+        few = nearest.count() <= SMALL_ROWS
+
+        def to(column: str, nearest: DataFrame = nearest, few: bool = few) -> DataFrame:
+            pointers = nearest.select(
+                F.col("node").alias(column), F.col("next").alias(f"{column}_next")
+            )
+            return F.broadcast(pointers) if few else pointers
+
         links = cut_lineage(
             links.join(to("a"), "a").join(to("b"), "b")
             .where("a_next <> b_next")

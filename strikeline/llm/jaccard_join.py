@@ -12,7 +12,8 @@ Within a list sets are not all paired. Each is compared with the most central on
 shingle stands earliest; what then is in the same component needs no other comparison. Sets of
 a list that stay apart are compared in a few more such rounds and at last with all of the list
 that they are not connected to, so no link between different components is missed. A pair is
-compared only if, from its place in the list on, both sets have enough shingles left. Lists of
+compared only if, from its place in the list on, both sets have enough shingles left, and if
+512 parity bits of each do not differ in more places than linked sets can. Lists of
 frequent shingles are cut into parts by hash, whose centres meet in a list of their own.
 Comparisons read the two texts; links are never gathered anywhere.
 
@@ -32,21 +33,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strikeline.llm.common import filled, join_groups, partitions_of, union_all
+from strikeline.llm.arrow_rows import sliced
+from strikeline.llm.common import filled, if_small, join_groups, partitions_of, union_all
 from strikeline.llm.components import components
 from strikeline.llm.exact_dedup import BLOCK_BITS, MAX_BITS
-from strikeline.llm.shingles import digest, mixed, shingle_sets
+from strikeline.llm.shingles import digest, mixed, parity, shingle_sets
 from strikeline.session import cut_lineage
 
-#: Frequent shingles have at least a 2^-20th of all occurrences, so there are at most 2^20.
+#: Frequent shingles that are ordered by count, the most frequent ones.
 _MOST_FREQUENT = 1 << 20
 _LEAST_FREQUENT = 8
 #: Occurrences within a chunk of a task's texts from which a shingle is counted.
-_IN_CHUNK = 3
+_IN_CHUNK = 2
 _CHUNK = 1 << 21
-_ROWS = 256
 _STAR_ROUNDS = 4
+#: Pairs left for each entry up to which all are looked at instead of choosing more centres.
+_PAIRS_PER_ENTRY = 2000
 _HEAVY, _NEAR, _SUBSET = 0, 1, 2
+_MARKS = [f"m{i}" for i in range(8)]
 _ENTRY = (
     "sig long, salt int, parts int, id long, size int, place int, kind int, eq long"
 )
@@ -82,18 +86,17 @@ class Order:
         return shingles[order], count[order]
 
 
-def _sets(batch: pa.RecordBatch) -> Iterator[tuple[list, list[np.ndarray]]]:
-    for at in range(0, batch.num_rows, _ROWS):
-        part = batch.slice(at, _ROWS)
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
+    for part in sliced(batches):
         yield part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist())
 
 
 def _features(docs: DataFrame) -> DataFrame:
-    """From (id, text), rows of two sorts: id, n, digest of a document; or hash, count of a
-    shingle that is frequent in a chunk of a task's texts."""
+    """From (id, text), rows of two sorts: id, n, digest and parity bits of a document; or
+    hash, count of a shingle that is frequent in a chunk of a task's texts."""
     schema = pa.schema([
         ("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()),
-        ("hash", pa.int64()), ("count", pa.int64()),
+        ("hash", pa.int64()), ("count", pa.int64()), *[(m, pa.int64()) for m in _MARKS],
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,28 +105,35 @@ def _features(docs: DataFrame) -> DataFrame:
         def counted() -> pa.RecordBatch:
             found, count = np.unique(np.concatenate(held), return_counts=True)
             often = count >= _IN_CHUNK
-            return pa.RecordBatch.from_pydict({
-                "id": pa.nulls(often.sum(), pa.int64()), "n": pa.nulls(often.sum(), pa.int64()),
-                "digest": pa.nulls(often.sum(), pa.binary()),
-                "hash": found[often].view(np.int64), "count": count[often],
-            }, schema=schema)
-
-        for batch in batches:
-            for ids, sets in _sets(batch):
-                none = pa.nulls(len(ids), pa.int64())
-                yield pa.RecordBatch.from_pydict({
-                    "id": ids, "n": [len(s) for s in sets], "digest": [digest(s) for s in sets],
-                    "hash": none, "count": none,
-                }, schema=schema)
-                held += sets
-                size += sum(map(len, sets))
-                if size >= _CHUNK:
-                    yield counted()
-                    held, size = [], 0
+            own = {"hash": pa.array(found[often].view(np.int64)), "count": pa.array(count[often])}
+            rows = int(often.sum())
+            return pa.RecordBatch.from_arrays(
+                [own.get(f.name, pa.nulls(rows, f.type)) for f in schema], schema=schema
+            )
+
+        for ids, sets in _sets(batches):
+            marks = np.array([parity(s) for s in sets])
+            own = {
+                "id": pa.array(ids, pa.int64()), "n": pa.array([len(s) for s in sets]),
+                "digest": pa.array([digest(s) for s in sets]),
+                **{m: pa.array(marks[:, i]) for i, m in enumerate(_MARKS)},
+            }
+            yield pa.RecordBatch.from_arrays(
+                [own.get(f.name, pa.nulls(len(ids), f.type)) for f in schema], schema=schema
+            )
+            held += sets
+            size += sum(map(len, sets))
+            if size >= _CHUNK:
+                yield counted()
+                held, size = [], 0
         if size:
             yield counted()
 
-    return docs.mapInArrow(run, "id long, n long, digest binary, hash long, count long")
+    return docs.mapInArrow(
+        run,
+        "id long, n long, digest binary, hash long, count long, "
+        + ", ".join(f"{m} long" for m in _MARKS),
+    )
 
 
 def _boundary(sizes: dict[int, int], frequent: float) -> int:
@@ -178,28 +188,27 @@ def _entries(docs: DataFrame, order: Order, representatives: dict[bytes, int]) -
             yield doc_id, n, eq, kind, tokens[:p] * _C, np.arange(p), counts[:p]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, sets in _sets(batch):
-                rows = []
-                for doc_id, s in zip(ids, sets, strict=True):
-                    if len(s) and doc_id is not None:
-                        own = digest(s)
-                        if representatives.get(own, doc_id) == doc_id:
-                            rows.extend(listed(doc_id, s, own))
-                if not rows:
-                    continue
-                length = [len(r[4]) for r in rows]
-                wide = lambda k, kind: np.repeat(np.array([r[k] for r in rows], kind), length)  # noqa: E731, B023
-                eq = wide(2, np.int64)
-                counts = np.concatenate([r[6] for r in rows])
-                parts = (1 + counts // order.part).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(mixed(np.concatenate([r[4] for r in rows])).view(np.int64)),
-                    pa.array((eq % parts).astype(np.int32)), pa.array(parts),
-                    pa.array(wide(0, np.int64)), pa.array(wide(1, np.int32)),
-                    pa.array(np.concatenate([r[5] for r in rows]).astype(np.int32)),
-                    pa.array(wide(3, np.int32)), pa.array(eq),
-                ], schema=schema)
+        for ids, sets in _sets(batches):
+            rows = []
+            for doc_id, s in zip(ids, sets, strict=True):
+                if len(s) and doc_id is not None:
+                    own = digest(s)
+                    if representatives.get(own, doc_id) == doc_id:
+                        rows.extend(listed(doc_id, s, own))
+            if not rows:
+                continue
+            length = [len(r[4]) for r in rows]
+            wide = lambda k, kind: np.repeat(np.array([r[k] for r in rows], kind), length)  # noqa: E731, B023
+            eq = wide(2, np.int64)
+            counts = np.concatenate([r[6] for r in rows])
+            parts = (1 + counts // order.part).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(mixed(np.concatenate([r[4] for r in rows])).view(np.int64)),
+                pa.array((eq % parts).astype(np.int32)), pa.array(parts),
+                pa.array(wide(0, np.int64)), pa.array(wide(1, np.int32)),
+                pa.array(np.concatenate([r[5] for r in rows]).astype(np.int32)),
+                pa.array(wide(3, np.int32)), pa.array(eq),
+            ], schema=schema)
 
     return docs.mapInArrow(run, _ENTRY)
 
@@ -208,11 +217,12 @@ _A, _B, _C = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE
 
 
 def _with_centres(entries: DataFrame) -> DataFrame:
-    """Entries of lists (sig, salt) of two sets or more, each with the list's centre: hub,
-    hub_size, hub_place. Lists of light sets that no heavy one is in are left out."""
+    """Entries of lists (sig, salt) of two sets or more, each with the list's centre (hub,
+    hub_size, hub_place) and the number of entries. Single lists without a heavy set are left
+    out, and so are sets that have too little left for the smallest; but not of lists in parts."""
     ddl = (
         "sig long, salt int, parts int, id long, size int, place int, kind int, "
-        "hub long, hub_size int, hub_place int"
+        "hub long, hub_size int, hub_place int, entries int"
     )
     names = ["sig", "salt", "parts", "id", "size", "place", "kind", "eq"]
 
@@ -225,22 +235,28 @@ def _with_centres(entries: DataFrame) -> DataFrame:
         copy[1:] = ~new[1:] & (c["eq"][1:] == c["eq"][:-1]) & (c["place"][1:] == c["place"][:-1])
         run = np.cumsum(new) - 1
         rows = np.flatnonzero(~copy)
+        size = c["size"][rows].astype(np.int64)
+        least = np.minimum.reduceat(size, np.flatnonzero(new[rows]))[run[rows]]
+        hopeful = 9 * (size - c["place"][rows]) >= 4 * (size + least)
+        rows = rows[hopeful | (c["parts"][rows] > 1)]
+        if not len(rows):
+            return None
         run = run[rows]
         count = np.bincount(run)
-        able = rows[c["kind"][rows] != _NEAR]
-        if not len(able):
-            return None
-        able_run, first = np.unique(run[c["kind"][rows] != _NEAR], return_index=True)
         hub = np.full(len(count), -1, np.int64)
-        hub[able_run] = able[first]
-        keep = (count[run] > 1) & (hub[run] >= 0)
-        rows, of = rows[keep], hub[run[keep]]
+        # a part of a list may go on elsewhere: it stays if it has one set, or no heavy one
+        for able in (c["parts"][rows] > 1, c["kind"][rows] != _NEAR):
+            able_run, first = np.unique(run[able], return_index=True)
+            hub[able_run] = rows[able][first]
+        keep = ((count[run] > 1) | (c["parts"][rows] > 1)) & (hub[run] >= 0)
+        rows, of, count = rows[keep], hub[run[keep]], count[run[keep]]
         if not len(rows):
             return None
         return pa.RecordBatch.from_arrays(
             [pa.array(c[n][rows]) for n in names[:-1]]
-            + [pa.array(c[n][of]) for n in ("id", "size", "place")],
-            names=[*names[:-1], "hub", "hub_size", "hub_place"],
+            + [pa.array(c[n][of]) for n in ("id", "size", "place")]
+            + [pa.array(count.astype(np.int32))],
+            names=[*names[:-1], "hub", "hub_size", "hub_place", "entries"],
         )
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,6 +288,24 @@ def _enough(size_a: str, place_a: str, size_b: str, place_b: str) -> Column:
     return 9 * left >= 4 * (F.col(size_a) + F.col(size_b))
 
 
+def _alike(size_a: str, size_b: str, a: str, b: str) -> Column:
+    """Whether parity bits of two sets differ in no more places than linked sets may; rows
+    without bits pass. ``a`` and ``b``: prefixes of the bits' columns."""
+    apart = sum(
+        (F.bit_count(F.col(f"{a}{m}").bitwiseXOR(F.col(f"{b}{m}"))) for m in _MARKS), F.lit(0)
+    )
+    both = F.col(size_a) + F.col(size_b)
+    shared = F.floor((4 * both + 8) / 9)
+    return F.coalesce(apart <= both - 2 * shared, F.lit(True))
+
+
+def _prefixed(marks: DataFrame, prefix: str, *keep: tuple[str, str]) -> DataFrame:
+    return marks.select(
+        *[F.col(old).alias(new) for old, new in keep],
+        *[F.col(m).alias(f"{prefix}{m}") for m in _MARKS],
+    )
+
+
 def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b")
 
@@ -301,17 +335,23 @@ def _asked_for(docs: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
     )
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are linked, by comparing the two texts."""
+def _verified(pairs: DataFrame, docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are linked, by comparing the two texts. Pairs
+    whose parity bits tell that they are not linked are left out before."""
     pairs = cut_lineage(pairs)
+    with_a = if_small(pairs).join(_prefixed(marks, "a_", ("id", "a"), ("n", "a_n")), "a")
+    pairs = cut_lineage(
+        with_a.join(_prefixed(marks, "b_", ("id", "b"), ("n", "b_n")), "b")
+        .where(_alike("a_n", "b_n", "a_", "b_")).select("a", "b")
+    )
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
     texts = _asked_for(docs, ids, 2 * pairs.count())
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[int, np.ndarray] = {}
-        for batch in batches:
+        last: dict[str, np.ndarray] = {}
+        for batch in sliced(batches):
             a, b, text_a, text_b = (c.to_pylist() for c in batch.columns)
             good = []
             for k in range(len(a)):
@@ -325,7 +365,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             yield batch.select([0, 1]).take(pa.array(good, pa.int64()))
 
     return cut_lineage(
-        pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+        if_small(pairs).join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
         .mapInArrow(run, "a long, b long")
     )
 
@@ -333,8 +373,10 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def _apart(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """Entries with ``label`` of lists (sig) whose sets are not all in one component, and
     ``hub_label`` of the list's centre."""
+    columns = ["sig", "salt", "parts", "id", "size", "place", "kind", "centre"]
     labelled = cut_lineage(
-        lists.join(labels.withColumnRenamed("node", "id"), "id", "left")
+        lists.select(*columns)
+        .join(if_small(labels).withColumnRenamed("node", "id"), "id", "left")
         .withColumn("label", F.coalesce("label", "id"))
     )
     state = labelled.groupBy("sig").agg(
@@ -342,19 +384,19 @@ def _apart(lists: DataFrame, labels: DataFrame) -> DataFrame:
         F.max(F.when(F.col("id") == F.col("centre"), F.col("label"))).alias("hub_label"),
     )
     split = cut_lineage(state.where("least <> most").drop("least", "most"))
-    return cut_lineage(join_groups(labelled, split, "sig", "entries", lists.count()))
+    return cut_lineage(join_groups(labelled, split, "sig", "entries", labelled.count()))
 
 
-def _all_apart(apart: DataFrame, docs: DataFrame) -> DataFrame:
+def _all_apart(apart: DataFrame, marks: DataFrame) -> DataFrame:
     """Pairs of a list in different components, one of them not in that of the centre.
 
-    The sets outside the centre's component are repeated for each part of the list.
+    The sets outside the centre's component are repeated for each part of the list. Parity
+    bits tell most pairs of the same list apart.
     """
-    members = apart.select(
-        "sig", "salt", F.col("id").alias("other"), F.col("size").alias("other_size"),
-        F.col("place").alias("other_place"), F.col("kind").alias("other_kind"),
-        F.col("label").alias("other_label"),
-    )
+    apart = cut_lineage(if_small(apart).join(_prefixed(marks, "", ("id", "id")), "id"))
+    members = _prefixed(apart, "other_", ("sig", "sig"), ("salt", "salt"), ("id", "other"),
+                        ("size", "other_size"), ("place", "other_place"), ("kind", "other_kind"),
+                        ("label", "other_label"))
     outside = apart.where("label <> hub_label").withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     )
@@ -363,6 +405,7 @@ def _all_apart(apart: DataFrame, docs: DataFrame) -> DataFrame:
             (F.col("label") != F.col("other_label"))
             & ((F.col("kind") != _NEAR) | (F.col("other_kind") != _NEAR))
             & _enough("size", "place", "other_size", "other_place")
+            & _alike("size", "other_size", "", "other_")
         ), "id", "other",
     ).distinct()
 
@@ -388,7 +431,7 @@ def report(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
     spark = docs.sparkSession
     docs = docs.select(F.col(id_column).cast("long").alias("id"), filled(text).alias("text"))
     features = cut_lineage(_features(docs))
-    own = features.where("digest is not null").select("id", "n", "digest")
+    own = features.where("digest is not null").select("id", "n", "digest", *_MARKS)
     groups = cut_lineage(
         own.groupBy("digest").agg(
             F.min("id").alias("class"), F.count("*").alias("copies"), F.max("n").alias("n")
@@ -405,8 +448,8 @@ def report(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
     shingles = shingles or 0
     frequent = (
         features.where("hash is not null").groupBy("hash").agg(F.sum("count").alias("count"))
-        .where(F.col("count") >= max(_LEAST_FREQUENT, shingles // _MOST_FREQUENT))
-        .toPandas().sort_values("hash", key=lambda h: h.to_numpy(np.int64).view(np.uint64))
+        .where(F.col("count") >= _LEAST_FREQUENT)
+        .orderBy(F.desc("count"), "hash").limit(_MOST_FREQUENT).toPandas().sort_values("hash", key=lambda h: h.to_numpy(np.int64).view(np.uint64))
     )
     share = float(frequent["count"].sum()) / max(shingles, 1)
     spread = 4 * partitions_of(spark)
@@ -418,38 +461,47 @@ def report(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
     many = groups.where(F.col("copies") > max(1, rows // spread)).where("class is not null")
     representatives = {bytes(r.digest): r["class"] for r in many.select("digest", "class").collect()}
 
+    # of rows that repeat an id none has bits to go by
+    marks = cut_lineage(
+        own.where("id is not null and n > 0").groupBy("id").agg(
+            F.max("n").alias("n"),
+            *[F.when(F.count("*") == 1, F.max(m)).alias(m) for m in _MARKS],
+        )
+    )
     found = cut_lineage(_with_centres(_entries(docs, order, representatives)))
     # centres of the parts of long lists meet once more
-    parts = found.where("parts > 1 and id = hub").select(
+    parts = found.where("parts > 1 and id = hub").select(  # a few for each long list
         "sig", F.lit(0).alias("salt"), F.lit(1).alias("parts"), "id", "size", "place", "kind",
         F.col("id").alias("eq"),
     )
     above = cut_lineage(_with_centres(parts))
     top = above.groupBy("sig").agg(F.first("hub").alias("top"))  # one row per list cut in parts
-    lists = cut_lineage(
-        found.join(F.broadcast(top), "sig", "left")
-        .withColumn("centre", F.coalesce("top", "hub")).drop("top")
-    )
-    central = union_all([lists.select("id", "hub", "size", "place", "hub_size", "hub_place"),
+    central = union_all([found.select("id", "hub", "size", "place", "hub_size", "hub_place"),
                          above.select("id", "hub", "size", "place", "hub_size", "hub_place")])
     tested = _ordered(
         central.where(_enough("size", "place", "hub_size", "hub_place")), "id", "hub"
     ).distinct()
-    links = _verified(tested, docs)
+    links = _verified(tested, docs, marks)
     labels = components(links)
+    # lists of two sets are done
+    apart = (
+        found.where("entries > 2 or parts > 1").join(F.broadcast(top), "sig", "left")
+        .withColumn("centre", F.coalesce("top", "hub"))
+        .select("sig", "salt", "parts", "id", "size", "place", "kind", "centre")
+    )
     for k in range(_STAR_ROUNDS):
-        apart = _apart(lists, labels)
+        apart = _apart(apart, labels)
         counts = apart.groupBy("sig").agg(
             F.count("*").alias("n"), F.count(F.when(F.col("label") != F.col("hub_label"), 1)).alias("out")
         ).agg(F.sum(F.col("n") * F.col("out")).alias("pairs"), F.sum("n").alias("n")).first()
         if not counts.n:
             return _finished(own, groups, labels, rows)
-        # more centres only pay while the pairs left are many
-        if counts.pairs <= 8 * counts.n or k == _STAR_ROUNDS - 1:
+        # a pair is a few comparisons of numbers, so more centres only pay if very many are left
+        if counts.pairs <= _PAIRS_PER_ENTRY * counts.n or k == _STAR_ROUNDS - 1:
             break
-        links = cut_lineage(links.unionByName(_verified(_next_centres(apart), docs)))
+        links = cut_lineage(links.unionByName(_verified(_next_centres(apart), docs, marks)))
         labels = components(links)
-    more = _verified(_all_apart(apart, docs), docs)
+    more = _verified(_all_apart(apart, marks), docs, marks)
     return _finished(own, groups, components(links.unionByName(more)), rows)
 
 
@@ -457,11 +509,11 @@ def _finished(own: DataFrame, groups: DataFrame, labels: DataFrame, rows: int) -
     """Every document with the label of its class; classes meet labels once each."""
     labelled = cut_lineage(
         groups.select("digest", "copies", "class", F.col("n").alias("class_n")).join(
-            labels.withColumnRenamed("node", "class"), "class", "left"
+            if_small(labels).withColumnRenamed("node", "class"), "class", "left"
         ).withColumn("component", F.coalesce("label", "class"))
         .select("digest", "copies", "component", "class_n")
     )
-    joined = join_groups(own, labelled, "digest", "copies", rows)
+    joined = join_groups(own.drop(*_MARKS), labelled, "digest", "copies", rows)
     return joined.select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"),

@@ -8,7 +8,7 @@ import numpy as np
 
 WORDS = 5
 #: Bytes hashed at once; longer texts are cut between words.
-_BLOCK = 1 << 21
+_BLOCK = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -35,9 +35,9 @@ def _pieces(raw: bytes) -> list[bytes]:
     pieces, at = [], 0
     while len(raw) - at > _BLOCK:
         window = np.frombuffer(raw, np.uint8, _BLOCK, at)
-        spaces = np.flatnonzero(_SPACE[window])
+        spaces = np.flatnonzero(_SPACE[window[1:]])
         if len(spaces):
-            stop = at + int(spaces[-1])
+            stop = at + 1 + int(spaces[-1])
         else:
             later = np.flatnonzero(_SPACE[np.frombuffer(raw, np.uint8, offset=at + _BLOCK)])
             if not len(later):
@@ -112,6 +112,13 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """512 bits as eight whole numbers: bit k tells if an odd number of shingles hash to k.
+    The bits in which two sets differ are at most as many as the shingles in which they do."""
+    odd = np.bincount((shingles & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def digest(shingles: np.ndarray) -> bytes:
     """Sixteen bytes that stand for the set."""
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
