@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from strikeline.llm.arrow_rows import mapped
 
 #: Pretokens a worker keeps before it starts anew (about 200 bytes each).
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 400_000
 LONGEST = 2048
 END_ID = 1
 

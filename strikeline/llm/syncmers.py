@@ -27,6 +27,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strikeline.llm.arrow_rows import sliced
 from strikeline.llm.common import filled, partitions_of
 
 K, S, KEPT = 12, 5, 64
@@ -176,7 +177,7 @@ _DDL = (
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and fingerprint of every document; no shuffle."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids, texts = (c.to_pylist() for c in batch.columns)
             marks = [fingerprint(s) for s in sketches(texts)]
             yield pa.RecordBatch.from_pydict({"doc_id": ids, "fingerprint": marks})
@@ -204,7 +205,8 @@ def with_next(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     ).withColumn("position", F.col("rank").cast("double"))
     parts = _PARTS_PER_PARTITION * partitions_of(docs.sparkSession)
     cuts = rows.approxQuantile("position", [i / parts for i in range(1, parts)], 1 / (10 * parts))
-    splits = [float("-inf"), *sorted({c for c in cuts}), float("inf")]
+    # a bound below all positions, since there must be one cut
+    splits = [float("-inf"), *sorted({-1e300, *cuts}), float("inf")]
     ranged = Bucketizer(splits=splits, inputCol="position", outputCol="part").transform(
         rows
     ).select("doc_id", "text", "rank", F.col("part").cast("int").alias("part"))
@@ -249,7 +251,7 @@ def edit_test(docs: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int | None, str]] = []
         size = 0
-        for batch in batches:
+        for batch in sliced(batches):
             for is_ahead, doc_id, value in zip(
                 *[batch.column(c).to_pylist() for c in ("ahead", "doc_id", "text")], strict=True
             ):

@@ -28,6 +28,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strikeline.llm.arrow_rows import sliced
 from strikeline.llm.common import filled, join_groups
 from strikeline.session import cut_lineage
 
@@ -117,8 +118,8 @@ def write(
                 {"path": [f"{root}/{name}"], "bytes": [size], "records": [count]}, _MANIFEST
             )
 
-        for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for part in sliced(batches):
+            for row in zip(*[c.to_pylist() for c in part.columns], strict=True):
                 page_id, address, text, refers_to = row
                 if out is None:
                     name, size, count = f"{uuid.uuid4().hex}.warc.gz", 0, 0
