@@ -726,6 +726,20 @@ ORACLES: dict[str, str] = {
         "banded",
     ),
     "csv_copy": _sql('SELECT name, "FUT_TOKEN", "FUT_EXPIRY_DATE_STR" FROM config', "config"),
+    "master_json": _sql(
+        "SELECT token, symbol, name, expiry, strike, instrumenttype, exch_seg FROM master", "master"
+    ),
+    "calendar_csv": _sql("SELECT day, listed AS market_open_status FROM holidays", "holidays"),
+    "matching_columns": _sql(
+        """SELECT "UID", "EN_T_SIGNAL", "T_CE_PE" FROM held WHERE "TRADE_TYPE" = 'SELL'""", "held"
+    ),
+    "appended_rows": _sql(
+        """SELECT day, listed AS market_open_status, load
+        FROM holidays, (VALUES ('first'), ('second')) v(load)""", "holidays",
+    ),
+    "wide_snapshots": """SELECT upper(event_type) AS symbol, ts, '5_MIN' AS tf, value::DOUBLE AS rsi,
+        value::DOUBLE + 1 AS close FROM events
+      UNION ALL SELECT upper(event_type), ts, '1_HOUR', NULL, value::DOUBLE * 2 FROM events""",
     "json_copy": _sql("SELECT * EXCLUDE (name) FROM config", "config"),
     "promoted_chain": _sql(
         """SELECT name, token, symbol, strike, expiry, ce_or_pe FROM banded

@@ -599,6 +599,60 @@ def csv_copy(spark, d):
     )
 
 
+@query
+def master_json(spark, d):
+    """The instrument dump as JSON arrays, one of up to 1,000 records per file, and read back."""
+    path = shared_dir(spark)
+    master = dt.instrument_master(spark, d)
+    thousand = F.floor(F.monotonically_increasing_id() / 1000)
+    arrays = master.withColumn("file", thousand).groupBy("file").agg(
+        F.to_json(F.collect_list(F.struct(*master.columns))).alias("value")
+    )
+    arrays.write.partitionBy("file").text(path)
+    return readers.instrument_master(spark, path).select(*master.columns)
+
+
+@query
+def calendar_csv(spark, d):
+    """The special-day list as CSV and read back."""
+    path = shared_dir(spark)
+    days = dt.calendar(spark, d).select(
+        F.date_format("day", "dd-MM-yyyy").alias("date"), "market_open_status"
+    )
+    writers.write_csv(days, path)
+    return readers.calendar(spark, path)
+
+
+@query
+def matching_columns(spark, d):
+    """Some columns of the rows that equal given values."""
+    held = readers.matching(dt.live_trades(spark, d), TRADE_STATUS="OPEN", TRADE_TYPE="SELL")
+    return readers.columns(held, ["UID", "EN_T_SIGNAL", "T_CE_PE"])
+
+
+@query
+def appended_rows(spark, d):
+    """Two appends to one table, the second with a computed column value of its own."""
+    path = shared_dir(spark)
+    days = dt.calendar(spark, d)
+    for load in ("first", "second"):
+        writers.append_rows(days, path, {"load": F.lit(load)})
+    return spark.read.parquet(path)
+
+
+@query
+def wide_snapshots(spark, d):
+    """A feed with a column per indicator and interval as rows per timeframe."""
+    value = F.col("value")
+    feed = {name: i for i, name in enumerate(readers.feed_columns("5m", ["RSI", "close"]))}
+    wide = dt.read(spark, d, "events").select(
+        F.lower("event_type").alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("ts"),
+        *[(value + i).alias(n) for n, i in feed.items()],
+        *[(value * 2).alias(n) for n in readers.feed_columns("1h", ["close"])],
+    )
+    return readers.snapshots_from_wide(wide).select("symbol", "ts", "tf", "rsi", "close")
+
+
 @query
 def json_copy(spark, d):
     path = shared_dir(spark)

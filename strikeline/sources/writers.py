@@ -49,7 +49,9 @@ def write_chain(chain: DataFrame, path: str) -> None:
 def write_config(config: DataFrame, root: str) -> None:
     """Config records, filed once by future expiry and once as the current ones."""
     by_expiry = config.withColumn("filed_under", F.col("FUT_EXPIRY_DATE_STR"))
-    by_expiry.write.mode("overwrite").options(**_STAMPS).partitionBy("filed_under").json(
+    by_expiry.write.mode("overwrite").options(
+        **_STAMPS, partitionOverwriteMode="dynamic"
+    ).partitionBy("filed_under").json(
         f"{root}/by_expiry"
     )
     write_json(config, f"{root}/current")
