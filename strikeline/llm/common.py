@@ -2,14 +2,35 @@
 
 from __future__ import annotations
 
+import shutil
 import string
+import tempfile
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import strikeline
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package to Spark, which copies it to the executors, so that Python workers
+    can import it wherever the driver was started. Once for each application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(strikeline.__file__).parent
+        archive = shutil.make_archive(
+            f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name
+        )
+        context.addPyFile(archive)
+        _shipped.add(context.applicationId)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
