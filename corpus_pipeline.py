@@ -13,6 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from strikeline.llm import exact_dedup, jaccard_join, packing, pii, toxicity
+from strikeline.llm.common import ship, table
 from strikeline.session import shared_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -20,7 +21,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the counterfactual-regularised classifier scores 0.5 or more go."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labels = table(spark, sf_dir, "labels")
     return toxicity.without_toxic(docs, toxicity.fit(docs, labels))
 
 
@@ -31,6 +32,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by Jaccard 0.8 of five-word shingles, the smallest doc_id stays."""
+    ship(spark)
     return jaccard_join.one_of_each(docs)
 
 
@@ -41,6 +43,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents become sequences of power-of-two lengths."""
+    ship(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -58,7 +61,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written and reread as the next one's input."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         path = shared_dir(spark)
         stage(spark, docs, sf_dir).write.parquet(path)
