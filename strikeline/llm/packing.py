@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from strikeline.llm.arrow_rows import mapped
 
 #: Pretokens a worker keeps before it starts anew (about 200 bytes each).
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_000_000
 LONGEST = 2048
 END_ID = 1
 
@@ -88,19 +88,28 @@ class Encoder:
             self.known[part] = ids.tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        split = [cut(t) for t in texts]
         if len(self.known) > self.entries:
             self.known.clear()
         known = self.known
-        new = {c for s in split for c in s if c not in known}
+        found, gaps, new = [], [], set()
+        for parts in map(cut, texts):
+            ids = list(map(known.get, parts))  # each part is looked up once
+            found.append(ids)
+            unknown = [k for k, x in enumerate(ids) if x is None]
+            if unknown:
+                gaps.append((ids, parts, unknown))
+                new.update([parts[k] for k in unknown])
         if new:
             self._learn(list(new))
-        return [b"".join([known[c] for c in s]) for s in split]
+        for ids, parts, unknown in gaps:
+            for k in unknown:
+                ids[k] = known[parts[k]]
+        return [b"".join(ids) for ids in found]
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, entries: int) -> Encoder:
+    return Encoder(path, entries)
 
 
 def lengths_of(n: int, longest: int = LONGEST) -> list[int]:
@@ -112,10 +121,12 @@ def lengths_of(n: int, longest: int = LONGEST) -> list[int]:
 def pack(
     docs: DataFrame, tokenizer: str, longest: int = LONGEST, end_id: int = END_ID,
     with_ids: bool = False, id_column: str = "doc_id", text: str = "text",
+    entries: int = CACHE_ENTRIES,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     and ``ids`` on request. No shuffle; ``longest`` is a power of two.
 
+    ``entries`` bounds a worker's cache: more memory for less work, the same result.
     A sequence id is made of the partition and the row's place in it, so a task that runs
     again gives the same ids.
     """
@@ -131,7 +142,7 @@ def pack(
 
     def work(rows: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {name: [] for name, _ in fields}
-        own = encoder(tokenizer).ids([t or "" for t in rows["text"]])
+        own = encoder(tokenizer, entries).ids([t or "" for t in rows["text"]])
         for doc_id, ids in zip(rows["doc_id"], own, strict=True):
             ids += end
             start, total = 0, len(ids) // 4

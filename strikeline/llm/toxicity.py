@@ -43,7 +43,7 @@ STEPS = 400
 _WORD = re.compile(r"[^\W\d_]+")
 _STEMS = (4, 5, 6)
 #: Words of which a worker keeps the features.
-_CACHE = 300_000
+_CACHE = 100_000
 
 #: Terms for groups of people by kind; a term is swapped for the next of its list (fixed values).
 IDENTITY_TERMS = (
