@@ -44,7 +44,9 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents become sequences of power-of-two lengths."""
     ship(spark)
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    # workers that have run the other stages have less memory to spare
+    return packing.pack(docs, tokenizer, entries=300_000)
 
 
 STAGES: list[tuple[str, Stage]] = [
