@@ -148,3 +148,13 @@ def test_components(spark):
     got = {r.node: r.label for r in components(frame).collect()}
     assert got == {x: y for x, y in label.items() if x in got}
     assert all(label[x] == x for x in label.keys() - got.keys())
+
+
+def test_components_of_long_chains(spark):
+    rising = [(i, i + 1) for i in range(1, 1000)]
+    # low ids at both ends, the highest in the middle
+    order = [*range(2000, 2400, 2), *range(2399, 2000, -2)]
+    links = [*rising, *[tuple(sorted(p)) for p in zip(order, order[1:], strict=False)]]
+    frame = spark.createDataFrame(links, "a long, b long")
+    got = {r.node: r.label for r in components(frame).collect()}
+    assert got == {i: 1 if i <= 1000 else 2000 for i in [*range(1, 1001), *order]}
