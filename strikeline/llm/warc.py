@@ -38,7 +38,8 @@ SPLIT_BYTES = 16 << 20
 ARCHIVE_BYTES = 1 << 30
 DATE = "2024-01-01T00:00:00Z"
 _READ = 1 << 20
-_HEADER_LIMIT = 1 << 16
+_PROBE = 1 << 16
+_START = b"WARC/1."
 _ID = "urn:page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MANIFEST = pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("records", pa.int64())])
@@ -176,28 +177,27 @@ class _Reader:
 
     def member(self, start: int) -> tuple[bytes, int] | None:
         """The inflated member at ``start`` and its end; None if no WARC record starts there."""
-        inflate, got, at, length, checked = zlib.decompressobj(31), [], start, 0, False
+        inflate, got, at, head = zlib.decompressobj(31), [], start, b""
         while not inflate.eof:
             if not self.fill(at + 1):
                 return None  # the file ends inside the member
             piece = self.held[at - self.at : at - self.at + _READ]
+            known = len(head) == len(_START)
             try:
-                out = inflate.decompress(piece, 0 if checked else _HEADER_LIMIT)
+                # little is inflated of what may be no record
+                out = inflate.decompress(piece, 0 if known else _PROBE)
             except zlib.error:
                 return None
             # at a member's end both may hold what follows it
             rest = inflate.unused_data if inflate.eof else inflate.unconsumed_tail
             at += len(piece) - len(rest)
             got.append(out)
-            length += len(out)
-            if not checked:
-                head = b"".join(got)
-                if not b"WARC/1.".startswith(head[:7]):
+            if not known:
+                head = (head + out)[: len(_START)]
+                if not _START.startswith(head):
                     return None
-                checked = b"\r\n\r\n" in head
-                if not checked and length >= _HEADER_LIMIT:
-                    return None
-        return (b"".join(got), at) if checked else None
+        raw = b"".join(got)
+        return (raw, at) if head == _START and b"\r\n\r\n" in raw else None
 
 
 def _headers(raw: bytes) -> dict[str, str]:
@@ -208,7 +208,7 @@ def _headers(raw: bytes) -> dict[str, str]:
 def parsed(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each record in an inflated member."""
     at = 0
-    while raw.startswith(b"WARC/1.", at) and (stop := raw.find(b"\r\n\r\n", at)) >= 0:
+    while raw.startswith(_START, at) and (stop := raw.find(b"\r\n\r\n", at)) >= 0:
         headers = _headers(raw[at:stop])
         length = int(headers.get("content-length", "0"))
         yield headers, raw[stop + 4 : stop + 4 + length]
@@ -254,7 +254,9 @@ def records_in(file, start: int, end: int) -> Iterator[tuple[dict[str, str], byt
 def read(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bool = False) -> DataFrame:
     """One row per record of the archives (path, bytes): page_id, payload_bytes,
     payload_digest, record_type, refers_to, url, intact (the stated digest holds), and
-    ``payload`` on request. Each task reads some byte ranges of at most ``split_bytes``."""
+    ``payload`` on request. Each task reads some byte ranges of at most ``split_bytes``. If the
+    manifest has ``records``, the rows are written to the shared folder and counted, and it is
+    an error if they are not as many."""
     fields = [
         ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
         ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()),
@@ -291,7 +293,14 @@ def read(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bool
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return ranges.repartition(int(min(count, 100_000))).mapInArrow(scan, ddl)
+    rows = ranges.repartition(int(min(count, 100_000))).mapInArrow(scan, ddl)
+    if "records" not in manifest.columns:
+        return rows
+    rows = cut_lineage(rows)
+    written, found = manifest.agg(F.sum("records")).first()[0] or 0, rows.count()
+    if written != found:
+        raise RuntimeError(f"the archives hold {written} records, {found} were read")
+    return rows
 
 
 READ_BACK_SQL = """

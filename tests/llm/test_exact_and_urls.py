@@ -167,3 +167,25 @@ def test_magic_inside_a_member_is_no_record(tmp_path):
         found += [h["warc-record-id"] for h, _ in
                   warc.records_in(io.BytesIO(data), start, min(start + 97, len(data)))]
     assert found == [f"<urn:page:{i}>" for i in range(5)]
+
+
+def test_warc_of_long_urls(spark, tmp_path):
+    pages = [(1, "http://a/" + "x" * 70_000, "one"), (2, "http://b/" + "中" * 9000, "two"),
+             (3, "http://c/" + "".join(map(str, range(600_000))), None), (4, "http://d/", "four")]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    manifest = warc.write(table, str(tmp_path / "long"))
+    for split in (5000, 1 << 24):
+        rows = {r.page_id: r for r in warc.read(manifest, split).collect()}
+        assert rows.keys() == {1, 2, 3, 4}
+        assert [len(rows[i].url) for i in (1, 2, 3, 4)] == [70_009, 9 + 9 * 9000, len(pages[2][1]), 9]
+
+
+def test_warc_records_that_are_not_read_are_an_error(spark, tmp_path):
+    table = spark.createDataFrame([(i, "http://x/", f"{i}") for i in range(20)],
+                                  "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write(table, str(tmp_path / "broken"))
+    path = manifest.first().path
+    with open(path, "r+b") as file:  # cut off within the last member
+        file.truncate(manifest.first().bytes - 5)
+    with pytest.raises(RuntimeError, match="20 records"):
+        warc.read(manifest)
