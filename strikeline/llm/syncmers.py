@@ -2,10 +2,10 @@
 
 A run of ``K`` characters is an anchor if, of the ``S``-character runs inside it, one with the
 smallest hash lies at its start or end. That depends on nothing around it, so a passage has
-the same anchors wherever it stands. A fingerprint holds the ``KEPT`` distinct anchors with the
-smallest hashes, each with its first position. The likeness of two fingerprints is an estimate
-of the Jaccard coefficient of their anchors, in which only anchors count that stand in the
-same order in both texts.
+the same anchors wherever it stands. A fingerprint holds all of them, in the order of the
+text, each with its place. The likeness of two fingerprints is that of two sequences of
+anchors: the longest common subsequence, as a share of the anchors of either that are not
+matched and those that are.
 
 Rules for odd input: null texts count as empty; an empty text has the empty fingerprint, which
 is like another empty one (1) and unlike all others (0); a text without anchors, as it is too
@@ -17,6 +17,7 @@ and text are read.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -30,10 +31,13 @@ from pyspark.sql import functions as F
 from strikeline.llm.arrow_rows import sliced
 from strikeline.llm.common import filled, partitions_of
 
-K, S, KEPT = 12, 5, 64
+K, S = 12, 5
 _BITS = 40
 #: Characters worked on at once.
 _BLOCK = 1 << 20
+#: Equal pairs for each anchor of the shorter sequence up to which they are gone through.
+_MATCHES = 64
+_BITS_AT_ONCE = 1 << 14
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,30 +77,20 @@ def _anchors(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, _mixed(k) >> np.uint64(64 - _BITS)
 
 
-def _smallest(ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The KEPT smallest distinct ids, each with its first place."""
-    if len(ids) > 8 * KEPT:
-        few = ids <= np.partition(ids, 4 * KEPT)[4 * KEPT]
-        found, first = np.unique(ids[few], return_index=True)
-        if len(found) > KEPT:
-            return found[:KEPT], places[few][first[:KEPT]]
-    found, first = np.unique(ids, return_index=True)
-    return found[:KEPT], places[first[:KEPT]]
-
-
 Sketch = tuple[np.ndarray, np.ndarray]
 
 
 def _long(codes: np.ndarray) -> Sketch:
-    ids, places = np.empty(0, np.uint64), np.empty(0, np.int64)
+    ids, places = [], []
     for start in range(0, max(1, len(codes) - K + 1), _BLOCK):
         at, h = _anchors(codes[start : start + _BLOCK + K - 1])
-        ids, places = _smallest(np.concatenate([ids, h]), np.concatenate([places, at + start]))
-    return ids, places
+        ids.append(h)
+        places.append(at + start)
+    return np.concatenate(ids), np.concatenate(places)
 
 
 def sketches(texts: list[str]) -> list[Sketch]:
-    """Ids and places of each text's kept anchors. Short texts are worked on together."""
+    """Ids and places of each text's anchors, in order. Short texts are worked on together."""
     codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
     out: list[Sketch] = [None] * len(texts)  # type: ignore[list-item]
     group: list[int] = []
@@ -113,7 +107,7 @@ def sketches(texts: list[str]) -> list[Sketch]:
         bounds = np.searchsorted(owner, np.arange(len(group) + 1))
         for k, i in enumerate(group):
             a, b = bounds[k], bounds[k + 1]
-            out[i] = _smallest(h[a:b], at[a:b] - (ends[k] - lengths[k]))
+            out[i] = h[a:b], at[a:b] - (ends[k] - lengths[k])
         group.clear()
 
     held = 0
@@ -136,25 +130,76 @@ def sketches(texts: list[str]) -> list[Sketch]:
 
 
 def fingerprint(sketch: Sketch) -> str:
-    """The sketch as text: ``id.place`` in hexadecimal, smallest id first."""
-    return "-".join([f"{i:010x}.{p:x}" for i, p in zip(*map(np.ndarray.tolist, sketch), strict=True)])
+    """The sketch as text: base64 of six bytes for each anchor, five for its id (most
+    significant first) and one for the characters since the last one or the start, which are
+    at most K - S."""
+    ids, places = sketch
+    packed = np.empty((len(ids), 6), np.uint8)
+    packed[:, :5] = ids.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:]
+    packed[:, 5] = np.diff(places, prepend=0)
+    return base64.b64encode(packed.tobytes()).decode()
+
+
+def unpacked(mark: str) -> Sketch:
+    """The sketch that a fingerprint holds."""
+    packed = np.frombuffer(base64.b64decode(mark), np.uint8).reshape(-1, 6)
+    wide = np.zeros((len(packed), 8), np.uint8)
+    wide[:, 3:] = packed[:, :5]
+    return wide.view(">u8")[:, 0].astype(np.uint64), np.cumsum(packed[:, 5], dtype=np.int64)
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence; exact, whatever repeats."""
+    least = min(len(a), len(b))
+    differ = np.flatnonzero(a[:least] != b[:least])
+    start = int(differ[0]) if len(differ) else least
+    a, b = a[start:], b[start:]
+    least = min(len(a), len(b))
+    differ = np.flatnonzero(a[len(a) - least :][::-1] != b[len(b) - least :][::-1])
+    end = int(differ[0]) if len(differ) else least
+    a, b = a[: len(a) - end], b[: len(b) - end]
+    both = np.intersect1d(a, b)
+    if not len(both):
+        return start + end
+    a, b = (x[np.isin(x, both)] for x in (a, b))
+    a, b = np.searchsorted(both, a), np.searchsorted(both, b)
+    if len(a) < len(b):
+        a, b = b, a
+    matches = int(np.bincount(a) @ np.bincount(b))
+    if matches <= _MATCHES * len(b):
+        where: list[list[int]] = [[] for _ in both]
+        for k in range(len(a) - 1, -1, -1):
+            where[a[k]].append(k)
+        ends: list[int] = []  # longest run of rising places
+        for i in b.tolist():
+            for p in where[i]:  # falling, so that an anchor is matched once
+                k = bisect_left(ends, p)
+                ends[k : k + 1] = [p]
+        return start + end + len(ends)
+    # many repeats: one bit for each place of the longer sequence, in blocks that hand on carries
+    found, carries, shorter = 0, [0] * len(b), b.tolist()
+    for at in range(0, len(a), _BITS_AT_ONCE):
+        bits: dict[int, int] = {}
+        block = a[at : at + _BITS_AT_ONCE].tolist()
+        for k, i in enumerate(block):
+            bits[i] = bits.get(i, 0) | 1 << k
+        width = len(block)
+        whole = row = (1 << width) - 1
+        for j, i in enumerate(shorter):
+            met = row & bits.get(i, 0)
+            total = row + met + carries[j]
+            carries[j] = total >> width
+            row = (total | (row - met)) & whole
+        found += width - row.bit_count()
+    return start + end + found
 
 
 def likeness(a: Sketch, b: Sketch) -> float:
-    """Share of the smallest ids of both that both have, at places in the same order."""
+    """Share of the anchors of both that both have, in the same order."""
     if not len(a[0]) or not len(b[0]):
         return float(len(a[0]) == len(b[0]))
-    place_a = dict(zip(a[0].tolist(), a[1].tolist(), strict=True))
-    place_b = dict(zip(b[0].tolist(), b[1].tolist(), strict=True))
-    common = place_a.keys() & place_b.keys()
-    lowest = sorted(place_a.keys() | place_b.keys())[:KEPT]
-    if not common:
-        return 0.0
-    ends: list[int] = []  # longest run of rising places
-    for _, p in sorted((place_a[i], place_b[i]) for i in common.intersection(lowest)):
-        k = bisect_left(ends, p)
-        ends[k : k + 1] = [p]
-    return len(ends) / len(lowest)
+    common = _common(a[0], b[0])
+    return common / (len(a[0]) + len(b[0]) - common)
 
 
 def edited(text: str, following: str) -> str:

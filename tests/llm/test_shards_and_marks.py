@@ -121,3 +121,39 @@ def test_odd_rows_are_marked(documents, odd_pairs):
     one = syncmers.edit_test(documents([(1, "abc")])).collect()
     assert one[0].near_next == 1.0
     assert syncmers.fingerprints(documents(odd_pairs)).count() == len(odd_pairs)
+
+
+def _slow_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(row[j], last[j + 1]))
+    return row[-1]
+
+
+def test_common_anchors_by_brute_force(monkeypatch):
+    rng = np.random.default_rng(1)
+    for most, width in ((64, 1 << 14), (0, 1 << 14), (0, 7)):  # by equal pairs, bits, blocks of bits
+        monkeypatch.setattr(syncmers, "_MATCHES", most)
+        monkeypatch.setattr(syncmers, "_BITS_AT_ONCE", width)
+        for _ in range(150):
+            a, b = (rng.integers(0, rng.integers(2, 40), rng.integers(0, 60)).astype(np.uint64)
+                    for _ in range(2))
+            assert syncmers._common(a, b) == _slow_common(a.tolist(), b.tolist())
+
+
+def test_every_anchor_is_kept():
+    rng = np.random.default_rng(2)
+    own, other, shared = ("".join(map(chr, rng.integers(97, 123, n))) for n in (100_000, 20_000, 300))
+    long, short = own[:60_000] + shared + own[60_000:], other[:5000] + shared + other[5000:]
+    (ids, places), other_sketch = syncmers.sketches([long, short])
+    at, h = syncmers._anchors(np.frombuffer(long.encode("utf-32-le"), "<u4"))
+    assert ids.tolist() == h.tolist() and places.tolist() == at.tolist()
+    for sketch in ((ids, places), other_sketch, *syncmers.sketches(["", "short", "9" * 5000])):
+        for x, y in zip(syncmers.unpacked(syncmers.fingerprint(sketch)), sketch, strict=True):
+            assert x.tolist() == y.tolist()
+    inside = len(syncmers.sketches([shared])[0][0])
+    assert inside > 40 and syncmers._common(ids, other_sketch[0]) >= inside
+    assert syncmers.likeness((ids, places), other_sketch) > 0
