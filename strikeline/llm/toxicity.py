@@ -109,7 +109,7 @@ def training_sample(
     docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS,
     id_column: str = "doc_id", text: str = "text", label: str = "toxic",
 ) -> tuple[DataFrame, tuple[int, int]]:
-    """Words of the sampled documents (toxic, words, swapped) and how many labels of each
+    """Words of the sampled documents (toxic, words, swapped), one row per id, and how many labels of each
     class (0, 1) there are. The sample's ids, at most two times ``rows``, are broadcast."""
     known = (
         labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull())
@@ -125,6 +125,10 @@ def training_sample(
     texts = docs.select(F.col(id_column).alias("id"), filled(text).alias("text")).join(
         F.broadcast(sample), "id"
     )
+    # of rows that repeat an id the one with the smallest hash of its text
+    texts = texts.groupBy("id", "toxic").agg(
+        F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    )
 
     def work(batch: dict[str, list]) -> dict[str, list]:
         found = [words_of(t) for t in batch["text"]]

@@ -181,3 +181,14 @@ def test_scores_do_not_depend_on_the_way(spark, documents, odd_pairs):
     assert toxicity.report(documents([]), labels).count() == 0
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.report(docs, none).collect()} == {0.0}
+
+
+def test_a_repeated_id_enters_the_fit_once(spark, documents):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    pairs = [(i, f"text {i} " + ("bad" if i % 2 else "good")) for i in ids]
+    again = [(ids[0], f"again {k}") for k in range(500)]
+    sample, _ = toxicity.training_sample(documents(pairs + again), labels)
+    assert sample.count() == len(ids)
+    models = [toxicity.fit(documents(x), labels) for x in (pairs + again, again[::-1] + pairs)]
+    assert models[0] == models[1]
