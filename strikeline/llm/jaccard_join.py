@@ -521,9 +521,38 @@ def _finished(own: DataFrame, groups: DataFrame, labels: DataFrame, rows: int) -
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` but those of linked documents that have not the smallest id."""
+    """The rows of ``docs`` but those linked to a row that comes before them.
+
+    Rows are joined by a key of their own, written once with them, so each is judged by its
+    own text. Of linked rows the one with the smallest id stays, null ids last, and with it
+    rows that repeat its id and text.
+    """
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    keyed = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
+    moved = cut_lineage(
+        report(keyed, row, text).where("doc_id <> component_id")
+        .select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    )
+    linked = moved.unionByName(
+        moved.select(F.col("component").alias("row"), "component").distinct()
+    )
+    slim = keyed.select(
+        F.col(row).alias("row"), F.col(id_column).alias("id"),
+        F.sha2(filled(text), 256).alias("digest"),
+    )
+    members = cut_lineage(slim.join(if_small(linked), "row"))
+    groups = cut_lineage(
+        members.groupBy("component").agg(
+            F.min(F.struct(F.col("id").isNull().alias("last"), "id", "digest", "row")).alias("kept"),
+            F.count("*").alias("copies"),
+        )
+    )
+    repeats = (F.col("id") == F.col("kept.id")) & (F.col("digest") == F.col("kept.digest"))
     dropped = cut_lineage(
-        report(docs, id_column, text).where("doc_id <> component_id")
-        .select(F.col("doc_id").alias("_dropped")).distinct()
+        join_groups(members, groups, "component", "copies", members.count())
+        .where((F.col("row") != F.col("kept.row")) & ~F.coalesce(repeats, F.lit(False)))
+        .select(F.col("row").alias(row))
     )
-    return docs.join(dropped, docs[id_column] == dropped["_dropped"], "left_anti")
+    return keyed.join(dropped, row, "left_anti").select(*docs.columns)

@@ -158,3 +158,16 @@ def test_components_of_long_chains(spark):
     frame = spark.createDataFrame(links, "a long, b long")
     got = {r.node: r.label for r in components(frame).collect()}
     assert got == {i: 1 if i <= 1000 else 2000 for i in [*range(1, 1001), *order]}
+
+
+def test_one_of_each_judges_rows_not_ids(documents):
+    words = [f"word{i}" for i in range(60)]
+    near = [" ".join([*words, f"end{k}"]) for k in range(3)]
+    other = [" ".join(f"{x}{i}" for i in range(40)) for x in ("p", "q")]
+    pairs = [(1, near[0]), (2, near[1]), (2, other[0]), (3, other[1]), (3, near[2])]
+    kept = jaccard_join.one_of_each(documents(pairs)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, near[0]), (2, other[0]), (3, other[1])]
+    nulls = [*[(None, t) for t in (*near, near[0], *other)], (7, other[0])]
+    kept = jaccard_join.one_of_each(documents(nulls)).collect()
+    assert len(kept) == 3 and {r.text for r in kept} - {*near} == {*other}
+    assert {r.doc_id for r in kept if r.text == other[0]} == {7}
