@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strikeline.llm import (
     exact_dedup,
     jaccard_join,
+    line_dedup,
     packing,
     pii,
     sentencepiece_agenda,
@@ -74,6 +75,13 @@ def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.without_repeated_lines(table(spark, sf_dir, "documents"), at_least=10)
+    return found.select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_vector_shards,
@@ -86,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_power_of_two_packing,
         op9_exact_dedup,
         op10_url_trust,
+        op13_line_dedup,
     )
 }
 
@@ -93,4 +102,5 @@ ORACLES: dict[str, str] = {
     "op7_warc_round_trip": warc.READ_BACK_SQL,
     "op9_exact_dedup": exact_dedup.REPORT_SQL,
     "op10_url_trust": url_trust.VERDICT_SQL,
+    "op13_line_dedup": line_dedup.LINES_SQL,
 }
