@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strikeline.llm import (
     exact_dedup,
+    hard_negatives,
     jaccard_join,
     line_dedup,
     packing,
@@ -75,6 +76,11 @@ def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_anchor_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.without_repeated_lines(table(spark, sf_dir, "documents"), at_least=10)
     return found.select(
@@ -94,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_power_of_two_packing,
         op9_exact_dedup,
         op10_url_trust,
+        op12_anchor_tree_negatives,
         op13_line_dedup,
     )
 }
@@ -102,5 +109,6 @@ ORACLES: dict[str, str] = {
     "op7_warc_round_trip": warc.READ_BACK_SQL,
     "op9_exact_dedup": exact_dedup.REPORT_SQL,
     "op10_url_trust": url_trust.VERDICT_SQL,
+    "op12_anchor_tree_negatives": hard_negatives.MINED_SQL,
     "op13_line_dedup": line_dedup.LINES_SQL,
 }
