@@ -14,6 +14,7 @@ from strikeline.llm import (
     jaccard_join,
     line_dedup,
     packing,
+    periodic_runs,
     pii,
     sentencepiece_agenda,
     sharding,
@@ -76,6 +77,11 @@ def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_planted_runs(table(spark, sf_dir, "documents"))
+    return periodic_runs.digests(periodic_runs.find_runs(docs))
+
+
 def op12_anchor_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved))
@@ -100,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_power_of_two_packing,
         op9_exact_dedup,
         op10_url_trust,
+        op11_periodic_runs,
         op12_anchor_tree_negatives,
         op13_line_dedup,
     )
