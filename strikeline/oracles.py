@@ -151,16 +151,18 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
               round_even("FPRICE", 0)::BIGINT AS whole FROM per_minute)"""),
     "master": ((), f"""
         SELECT p_partkey::VARCHAR AS token,
-          CASE WHEN p_partkey % 41 = 0 THEN name || ex || 'FUT'
-            ELSE name || ex || strike::VARCHAR || CASE WHEN p_partkey % 2 = 0 THEN 'CE' ELSE 'PE' END
-          END AS symbol, name, CASE WHEN p_partkey % 97 = 96 THEN '' ELSE ex END AS expiry,
-          CASE WHEN p_partkey % 41 = 0 THEN '-1.000000'
-            ELSE (strike * 100)::VARCHAR || '.000000' END AS strike,
-          CASE WHEN p_partkey % 41 = 0 THEN 'FUTIDX' ELSE 'OPTIDX' END AS instrumenttype,
-          CASE WHEN p_partkey % 53 = 52 THEN 'NSE' ELSE 'NFO' END AS exch_seg
-        FROM (SELECT p_partkey, {SYMBOLS}[(p_partkey // 400) % 5 + 1] AS name,
-          upper(strftime(DATE '2024-01-04' + (((p_partkey // 100) % 4) * 7)::INTEGER, '%d%b%Y')) AS ex,
-          43200 + 100 * ((p_partkey // 2) % 50) AS strike FROM part)"""),
+          CASE WHEN fut THEN name || ex || 'FUT' ELSE name || ex || strike::VARCHAR || side END AS symbol,
+          name, CASE WHEN p_partkey % 97 = 96 AND NOT whole THEN '' ELSE ex END AS expiry,
+          CASE WHEN fut THEN '-1.000000' ELSE (strike * 100)::VARCHAR || '.000000' END AS strike,
+          CASE WHEN fut THEN 'FUTIDX' ELSE 'OPTIDX' END AS instrumenttype,
+          CASE WHEN p_partkey % 53 = 52 AND NOT whole OR name = 'view' AND strike = 44500
+              AND side = 'PE' AND NOT fut THEN 'NSE' ELSE 'NFO' END AS exch_seg
+        FROM (SELECT *, p_partkey % 41 = 0 AND NOT whole AS fut FROM (
+          SELECT *, name = 'click' AND strike BETWEEN 43500 AND 45500 AS whole FROM (
+            SELECT p_partkey, {SYMBOLS}[(p_partkey // 400) % 5 + 1] AS name,
+              CASE WHEN p_partkey % 2 = 0 THEN 'CE' ELSE 'PE' END AS side,
+              ['01FEB2024','11JAN2024','04JAN2024','18JAN2024'][(p_partkey // 100) % 4 + 1] AS ex,
+              43200 + 100 * ((p_partkey // 2) % 50) AS strike FROM part)))"""),
     "instr": (("master",), """
         SELECT *, CASE WHEN expiry <> '' THEN strptime(expiry, '%d%b%Y')::DATE END AS expiry_date
         FROM master WHERE exch_seg = 'NFO'"""),
@@ -302,7 +304,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT *, sg IN ('BUY','STRONG_BUY') AS buy FROM (
           SELECT o_orderkey::VARCHAR AS "UID", {SYMBOLS}[o_custkey % 5 + 1] AS symbol,
             {TFS}[left(o_orderpriority, 1)::INTEGER] AS "TS_TF", o_orderdate, o_totalprice,
-            ['BUY','STRONG_BUY','SELL','STRONG_SELL'][o_custkey % 4 + 1] AS sg,
+            ['BUY','STRONG_BUY','SELL','STRONG_SELL'][CASE o_custkey % 5 WHEN 3 THEN o_custkey % 2
+              WHEN 4 THEN 2 + o_custkey % 2 ELSE o_custkey % 4 END + 1] AS sg,
             (44000 + o_orderkey % 4900)::DOUBLE AS "EN_FUT_PRICE",
             o_orderkey % 49 * 100 + 44000 AS "OPT_STRIKE_PRICE",
             'OPT' || (o_orderkey % 400)::VARCHAR AS "OPT_SYMBOL",
@@ -577,7 +580,9 @@ ORACLES: dict[str, str] = {
     "trading_config": _sql("SELECT * FROM config", "config"),
     "trading_config_json": _sql("SELECT * FROM config", "config"),
     "config_key_touched": _sql(
-        "SELECT name, DATE '2024-01-12' AS \"T_DATE\", ke FROM config", "config"
+        f"""SELECT name, CASE WHEN name IN ('click','view') THEN DATE '2024-01-12' ELSE {AS_OF} END
+          AS "T_DATE", CASE WHEN name IN ('click','view') THEN 'MAIN' ELSE 'SPARE' END AS ke
+        FROM config""", "config"
     ),
     "expiry_valid": _sql(
         """SELECT name, DATE '2024-01-12' <= "FUT_EXPIRY_DATE" AS fut_valid,
@@ -622,12 +627,15 @@ ORACLES: dict[str, str] = {
         "decided",
     ),
     "close_rules": _sql(
-        """SELECT n."TA_SIGNAL", h."TA_SIGNAL" AS held, count(*)::BIGINT AS n,
-          h."TA_SIGNAL" IN ('BUY','STRONG_BUY','SELL','STRONG_SELL') AND (n."TA_SIGNAL" IN
-            ('NEUTRAL','ERROR')
-          OR (h."TA_SIGNAL" LIKE '%BUY' AND n."TA_SIGNAL" LIKE '%SELL')
-          OR (h."TA_SIGNAL" LIKE '%SELL' AND n."TA_SIGNAL" LIKE '%BUY')) AS closed
-        FROM rolled n JOIN rolled h ON n.event_id = h.event_id + 1 GROUP BY ALL""", "rolled",
+        f"""SELECT n.seen AS "TA_SIGNAL", h."TA_SIGNAL" AS held, count(*)::BIGINT AS n,
+          h."TA_SIGNAL" IN ('BUY','STRONG_BUY','SELL','STRONG_SELL') AND (n.seen IN
+            ('NEUTRAL','ERROR','NO_RESPONSE','CLOSE_ALL_MARKET_TIMEOUT')
+          OR (h."TA_SIGNAL" LIKE '%BUY' AND n.seen LIKE '%SELL')
+          OR (h."TA_SIGNAL" LIKE '%SELL' AND n.seen LIKE '%BUY')) AS closed
+        FROM (SELECT event_id, CASE WHEN (ts + {IST})::TIME >= TIME '15:20:00'
+              THEN 'CLOSE_ALL_MARKET_TIMEOUT' WHEN no_response THEN 'NO_RESPONSE'
+              ELSE "TA_SIGNAL" END AS seen FROM rolled) n
+        JOIN rolled h ON n.event_id = h.event_id + 1 GROUP BY ALL""", "rolled",
     ),
     "close_rule_join": _sql(
         """SELECT "UID", symbol, "TS_TF", "EN_T_SIGNAL", exit_signal, exit_fprice, exit_cycle,

@@ -331,7 +331,10 @@ def trading_config_json(spark, d):
 
 @query
 def config_key_touched(spark, d):
-    return ins.touch_config(_config(spark, d), "MAIN", "2024-01-12").select("name", "T_DATE", "ke")
+    """The config of two keys, of which one is touched."""
+    main = F.col("name").isin(dt.SYMBOLS[0], dt.SYMBOLS[-1])
+    keyed = _config(spark, d).withColumn("ke", F.when(main, "MAIN").otherwise("SPARE"))
+    return ins.touch_config(keyed, "MAIN", "2024-01-12").select("name", "T_DATE", "ke")
 
 
 @query
@@ -436,11 +439,18 @@ def entry_issues(spark, d):
 
 @query
 def close_rules(spark, d):
-    """The close rules applied to every pair of consecutive signals seen in the data."""
-    seen = ind.rollup(dt.snapshots(spark, d), ("event_id",)).select(
-        F.col("event_id") + 1, F.col("TA_SIGNAL").alias("held")
-    ).toDF("event_id", "held")
-    now = ind.rollup(dt.snapshots(spark, d), ("event_id",)).select("event_id", "TA_SIGNAL")
+    """The close rules applied to every pair of consecutive signals seen in the data; the
+    later one as the trading loop sees it, with silent feeds and the end of the session."""
+    rolled = ind.rollup(dt.snapshots(spark, d), ("event_id", "ts"))
+    seen = rolled.select(F.col("event_id") + 1, F.col("TA_SIGNAL").alias("held")).toDF(
+        "event_id", "held"
+    )
+    ended = clock.close_all(clock.local_time(F.col("ts")))
+    now = rolled.select(
+        "event_id",
+        F.when(ended, fixed.CLOSE_ALL).when(F.col("no_response"), fixed.NO_RESPONSE)
+        .otherwise(F.col("TA_SIGNAL")).alias("TA_SIGNAL"),
+    )
     pairs = now.join(seen, "event_id").groupBy("TA_SIGNAL", "held").agg(F.count("*").alias("n"))
     rules = tr.close_rules(spark)
     return pairs.join(

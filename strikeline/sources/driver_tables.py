@@ -97,29 +97,36 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def instrument_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw instrument records, all text: futures (every 41st part) and options, blocks of
-    400 parts per underlying, four weekly expiries, 50 strikes."""
+    400 parts per underlying, four expiries of which the last is after all events, 50 strikes.
+
+    Some records are futures, unreadable or of another segment, which leaves gaps in the
+    ladders; the first underlying has none near its prices, and the last one always has one.
+    """
     p = F.col("p_partkey")
-    block = F.expr("p_partkey div 400")
-    expiry = F.date_add(
-        F.lit("2024-01-04").cast("date"),
-        (F.expr("p_partkey div 100") % 4 * 7).cast("int"),
+    name = _pick(SYMBOLS, F.expr("p_partkey div 400") % 5)
+    weeks = F.element_at(
+        F.array(*[F.lit(w) for w in (4, 1, 0, 2)]),
+        (F.expr("p_partkey div 100") % 4 + 1).cast("int"),
     )
-    name = _pick(SYMBOLS, block % 5)
-    is_future = p % 41 == 0
+    expiry = F.date_add(F.lit("2024-01-04").cast("date"), weeks * 7)
     strike = 43200 + 100 * (F.expr("p_partkey div 2") % 50)
-    expiry_text = F.upper(F.date_format(expiry, "ddMMMyyyy"))
+    complete = (name == SYMBOLS[0]) & strike.between(43500, 45500)
+    is_future = (p % 41 == 0) & ~complete
     side = F.when(p % 2 == 0, fixed.CALL).otherwise(fixed.PUT)
+    gap = (name == SYMBOLS[-1]) & (strike == 44500) & (side == fixed.PUT) & ~is_future
+    expiry_text = F.upper(F.date_format(expiry, "ddMMMyyyy"))
     option_symbol = F.concat(name, expiry_text, strike.cast("string"), side)
     return read(spark, sf_dir, "part").select(
         p.cast("string").alias("token"),
         F.when(is_future, F.concat(name, expiry_text, F.lit("FUT")))
         .otherwise(option_symbol).alias("symbol"),
         name.alias("name"),
-        F.when(p % 97 == 96, "").otherwise(expiry_text).alias("expiry"),
+        F.when((p % 97 == 96) & ~complete, "").otherwise(expiry_text).alias("expiry"),
         F.when(is_future, "-1.000000")
         .otherwise(F.concat((strike * 100).cast("string"), F.lit(".000000"))).alias("strike"),
         F.when(is_future, fixed.FUTURE_TYPE).otherwise(fixed.OPTION_TYPE).alias("instrumenttype"),
-        F.when(p % 53 == 52, "NSE").otherwise(fixed.EXCHANGE_SEGMENT).alias("exch_seg"),
+        F.when(((p % 53 == 52) & ~complete) | gap, "NSE").otherwise(fixed.EXCHANGE_SEGMENT)
+        .alias("exch_seg"),
     )
 
 
@@ -137,10 +144,16 @@ def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def live_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A trade table from orders: status O is open, anything else closed."""
+    """A trade table from orders: status O is open, anything else closed. Of the last two
+    underlyings one is only bought and one only sold."""
     o = F.col
     is_open = o("o_orderstatus") == "O"
-    signal = _pick(fixed.TRADABLE, o("o_custkey") % 4)
+    of_two = o("o_custkey") % 2
+    signal = _pick(
+        fixed.TRADABLE,
+        F.when(o("o_custkey") % 5 == 3, of_two).when(o("o_custkey") % 5 == 4, 2 + of_two)
+        .otherwise(o("o_custkey") % 4),
+    )
     is_buy = signal.isin(*fixed.BUY_FAMILY)
     day = o("o_orderdate").cast("date")
     closed = lambda value, empty: F.when(is_open, empty).otherwise(value)

@@ -8,9 +8,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from strikeline import fixed
 from strikeline.oracles import ORACLES
 from strikeline.queries import REGISTRY
-from tests.conftest import DATA
+
+#: Small, but large enough for every query to have rows.
+DATA = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
@@ -43,8 +46,24 @@ def test_query(spark, duck, name):
     columns = [c[0] for c in result.description]
     assert sorted(columns) == sorted(got.columns)
     want = _sorted(result.fetchall(), columns)
+    assert want, "a query without rows tests nothing"
     assert _sorted([tuple(r) for r in got.collect()], got.columns) == want
 
 
+@pytest.mark.parametrize(("name", "column", "values"), [
+    ("dq_verdict", "passed", {True, False}),
+    ("entry_decisions", "can_enter", {True, False}),
+    ("strike_lookup", "strike_ok", {True, False}),
+    ("close_rules", "closed", {True, False}),
+    ("close_rules", "TA_SIGNAL", set(fixed.TRADABLE) | set(fixed.EXIT_ONLY)),
+    ("config_key_touched", "ke", {"MAIN", "SPARE"}),
+    ("trade_lifecycle", "TRADE_STATUS", {"OPEN", "CLOSE"}),
+    ("market_open", "market_is_open", {"YES", "NO"}),
+])
+def test_both_outcomes_occur(spark, name, column, values):
+    got = {r[0] for r in REGISTRY[name](spark, DATA).select(column).distinct().collect()}
+    assert values <= got
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() == 1000
