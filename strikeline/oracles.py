@@ -433,6 +433,19 @@ def _walked_trades() -> str:
     )
 
 
+def _walked_events() -> str:
+    """Openings and closings of the walk up to the minute that both streams have passed."""
+    return _sql("", "decided", "quote").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + f""",{_WALK},
+    happened AS (
+      SELECT symbol, tf, x AS trade_signal, 'OPEN' AS action, minute AS "at", "TA_SIGNAL" AS signal,
+        "FPRICE" AS fprice, opt_token AS token, en_price AS price FROM walked
+      UNION ALL
+      SELECT symbol, tf, x, 'CLOSE', ex_minute, ex_signal, ex_fprice, opt_token, price
+      FROM walked WHERE ex_minute IS NOT NULL)
+    SELECT * FROM happened WHERE "at" <= least((SELECT max(minute) FROM decided),
+      (SELECT max(ts) FROM quote)) - INTERVAL '1 minute'"""
+
+
 def _closed_trades() -> str:
     """Closed trades with the expiry of their option; both flags must hold."""
     head, body = _walked_trades().rsplit("FROM walked", 1)[0], "FROM walked"
@@ -763,10 +776,5 @@ ORACLES: dict[str, str] = {
     )),
     "stream_trades": _emitted_only(_walked_trades() + " WHERE ex_minute IS NOT NULL"),
     "trade_lifecycle_priced_exits": _closed_trades(),
-    "stream_trade_events": _sql(
-        """SELECT symbol, tf, x AS trade_signal, 'OPEN' AS action, minute AS "at",
-          "TA_SIGNAL" AS signal, "FPRICE" AS fprice, opt_token AS token FROM paired
-        UNION ALL SELECT symbol, tf, x, 'CLOSE', ex_minute, ex_signal, ex_fprice, opt_token
-        FROM paired WHERE ex_minute IS NOT NULL""", "paired",
-    ),
+    "stream_trade_events": _walked_events(),
 }

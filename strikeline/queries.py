@@ -20,8 +20,9 @@ from strikeline.plans import daily, minute, validation
 from strikeline.session import prepare, shared_dir
 from strikeline.sources import driver_tables as dt
 from strikeline.sources import readers, writers
+from strikeline.streaming.keyed import EVENT_SCHEMA, trade_events
 from strikeline.streaming.signals import append_to, signal_stream
-from strikeline.streaming.trades import EVENT_SCHEMA, trade_events, trade_stream
+from strikeline.streaming.trades import trade_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -685,9 +686,13 @@ def promoted_chain(spark, d):
 # --- streams (one run over what is there) -----------------------------------------------------
 
 
+def _stream_of(spark, d, name):
+    schema = dt.read(spark, d, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
 def _events_stream(spark, d):
-    schema = dt.read(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return _stream_of(spark, d, "events")
 
 
 @query
@@ -712,11 +717,13 @@ def stream_trades(spark, d):
 
 @query
 def stream_trade_events(spark, d):
-    """Stored decisions streamed through keyed state."""
+    """Stored decisions streamed through keyed state, priced by the stream of quotes."""
     path = shared_dir(spark)
     decided = _decided(spark, d)
     decided.write.parquet(f"{path}/decisions")
     stream = spark.readStream.schema(decided.schema).parquet(f"{path}/decisions")
-    append_to(trade_events(stream), f"{path}/events", f"{path}/progress").awaitTermination()
-    events = spark.read.schema(EVENT_SCHEMA).parquet(f"{path}/events")
-    return events.withColumn("at", F.col("at").cast("timestamp_ntz")).drop("price")
+    quotes = dt.quotes_of(_stream_of(spark, d, "lineitem"))
+    events = trade_events(stream, quotes, _options(spark, d))
+    append_to(events, f"{path}/events", f"{path}/progress").awaitTermination()
+    stored = spark.read.schema(EVENT_SCHEMA).parquet(f"{path}/events")
+    return stored.withColumn("at", F.col("at").cast("timestamp_ntz"))

@@ -84,9 +84,13 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes_of(read(spark, sf_dir, "lineitem"))
+
+
+def quotes_of(lines: DataFrame) -> DataFrame:
     """Option quotes from order lines: spread over January 2024, some of them zero."""
     minutes = "cast((l_orderkey * 37 + l_linenumber * 1009) % 43200 as int)"
-    return read(spark, sf_dir, "lineitem").select(
+    return lines.select(
         F.col("l_partkey").cast("string").alias("token"),
         F.expr(f"timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, {minutes}, 0)")
         .alias("ts"),

@@ -1,16 +1,12 @@
-"""Paper trades from a stream: set-based per micro-batch, and with keyed state."""
+"""Paper trades from a stream, set-based per micro-batch."""
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import partial
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
 from strikeline.operators import decisions as dec
@@ -18,9 +14,6 @@ from strikeline.operators import indicators as ind
 from strikeline.operators import trades as tr
 from strikeline.operators.ordered import Slices, slices_of
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 #: A table, or a function that reads it anew: a file table lists its files once only.
 Source = DataFrame | Callable[[], DataFrame]
 
@@ -132,84 +125,3 @@ def trade_stream(
         signals.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()
     )
-
-
-# --- keyed state -----------------------------------------------------------------
-
-EVENT_SCHEMA = (
-    "symbol string, tf string, trade_signal string, action string, at timestamp, "
-    "signal string, fprice double, token string, price double"
-)
-
-
-class TradeKeeper(StatefulProcessor):
-    """Open trades of one (symbol, tf): entry signal → token, four entries at most.
-
-    A row closes the trades its signal closes, then enters against the trades open before
-    it. When the rows have ``prices`` (token → price at that minute), a trade without a
-    usable price stays open.
-    """
-
-    def __init__(self, closes: dict[str, tuple[str, ...]]) -> None:
-        self._closes = closes
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._open = handle.getMapState("open", "signal string", "token string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        symbol, tf = key
-        # a batch has one row per minute for a key; they arrive in no particular order
-        batch = pd.concat(list(rows)).sort_values("minute")
-        events = []
-        for row in batch.itertuples(index=False):
-            held = {k[0]: v[0] for k, v in self._open.iterator()}
-            events += self._exits(row, held)
-            if row.can_enter and row.TA_SIGNAL not in held:
-                self._open.updateValue((row.TA_SIGNAL,), (row.opt_token,))
-                events.append((
-                    row.TA_SIGNAL, "OPEN", row.minute, row.TA_SIGNAL, row.FPRICE,
-                    row.opt_token, row.en_price,
-                ))
-        names = ["trade_signal", "action", "at", "signal", "fprice", "token", "price"]
-        out = pd.DataFrame(events, columns=names)
-        out.insert(0, "tf", tf)
-        out.insert(0, "symbol", symbol)
-        yield out
-
-    def _exits(self, row, held: dict[str, str]) -> list[tuple]:
-        if not row.strike_ok:
-            return []
-        prices = getattr(row, "prices", None)
-        done = []
-        for signal in self._closes.get(row.TA_SIGNAL, ()):
-            if signal not in held:
-                continue
-            price = None if prices is None else dict(prices).get(held[signal])
-            if prices is not None and not (price is not None and price > 0):
-                continue
-            self._open.removeKey((signal,))
-            done.append(
-                (signal, "CLOSE", row.minute, row.TA_SIGNAL, row.FPRICE, held[signal], price)
-            )
-        return done
-
-    def close(self) -> None:
-        pass
-
-
-def trade_events(decisions: DataFrame) -> DataFrame:
-    """OPEN and CLOSE events from a stream of decisions (one row per symbol, timeframe and
-    minute, minutes of a key in order across micro-batches)."""
-    columns = ["symbol", "tf", "TA_SIGNAL", "FPRICE", "strike_ok", "can_enter", "opt_token",
-               "en_price", *[c for c in ("prices",) if c in decisions.columns]]
-    # send the processor itself, so that workers need not have this package installed
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    decisions.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    return (
-        decisions.select(*columns, F.col("minute").cast("timestamp").alias("minute"))
-        .groupBy("symbol", "tf")
-        .transformWithStateInPandas(
-            statefulProcessor=TradeKeeper(tr.CLOSES), outputStructType=EVENT_SCHEMA,
-            outputMode="Append", timeMode="None",
-        )
-    )

@@ -1,6 +1,6 @@
 """Streams over split files give the batch result."""
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +14,8 @@ from strikeline.plans import minute
 from strikeline.session import shared_dir
 from strikeline.sources import driver_tables as dt
 from strikeline.streaming.signals import append_to, signal_stream, unique_signals
-from strikeline.streaming.trades import EVENT_SCHEMA, trade_events, trade_stream
+from strikeline.streaming.keyed import EVENT_SCHEMA, SPAN_MS, pack_quotes, trade_events
+from strikeline.streaming.trades import trade_stream
 from tests.conftest import DATA
 
 
@@ -81,54 +82,114 @@ def test_trades_equal_batch(spark, inputs, loaded):
     assert closed.exceptAll(want).count() == 0 and want.exceptAll(closed).count() == 0
 
 
-def test_keyed_state_equals_pairing(spark, inputs):
+def _keyed(spark, decided, quotes, options, path, files=1):
+    """Events of decisions and quotes that lie below ``path``, so many files a micro-batch."""
+    def stream(name, like):
+        return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files).parquet(
+            f"{path}/{name}/*"
+        )
+
+    events = trade_events(stream("d", decided), stream("q", quotes), options)
+    query = append_to(events, f"{path}/t", f"{path}/c")
+    query.awaitTermination()
+    return query, spark.read.schema(EVENT_SCHEMA).parquet(f"{path}/t").withColumn(
+        "at", F.col("at").cast("timestamp_ntz")
+    )
+
+
+def test_keyed_state_equals_settled_trades(spark, inputs):
+    """Three micro-batches, decisions and quotes a third each: what the batch job settles, up
+    to the minute that both streams have passed."""
     options, quotes = inputs[2], dt.quotes(spark, DATA)
+    slices = slices_of(quotes, ["token"], "ts")
     decided = dec.entry_decisions(
         dec.attach_daily_strikes(minute.signals(dt.snapshots_of(inputs[0])), options), quotes,
-        slices_of(quotes, ["token"], "ts"),
-    )
+        slices,
+    ).cache()
     path = shared_dir(spark)
-    for i, half in enumerate(("<", ">=")):
-        decided.where(f"minute {half} timestamp_ntz'2024-01-15'").coalesce(1).write.parquet(
-            f"{path}/d/{i}"
-        )
-    stream = spark.readStream.schema(decided.schema).option("maxFilesPerTrigger", 1).parquet(
-        f"{path}/d/*"
-    )
-    append_to(trade_events(stream), f"{path}/t", f"{path}/c").awaitTermination()
-    events = spark.read.schema(EVENT_SCHEMA).parquet(f"{path}/t")
-    pairs = tr.pair_trades(decided)
-    want = pairs.select(
-        *tr.KEY, F.lit("OPEN").alias("action"), F.col("entry.minute").alias("at")
+    for i, days in enumerate(("< '2024-01-11'", "between '2024-01-11' and '2024-01-20'",
+                              "> '2024-01-20'")):
+        decided.where(f"date(minute) {days}").orderBy(F.rand(i)).coalesce(1).write.parquet(f"{path}/d/{i}")
+        quotes.where(f"date(ts) {days}").orderBy(F.rand(i)).coalesce(1).write.parquet(f"{path}/q/{i}")
+    query, events = _keyed(spark, decided, quotes, options, path)
+
+    settled = tr.settle_exits(tr.pair_trades(decided), decided, quotes, slices)
+    key = [*tr.KEY]
+    want = settled.select(
+        *key, F.lit("OPEN").alias("action"), F.col("entry.minute").alias("at"),
+        F.col("entry.TA_SIGNAL").alias("signal"), F.col("entry.opt_token").alias("token"),
+        F.col("entry.en_price").alias("price"),
     ).unionByName(
-        pairs.where("exit_ts IS NOT NULL").select(
-            *tr.KEY, F.lit("CLOSE").alias("action"), F.col("exit_ts").alias("at")
+        settled.where("exit_ts IS NOT NULL").select(
+            *key, F.lit("CLOSE").alias("action"), F.col("exit_ts").alias("at"),
+            F.col("exit_signal").alias("signal"), F.col("entry.opt_token").alias("token"),
+            F.col("exit_price").alias("price"),
         )
     )
-    got = events.select(*tr.KEY, "action", F.col("at").cast("timestamp_ntz").alias("at"))
+    passed = min(
+        decided.agg(F.max("minute")).first()[0], quotes.agg(F.max("ts")).first()[0]
+    ) - timedelta(minutes=1)
+    want = want.where(F.col("at") <= F.lit(passed))
+    got = events.select(*want.columns)
+    assert want.where("action = 'CLOSE'").count() >= 5
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    # what is decided has left the state: at most the last day's quotes and the open trades
+    assert query.recentProgress[-1].stateOperators[0].numRowsTotal < 100
 
 
-def test_keyed_state_needs_a_price_to_exit(spark):
-    schema = (
+def _small(spark, steps, quoted, path, options="7"):
+    day = datetime(2024, 1, 1, 5)
+    decided = spark.createDataFrame(
+        [("A", "1_MIN", day + timedelta(minutes=m), s, 1.0, ok, enter, "7", p)
+         for m, s, ok, enter, p in steps],
         "symbol string, tf string, minute timestamp_ntz, TA_SIGNAL string, FPRICE double, "
-        "strike_ok boolean, can_enter boolean, opt_token string, en_price double, "
-        "prices map<string,double>"
+        "strike_ok boolean, can_enter boolean, opt_token string, en_price double",
     )
-    path = shared_dir(spark)
-    steps = [("BUY", True, {"7": 5.0}), ("SELL", False, {"7": 0.0}), ("BUY", True, {"7": 5.0}),
-             ("NEUTRAL", False, {"7": 6.0})]
-    import datetime as d
+    quotes = spark.createDataFrame(
+        [("7", day + timedelta(minutes=m), p) for m, p in quoted],
+        "token string, ts timestamp_ntz, ltp double",
+    )
+    decided.coalesce(1).write.parquet(f"{path}/d/0")
+    quotes.coalesce(1).write.parquet(f"{path}/q/0")
+    table = spark.createDataFrame([(options, "A")], "token string, name string")
+    _, events = _keyed(spark, decided, quotes, table, path)
+    return [(e.action, (e.at - day) // timedelta(minutes=1), e.price)
+            for e in events.orderBy("at").collect()]
 
-    rows = [
-        ("A", "1_MIN", d.datetime(2024, 1, 1, 5, i), s, 1.0, True, enter, "7", 5.0, p)
-        for i, (s, enter, p) in enumerate(steps)
-    ]
-    spark.createDataFrame(rows, schema).write.parquet(f"{path}/d")
-    stream = spark.readStream.schema(schema).parquet(f"{path}/d")
-    append_to(trade_events(stream), f"{path}/t", f"{path}/c").awaitTermination()
-    events = spark.read.schema(EVENT_SCHEMA).parquet(f"{path}/t").orderBy("at").collect()
-    assert [(e.action, e.at.minute, e.price) for e in events] == [("OPEN", 0, 5.0), ("CLOSE", 3, 6.0)]
+
+def test_keyed_state_needs_a_price_to_exit(spark):
+    """No exit at a price of zero, null or NaN; an entry in between is not taken; the price is
+    that of the last quote, from days before if there is none since."""
+    far = (99_999, "NEUTRAL", False, False, None)  # moves the watermark on
+    steps = [(0, "BUY", True, True, 5.0), (1, "SELL", True, False, None),
+             (2, "BUY", True, True, 5.5), (3, "NEUTRAL", True, False, None),
+             (4, "ERROR", True, False, None), (5, "SELL", False, False, None),
+             (9, "NEUTRAL", True, False, None), (10, "BUY", True, True, 7.0),
+             (3 * 1440, "SELL", True, False, None), far]
+    quoted = [(0, 5.0), (1, 0.0), (3, None), (4, float("nan")), (6, 6.0), (9, 7.0), (99_999, 1.0)]
+    got = _small(spark, steps, quoted, shared_dir(spark))
+    assert got == [("OPEN", 0, 5.0), ("CLOSE", 9, 7.0), ("OPEN", 10, 7.0), ("CLOSE", 4320, 7.0)]
+
+
+def test_keyed_state_takes_the_last_quote_of_the_days_between(spark):
+    steps = [(0, "BUY", True, True, 5.0), (3000, "SELL", True, False, None),
+             (99_999, "NEUTRAL", False, False, None)]
+    quoted = [(2000, 9.0), (1999, 8.0), (3001, 1.0), (2000, 9.5), (99_999, 1.0)]
+    got = _small(spark, steps, quoted, shared_dir(spark))
+    assert got == [("OPEN", 0, 5.0), ("CLOSE", 3000, 9.5)]
+
+
+def test_quotes_are_packed_by_symbol_and_span():
+    import pyarrow as pa
+
+    day = SPAN_MS * 1000
+    batch = pa.RecordBatch.from_pydict({
+        "symbol": ["A", "B", "A", "A"], "token": ["1", "2", "3", "1"],
+        "time": [5, 6, day + 1, 7], "price": [1.0, 2.0, 3.0, 4.0],
+    })
+    rows = [r for b in pack_quotes(iter([batch, batch.slice(0, 0)])) for r in b.to_pylist()]
+    got = {(r["symbol"], r["time"]): pa.ipc.open_stream(r["rows"]).read_all().num_rows for r in rows}
+    assert got == {("A", 7): 2, ("A", day + 1): 1, ("B", 6): 1}
 
 
 def test_repeated_signals_are_dropped(spark):
