@@ -497,6 +497,35 @@ _LOOKUP = (
 )
 _SNAP_NAMES = ", ".join(f'"{c}"' for c in fixed.SNAPSHOT_POSITIONS)
 
+# the trade table with exits overlaid; exits and entries of one cycle
+_OVERLAY = """SELECT live."UID", symbol, "TS_TF", "TRADE_TYPE", "EN_T_SIGNAL", "EN_FUT_PRICE",
+          "OPT_STRIKE_PRICE", "OPT_SYMBOL", "OPT_TOKEN", "EN_OPT_PRICE",
+          coalesce(e."TRADE_STATUS", live."TRADE_STATUS") AS "TRADE_STATUS", "TRADE_LOT", "T_DAY",
+          "T_MONTH", "T_YEAR", "T_DATE", "T_CE_PE",
+          coalesce(e."EX_OPT_PRICE", live."EX_OPT_PRICE") AS "EX_OPT_PRICE",
+          coalesce(e."EX_T_SIGNAL", live."EX_T_SIGNAL") AS "EX_T_SIGNAL",
+          coalesce(e."EX_FUT_PRICE", live."EX_FUT_PRICE") AS "EX_FUT_PRICE", "EN_C_NUM",
+          coalesce(e."EX_C_NUM", live."EX_C_NUM")::INTEGER AS "EX_C_NUM",
+          coalesce(e."UPDATED_DATETIME", live."UPDATED_DATETIME") AS "UPDATED_DATETIME",
+          "CREATE_DATETIME"
+        FROM live LEFT JOIN exit_vals e ON live."UID" = e."UID" """
+_CYCLE_EXITS = """SELECT exit_vals.* FROM exit_vals JOIN closing ON exit_vals."UID" = closing."UID"
+        JOIN day_ladder l ON closing.symbol = l.symbol AND closing."CSP" = l."CSP"
+          AND closing.exit_local::DATE = l.session_date
+        WHERE ce_token IS NOT NULL AND pe_token IS NOT NULL"""
+_CYCLE_ENTRIES = """SELECT d.symbol, d."UID", d.tf AS "TS_TF", trade_type AS "TRADE_TYPE",
+          d."TA_SIGNAL" AS "EN_T_SIGNAL", d."FPRICE" AS "EN_FUT_PRICE",
+          strike AS "OPT_STRIKE_PRICE", opt_symbol AS "OPT_SYMBOL", opt_token AS "OPT_TOKEN",
+          en_price AS "EN_OPT_PRICE", 'OPEN' AS "TRADE_STATUS", lot::INTEGER AS "TRADE_LOT",
+          day(d.local_ts)::INTEGER AS "T_DAY", month(d.local_ts)::INTEGER AS "T_MONTH",
+          year(d.local_ts)::INTEGER AS "T_YEAR", d.session_date AS "T_DATE", side AS "T_CE_PE",
+          0::DOUBLE AS "EX_OPT_PRICE", '' AS "EX_T_SIGNAL", 0::DOUBLE AS "EX_FUT_PRICE",
+          d."C_NUM" AS "EN_C_NUM", 0 AS "EX_C_NUM", d.local_ts AS "UPDATED_DATETIME",
+          d.local_ts AS "CREATE_DATETIME"
+        FROM decided d JOIN now ON d."UID" = now."UID"
+        WHERE can_enter AND NOT EXISTS (SELECT 1 FROM held WHERE held.symbol = d.symbol
+          AND held."TS_TF" = d.tf AND held."EN_T_SIGNAL" = d."TA_SIGNAL")"""
+
 ORACLES: dict[str, str] = {
     "votes_oscillators": _sql(f"SELECT event_id, {_aliased(OSC)} FROM snap", "snap"),
     "votes_moving_averages": _sql(f"SELECT event_id, {_aliased(MA)} FROM snap", "snap"),
@@ -668,44 +697,20 @@ ORACLES: dict[str, str] = {
           CASE (l_orderkey + l_linenumber) % 7 WHEN 2 THEN 0 WHEN 3 THEN -l_extendedprice
             ELSE l_extendedprice END::DOUBLE AS p FROM lineitem)""",
     "open_positions": _sql("SELECT * FROM held", "held"),
-    "exit_overlay": _sql(
-        """SELECT live."UID", symbol, "TS_TF", "TRADE_TYPE", "EN_T_SIGNAL", "EN_FUT_PRICE",
-          "OPT_STRIKE_PRICE", "OPT_SYMBOL", "OPT_TOKEN", "EN_OPT_PRICE",
-          coalesce(e."TRADE_STATUS", live."TRADE_STATUS") AS "TRADE_STATUS", "TRADE_LOT", "T_DAY",
-          "T_MONTH", "T_YEAR", "T_DATE", "T_CE_PE",
-          coalesce(e."EX_OPT_PRICE", live."EX_OPT_PRICE") AS "EX_OPT_PRICE",
-          coalesce(e."EX_T_SIGNAL", live."EX_T_SIGNAL") AS "EX_T_SIGNAL",
-          coalesce(e."EX_FUT_PRICE", live."EX_FUT_PRICE") AS "EX_FUT_PRICE", "EN_C_NUM",
-          coalesce(e."EX_C_NUM", live."EX_C_NUM")::INTEGER AS "EX_C_NUM",
-          coalesce(e."UPDATED_DATETIME", live."UPDATED_DATETIME") AS "UPDATED_DATETIME",
-          "CREATE_DATETIME"
-        FROM live LEFT JOIN exit_vals e ON live."UID" = e."UID" """, "live", "exit_vals",
-    ),
+    "exit_overlay": _sql(_OVERLAY, "live", "exit_vals"),
     "exit_issues": _sql(
         """SELECT symbol, "TS_TF" AS tf, exit_ts AS minute, "UID", CASE WHEN exit_price IS NULL
           THEN 'NO_EXIT_QUOTE' ELSE 'EXIT_PRICE_NOT_POSITIVE' END AS issue_type
         FROM closing WHERE NOT coalesce(exit_price > 0, false)""", "closing",
     ),
-    "minute_cycle_exits": _sql(
-        """SELECT exit_vals.* FROM exit_vals JOIN closing ON exit_vals."UID" = closing."UID"
-        JOIN day_ladder l ON closing.symbol = l.symbol AND closing."CSP" = l."CSP"
-          AND closing.exit_local::DATE = l.session_date
-        WHERE ce_token IS NOT NULL AND pe_token IS NOT NULL""", "exit_vals", "closing", "day_ladder",
-    ),
-    "minute_cycle": _sql(
-        """SELECT d.symbol, d."UID", d.tf AS "TS_TF", trade_type AS "TRADE_TYPE",
-          d."TA_SIGNAL" AS "EN_T_SIGNAL", d."FPRICE" AS "EN_FUT_PRICE",
-          strike AS "OPT_STRIKE_PRICE", opt_symbol AS "OPT_SYMBOL", opt_token AS "OPT_TOKEN",
-          en_price AS "EN_OPT_PRICE", 'OPEN' AS "TRADE_STATUS", lot::INTEGER AS "TRADE_LOT",
-          day(d.local_ts)::INTEGER AS "T_DAY", month(d.local_ts)::INTEGER AS "T_MONTH",
-          year(d.local_ts)::INTEGER AS "T_YEAR", d.session_date AS "T_DATE", side AS "T_CE_PE",
-          0::DOUBLE AS "EX_OPT_PRICE", '' AS "EX_T_SIGNAL", 0::DOUBLE AS "EX_FUT_PRICE",
-          d."C_NUM" AS "EN_C_NUM", 0 AS "EX_C_NUM", d.local_ts AS "UPDATED_DATETIME",
-          d.local_ts AS "CREATE_DATETIME"
-        FROM decided d JOIN now ON d."UID" = now."UID"
-        WHERE can_enter AND NOT EXISTS (SELECT 1 FROM held WHERE held.symbol = d.symbol
-          AND held."TS_TF" = d.tf AND held."EN_T_SIGNAL" = d."TA_SIGNAL")""",
-        "decided", "now", "held",
+    "minute_cycle_exits": _sql(_CYCLE_EXITS, "exit_vals", "closing", "day_ladder"),
+    "minute_cycle": _sql(_CYCLE_ENTRIES, "decided", "now", "held"),
+    "trade_versions": _sql(
+        f"""SELECT *, 'first' AS version FROM live UNION ALL BY NAME
+        SELECT *, 'newest' AS version FROM (
+          {_OVERLAY.replace("JOIN exit_vals e", "JOIN (" + _CYCLE_EXITS + ") e")}) UNION ALL BY NAME
+        SELECT *, 'newest' AS version FROM ({_CYCLE_ENTRIES})""",
+        "live", "exit_vals", "closing", "day_ladder", "decided", "now", "held",
     ),
     "ladder_coverage": _sql(
         """SELECT name, ce_or_pe, strike FROM expected e WHERE NOT EXISTS (SELECT 1 FROM chain c

@@ -17,12 +17,13 @@ from strikeline.operators import logs, quality
 from strikeline.operators import trades as tr
 from strikeline.operators.ordered import asof_join, slices_of
 from strikeline.plans import daily, minute, validation
-from strikeline.session import prepare, shared_dir
+from strikeline.session import cut_lineage, prepare, shared_dir
 from strikeline.sources import driver_tables as dt
 from strikeline.sources import readers, writers
+from strikeline.sources.versions import VersionedTable, trade_part
 from strikeline.streaming.keyed import EVENT_SCHEMA, trade_events
 from strikeline.streaming.signals import append_to, signal_stream
-from strikeline.streaming.trades import trade_stream
+from strikeline.streaming.trades import trade_stream, trade_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -505,6 +506,26 @@ def exit_overlay(spark, d):
     return tr.overlay_exits(dt.live_trades(spark, d), tr.exit_values(_closing(spark, d)))
 
 
+@query
+def trade_versions(spark, d):
+    """The trade table before and after a cycle, read back: one commit overlays the exits on the
+    stored trades, the next one adds the entries; each rewrites the parts it touches."""
+    stored = dt.live_trades(spark, d)
+    trades = VersionedTable(spark, shared_dir(spark), stored.schema, "UID", trade_part())
+    first = trades.commit(stored)
+    cycle = minute.cycle(
+        _open(spark, d), tr.current_signals(_signals(spark, d)), _options(spark, d),
+        dt.quotes(spark, d), _slices(spark, d),
+    )
+    exits = cut_lineage(cycle.exits.join(stored.select("UID", "T_DATE"), "UID"))
+    trades.commit(exits, merge=lambda old, new, key: tr.overlay_exits(old, new))
+    trades.commit(cut_lineage(cycle.entries))
+    trades.prune(keep=3)
+    return trades.read(first.number).withColumn("version", F.lit("first")).unionByName(
+        trades.read().withColumn("version", F.lit("newest"))
+    )
+
+
 @query
 def exit_issues(spark, d):
     return tr.exit_issues(_closing(spark, d))
@@ -712,7 +733,7 @@ def stream_trades(spark, d):
         signal_stream(dt.snapshots_of(_events_stream(spark, d))),
         lambda: _options(spark, d), lambda: dt.quotes(spark, d), path, f"{path}/progress",
     ).awaitTermination()
-    return spark.read.parquet(f"{path}/closed").drop("batch_id")
+    return trade_table(spark, path).read().where("TRADE_STATUS = 'CLOSE'")
 
 
 @query

@@ -38,6 +38,7 @@ TRADES = _table(
     EX_T_SIGNAL=S, EX_FUT_PRICE=D, EN_C_NUM=I, EX_C_NUM=I,
     UPDATED_DATETIME=TS, CREATE_DATETIME=TS,
 )
+TRADES_BY_SYMBOL = T.StructType([T.StructField("symbol", S), *TRADES.fields])
 LOG = _table(
     LOG_MODULE_NAME=S, LOG_TYPE=S, LOG_MESSAGE=S, ENV_TYPE=S,
     LOG_CREATE_DATE=DATE, LOG_CREATE_DATETIME=TS,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -13,6 +13,9 @@ from strikeline.operators import decisions as dec
 from strikeline.operators import indicators as ind
 from strikeline.operators import trades as tr
 from strikeline.operators.ordered import Slices, slices_of
+from strikeline.schemas import TRADES_BY_SYMBOL
+from strikeline.sources import files
+from strikeline.sources.versions import VersionedTable, trade_part
 
 #: A table, or a function that reads it anew: a file table lists its files once only.
 Source = DataFrame | Callable[[], DataFrame]
@@ -25,6 +28,15 @@ def _now(source: Source) -> DataFrame:
 # --- micro-batches over stored tables ------------------------------------------
 
 
+#: Tables that hand a batch's state on to the next.
+STATE = ("signals", "progress", "last_quotes", "cycles", "decisions", "settled", "open")
+
+
+def trade_table(spark: SparkSession, root: str) -> VersionedTable:
+    """The trades of a stream with the root ``root``, open and closed."""
+    return VersionedTable(spark, f"{root}/trades", TRADES_BY_SYMBOL, "UID", trade_part())
+
+
 def _batch_path(root: str, table: str, batch_id: int) -> str:
     return f"{root}/{table}/batch_id={batch_id}"
 
@@ -51,6 +63,8 @@ def _process(
             return spark.createDataFrame([], schema)
         return spark.read.schema(schema).parquet(_batch_path(root, table, batch_id - 1))
 
+    for name in STATE:  # the batch before this one may be needed again, older ones are not
+        files.remove(spark, _batch_path(root, name, batch_id - 2))
     fresh = store(batch, "signals")
     offered = quotes.select("token", "ts", "ltp")
     numbered = ind.number_cycles(fresh)
@@ -100,9 +114,10 @@ def _process(
 
     pairs = tr.pair_trades(decided, carried=before("open", _open_schema(decided)))
     settled = store(tr.settle_exits(pairs, decided, recent, slices), "settled")
-    still_open = F.col("exit_ts").isNull()
-    store(settled.where(still_open).select(*tr.KEY, "entry"), "open")
-    store(tr.trade_rows(settled.where(~still_open)), "closed")
+    store(settled.where(F.col("exit_ts").isNull()).select(*tr.KEY, "entry"), "open")
+    table = trade_table(spark, root)
+    table.commit(tr.trade_rows(settled), batch=("trades", batch_id))
+    table.prune()
 
 
 def trade_stream(
@@ -116,9 +131,11 @@ def trade_stream(
     of each signal's day, and a trade closes at its first closing signal with a usable price.
     ``quotes`` must be complete up to the newest signal of a batch. A micro-batch reads the
     quotes since the one before, so its work does not grow with the history; keep the table
-    partitioned or sorted by time for the filter to skip files. It writes its signals, the
-    trades it closed and the ones open after it to folders named after the batch, so a
-    repeated batch replaces its own output.
+    partitioned or sorted by time for the filter to skip files.
+
+    What a batch hands on lies in folders named after it, of which the last two batches' are
+    kept. The trades it opened and closed go to ``trade_table(root)`` in one commit, which a
+    repeated batch does not make again. The table rewrites only the entry days it touches.
     """
     run = partial(_process, root=root, options=options, quotes=quotes)
     return (
