@@ -511,7 +511,7 @@ def trade_versions(spark, d):
     """The trade table before and after a cycle, read back: one commit overlays the exits on the
     stored trades, the next one adds the entries; each rewrites the parts it touches."""
     stored = dt.live_trades(spark, d)
-    trades = VersionedTable(spark, shared_dir(spark), stored.schema, "UID", trade_part())
+    trades = VersionedTable(spark, shared_dir(spark), stored.schema, "UID", trade_part("month"))
     first = trades.commit(stored)
     cycle = minute.cycle(
         _open(spark, d), tr.current_signals(_signals(spark, d)), _options(spark, d),

@@ -134,8 +134,10 @@ class VersionedTable:
                 files.remove(self._spark, path)
 
 
-def trade_part(buckets: int = 8) -> Column:
-    """Part of a trade: its entry day and a bucket of its UID. Exits touch the days of the
-    trades they close, mostly the last ones."""
+def trade_part(span: str = "day", buckets: int = 1) -> Column:
+    """Part of a trade: its entry day or ``month``, and one of ``buckets`` of its UID, which is
+    how many tasks write a span. Exits touch the spans of the trades they close, mostly the
+    last ones; a long history of few trades is better kept by months."""
     bucket = F.pmod(F.xxhash64("UID"), F.lit(buckets)).cast("string")
-    return F.concat_ws("-", F.date_format("T_DATE", "yyyyMMdd"), bucket)
+    pattern = {"day": "yyyyMMdd", "month": "yyyyMM"}[span]
+    return F.concat_ws("-", F.date_format("T_DATE", pattern), bucket)
