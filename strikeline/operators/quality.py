@@ -118,6 +118,39 @@ def non_empty_checks(chain: DataFrame, names: DataFrame) -> DataFrame:
     return rows.withColumn("check", F.concat_ws("_", F.lower("ce_or_pe"), "check")).drop("ce_or_pe")
 
 
+def key_checks(config: DataFrame, keys: Sequence[str], severity: str = CRITICAL) -> DataFrame:
+    """One row per config record and key: is it there and not empty."""
+    rows = []
+    for key in keys:
+        there = F.coalesce(F.col(key).cast("string") != "", F.lit(False))
+        rows.append(F.struct(*_check(
+            "name", f"has_{key}", there, severity, F.when(there, "").otherwise(f"key {key} not found"),
+        )))
+    return config.select(F.explode(F.array(*rows)).alias("c")).select("c.*")
+
+
+def required_inputs(config: DataFrame, stored: DataFrame) -> DataFrame:
+    """What the trading job needs before it starts: for each config record its day and expiry,
+    and options of both sides of that expiry in the stored chain. ``stored`` is a chain stored
+    by name, expiry and side: counting by these reads the listing and the files' footers, no
+    column."""
+    present = stored.groupBy("name", "expiry", "ce_or_pe").count().where("count > 0").select(
+        "name", F.col("expiry").cast("date").alias("expiry"), "ce_or_pe",
+        F.lit(True).alias("there"),
+    )
+    wanted = config.select(
+        "name", clock.parse_expiry(F.col("OPT_EXPIRY_DATE_STR")).alias("expiry"),
+        F.explode(F.array(F.lit(fixed.CALL), F.lit(fixed.PUT))).alias("ce_or_pe"),
+    )
+    there = F.coalesce("there", F.lit(False))
+    sides = wanted.join(present, ["name", "expiry", "ce_or_pe"], "left").select(
+        "ce_or_pe",
+        *_check("name", "stored", there, CRITICAL, F.when(there, "").otherwise("no stored options")),
+    )
+    sides = sides.withColumn("check", F.concat_ws("_", F.lower("ce_or_pe"), "check")).drop("ce_or_pe")
+    return key_checks(config, ("T_DATE", "OPT_EXPIRY_DATE_STR")).unionByName(sides)
+
+
 def missing_partitions(
     expected: DataFrame, chain: DataFrame, keys: Sequence[str] = ("expiry", "ce_or_pe")
 ) -> DataFrame:

@@ -526,6 +526,11 @@ _CYCLE_ENTRIES = """SELECT d.symbol, d."UID", d.tf AS "TS_TF", trade_type AS "TR
         WHERE can_enter AND NOT EXISTS (SELECT 1 FROM held WHERE held.symbol = d.symbol
           AND held."TS_TF" = d.tf AND held."EN_T_SIGNAL" = d."TA_SIGNAL")"""
 
+_SIGNAL_LOG = """SELECT symbol, "TA_SIGNAL", "MA", "OSCI", "FPRICE", "CSP", "PSP", "BUY", "NEUTRAL",
+          "SELL", tf AS "TF", "SID", "UID", local_ts AS "UPDATED_DATE_TIME" FROM sig"""
+_PASSED = """SELECT scope FROM (SELECT * FROM config_check UNION ALL SELECT * FROM ladder_check)
+          GROUP BY scope HAVING bool_and(passed OR "check" = 'market_open')"""
+
 ORACLES: dict[str, str] = {
     "votes_oscillators": _sql(f"SELECT event_id, {_aliased(OSC)} FROM snap", "snap"),
     "votes_moving_averages": _sql(f"SELECT event_id, {_aliased(MA)} FROM snap", "snap"),
@@ -574,10 +579,8 @@ ORACLES: dict[str, str] = {
             date_trunc('minute', ts) ORDER BY ts DESC, event_id DESC) AS rn FROM snap)
         WHERE rn = 1""", "snap",
     ),
-    "signal_log": _sql(
-        """SELECT symbol, "TA_SIGNAL", "MA", "OSCI", "FPRICE", "CSP", "PSP", "BUY", "NEUTRAL",
-          "SELL", tf AS "TF", "SID", "UID", local_ts AS "UPDATED_DATE_TIME" FROM sig""", "sig",
-    ),
+    "signal_log": _sql(_SIGNAL_LOG, "sig"),
+    "signal_log_replayed": _sql(_SIGNAL_LOG, "sig"),
     "cycle_number": _sql('SELECT symbol, tf, minute, session_date, "C_NUM" FROM sig', "sig"),
     "timeframe_fan_out": f"""
         SELECT symbol, minute, tf, ticks, sha256(symbol || '|' || {_stamp('minute')}) AS "SID",
@@ -730,7 +733,9 @@ ORACLES: dict[str, str] = {
         """SELECT name AS scope, lower(s) || '_generated' AS "check", n > 0 AS passed,
           'CRITICAL_ERROR' AS severity, CASE WHEN n > 0 THEN '' ELSE 'no rows' END AS message
         FROM (SELECT config.name, s, (SELECT count(*) FROM banded b WHERE b.name = config.name
-                AND b.ce_or_pe = s) AS n FROM config, (VALUES ('CE'),('PE')) v(s))""",
+                AND b.ce_or_pe = s) AS n FROM config, (VALUES ('CE'),('PE')) v(s))
+        UNION ALL SELECT name, 'has_' || k, true, 'CRITICAL_ERROR', ''
+        FROM config, (VALUES ('FUT_TOKEN'), ('FUT_EXPIRY_DATE_STR')) v(k)""",
         "config", "banded",
     ),
     "partition_presence": _sql(
@@ -768,11 +773,28 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT upper(event_type), ts, '1_HOUR', NULL, value::DOUBLE * 2 FROM events""",
     "json_copy": _sql("SELECT * EXCLUDE (name) FROM config", "config"),
     "promoted_chain": _sql(
-        """SELECT name, token, symbol, strike, expiry, ce_or_pe FROM banded
-        WHERE name IN (SELECT scope FROM config_check) AND name NOT IN (
-          SELECT scope FROM config_check WHERE NOT passed UNION ALL
-          SELECT scope FROM ladder_check WHERE NOT passed)""",
-        "banded", "config_check", "ladder_check",
+        f"""SELECT name, token, symbol, strike, expiry, ce_or_pe FROM banded
+        WHERE name IN ({_PASSED})""", "banded", "config_check", "ladder_check",
+    ),
+    "promoted_config": _sql(
+        f"""SELECT name, "FUT_TOKEN", "OPT_EXPIRY_DATE_STR", "T_DATE",
+          (SELECT count(*) FROM banded b WHERE b.name = config.name) AS options
+        FROM config WHERE name IN ({_PASSED})""", "config", "banded", "config_check", "ladder_check",
+    ),
+    "required_inputs": _sql(
+        """SELECT name AS scope, k AS "check", ok AS passed, 'CRITICAL_ERROR' AS severity,
+          CASE WHEN ok THEN '' WHEN k LIKE 'has%' THEN 'key ' || substr(k, 5) || ' not found'
+            ELSE 'no stored options' END AS message
+        FROM (SELECT name, 'has_T_DATE' AS k, true AS ok FROM config
+          UNION ALL SELECT name, 'has_OPT_EXPIRY_DATE_STR', name <> 'error' FROM config
+          UNION ALL SELECT config.name, lower(s) || '_stored', config.name <> 'error'
+            AND NOT (config.name = 'view' AND s = 'PE') AND EXISTS (SELECT 1 FROM banded b
+              WHERE b.name = config.name AND b.ce_or_pe = s AND b.expiry = "OPT_EXPIRY_DATE")
+          FROM config, (VALUES ('CE'),('PE')) v(s))""", "config", "banded",
+    ),
+    "config_by_expiry": _sql(
+        """SELECT "FUT_EXPIRY_DATE_STR" AS filed_under, name, "FUT_EXPIRY_DATE",
+          "UPDATED_DATE_TIME" FROM config""", "config",
     ),
     "stream_signals": _emitted_only(_sql(
         """SELECT symbol, tf, minute, local_ts, session_date, "OSCI", "MA", "BUY", "SELL",

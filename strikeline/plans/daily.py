@@ -36,7 +36,9 @@ def daily_data(
         chain=chain,
         banded=banded,
         issues=ops.unreadable_expiries(futures).unionByName(ops.unreadable_expiries(options)),
-        checks=quality.non_empty_checks(banded, config),
+        checks=quality.non_empty_checks(banded, config).unionByName(
+            quality.key_checks(config, ("FUT_TOKEN", "FUT_EXPIRY_DATE_STR"))
+        ),
     )
 
 

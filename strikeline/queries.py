@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from strikeline import fixed
+from strikeline import fixed, schemas
 from strikeline.functions import clock, ids, strikes, votes
 from strikeline.operators import bars as bar_ops
 from strikeline.operators import decisions as dec
@@ -22,7 +23,14 @@ from strikeline.sources import driver_tables as dt
 from strikeline.sources import readers, writers
 from strikeline.sources.versions import VersionedTable, trade_part
 from strikeline.streaming.keyed import EVENT_SCHEMA, trade_events
-from strikeline.streaming.signals import append_to, signal_stream
+from strikeline.streaming.signals import (
+    append_to,
+    log_batch,
+    log_signals,
+    logged_signals,
+    signal_stream,
+    unique_signals,
+)
 from strikeline.streaming.trades import trade_stream, trade_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -693,15 +701,65 @@ def json_copy(spark, d):
     return readers.trading_config(spark, f"{path}/current")
 
 
+def _staged(spark, d, root):
+    """Banded chain and config, staged; the checks are those of the validation job."""
+    covered, config = _prices(spark, d), _config(spark, d)
+    generation = validation.stage(ins.in_band(_chain(spark, d), covered), config, root)
+    return generation, lambda config, chain: validation.checks(
+        config, chain, covered, AS_OF, skip_market=True
+    )
+
+
 @query
 def promoted_chain(spark, d):
-    """Banded chains of the underlyings that pass every check, stored and read back."""
+    """Banded chains of the underlyings that pass every check, published and read back. A second
+    generation is staged but not published, so nobody reads it."""
+    root = shared_dir(spark)
+    generation, check = _staged(spark, d, root)
+    validation.publish(spark, root, generation, check)
+    validation.stage(_chain(spark, d).where("false"), _config(spark, d), root)
+    return validation.published(spark, root).chain
+
+
+@query
+def promoted_config(spark, d):
+    """The config that was published with the chain, and how many options belong to it."""
+    root = shared_dir(spark)
+    generation, check = _staged(spark, d, root)
+    found = validation.publish(spark, root, generation, check)
+    listed = found.chain.groupBy("name").agg(F.count("*").alias("options"))
+    return found.config.join(listed, "name", "left").select(
+        "name", "FUT_TOKEN", "OPT_EXPIRY_DATE_STR", "T_DATE", "options"
+    )
+
+
+@query
+def required_inputs(spark, d):
+    """Keys and stored partitions the trading job needs. One underlying's puts are not stored,
+    and one config record has no expiry."""
     path = shared_dir(spark)
-    covered, config = _prices(spark, d), _config(spark, d)
-    chain = ins.in_band(_chain(spark, d), covered)
-    checks = validation.checks(config, chain, covered, AS_OF, skip_market=True)
-    validation.promote(chain, config, checks, path)
-    return readers.option_chain(spark, f"{path}/chain")
+    put_of_last = (F.col("name") == dt.SYMBOLS[-1]) & (F.col("ce_or_pe") == fixed.PUT)
+    writers.write_chain(
+        ins.in_band(_chain(spark, d), _prices(spark, d)).where(~put_of_last), path,
+        by=("name", "expiry", "ce_or_pe"),
+    )
+    config = _config(spark, d).withColumn(
+        "OPT_EXPIRY_DATE_STR",
+        F.when(F.col("name") != dt.SYMBOLS[1], F.col("OPT_EXPIRY_DATE_STR")),
+    )
+    return quality.required_inputs(config, readers.option_chain(spark, path))
+
+
+@query
+def config_by_expiry(spark, d):
+    """The copies of the config filed by future expiry, read back with the folder's name."""
+    path = shared_dir(spark)
+    writers.write_config(_config(spark, d), path)
+    filed = StructType([*schemas.NAMED_CONFIG.fields, StructField("filed_under", StringType())])
+    stored = spark.read.schema(filed).options(timestampNTZFormat="yyyy-MM-dd HH:mm:ss").json(
+        f"{path}/by_expiry"
+    )
+    return stored.select("filed_under", "name", "FUT_EXPIRY_DATE", "UPDATED_DATE_TIME")
 
 
 # --- streams (one run over what is there) -----------------------------------------------------
@@ -725,6 +783,25 @@ def stream_signals(spark, d):
     return spark.read.schema(stream.schema).parquet(f"{path}/table")
 
 
+@query
+def signal_log_replayed(spark, d):
+    """The signal log of a stream that sends its newest half twice and whose batches are written
+    again, as after a crash: every signal once."""
+    path = shared_dir(spark)
+    signals = cut_lineage(_signals(spark, d).drop("C_NUM"))
+    half = signals.where("minute > timestamp_ntz'2024-01-15'")
+    for part in (signals.where("minute <= timestamp_ntz'2024-01-15'"), half, half):
+        part.coalesce(1).write.mode("append").parquet(f"{path}/arriving")
+    stream = spark.readStream.schema(signals.schema).option("maxFilesPerTrigger", 1).parquet(
+        f"{path}/arriving"
+    )
+    log = f"{path}/log"
+    log_signals(unique_signals(stream), log, f"{path}/progress").awaitTermination()
+    log_batch(ind.signal_log(signals), 0, log)
+    log_batch(ind.signal_log(half), 1, log)
+    return logged_signals(spark, log)
+
+
 @query
 def stream_trades(spark, d):
     """Trades closed by the streamed signals."""

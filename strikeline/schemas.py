@@ -23,6 +23,7 @@ TRADING_CONFIG = _table(
     FUT_EXPIRY_DATE_STR=S, OPT_EXPIRY_DATE_STR=S, FUT_TOKEN=S, FUT_SYMBOL=S,
     MARKET_IS_OPEN_TODAY=S, UPDATED_DATE_TIME=TS, ke=S,
 )
+NAMED_CONFIG = T.StructType([T.StructField("name", S), *TRADING_CONFIG.fields])
 OPTION_CHAIN = _table(name=S, token=S, symbol=S, strike=L, expiry=DATE, ce_or_pe=S)
 SCANNER_ARRAYS = _table(symbol=S, tf=S, ts=TS, d=T.ArrayType(D))
 SNAPSHOTS = _table(symbol=S, tf=S, ts=TS, **{c: D for c in fixed.SNAPSHOT_POSITIONS})
@@ -31,6 +32,9 @@ SIGNALS = _table(
     TA_SIGNAL=S, MA=S, OSCI=S, FPRICE=D, CSP=L, PSP=L, BUY=I, NEUTRAL=I, SELL=I,
     TF=S, SID=S, UID=S, UPDATED_DATE_TIME=TS,
 )
+SIGNAL_LOG = T.StructType([
+    T.StructField("symbol", S), *SIGNALS.fields, T.StructField("batch_id", L)
+])
 TRADES = _table(
     UID=S, TS_TF=S, TRADE_TYPE=S, EN_T_SIGNAL=S, EN_FUT_PRICE=D, OPT_STRIKE_PRICE=L,
     OPT_SYMBOL=S, OPT_TOKEN=S, EN_OPT_PRICE=D, TRADE_STATUS=S, TRADE_LOT=I,

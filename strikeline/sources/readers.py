@@ -29,8 +29,10 @@ def calendar(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(day.alias("day"), "market_open_status")
 
 
-def trading_config(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.TRADING_CONFIG).options(**_STAMPS).json(path)
+def trading_config(spark: SparkSession, path: str, names: bool = False) -> DataFrame:
+    """Config records; ``names``: with the underlying each is for."""
+    schema = schemas.NAMED_CONFIG if names else schemas.TRADING_CONFIG
+    return spark.read.schema(schema).options(**_STAMPS).json(path)
 
 
 def trading_config_from_text(df: DataFrame, column: str) -> DataFrame:

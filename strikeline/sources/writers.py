@@ -34,16 +34,16 @@ def write_jdbc(df: DataFrame, table: str, mode: str = "append", **options: str)
     df.write.format("jdbc").option("dbtable", table).options(**options).mode(mode).save()
 
 
-def write_chain(chain: DataFrame, path: str) -> None:
+def write_chain(
+    chain: DataFrame, path: str, by: Sequence[str] = ("expiry", "ce_or_pe")
+) -> None:
     """Chain snapshot by expiry and side, strikes in order inside a file.
 
     Range partitioning keeps a partition's rows in few files and still splits an expiry
     that holds most of the rows.
     """
-    order = ["expiry", "ce_or_pe", "strike", "token"]
-    write_table(
-        chain.repartitionByRange(*order).sortWithinPartitions(*order), path, order[:2]
-    )
+    order = [*by, "strike", "token"]
+    write_table(chain.repartitionByRange(*order).sortWithinPartitions(*order), path, by)
 
 
 def write_config(config: DataFrame, root: str) -> None:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strikeline import schemas
 from strikeline.operators import indicators as ind
+from strikeline.sources import files
 
 
 def latest_per_minute(
@@ -50,3 +54,38 @@ def append_to(stream: DataFrame, path: str, checkpoint: str, trigger: dict | Non
         .option("path", path).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()
     )
+
+
+# --- the stored log of signals ---------------------------------------------------
+
+
+def log_batch(rows: DataFrame, batch_id: int, root: str) -> None:
+    """Write a batch of the log, once: its folder is named after it, and it counts only when
+    the commit log names it, which is the last step. A batch that was committed changes nothing;
+    one that died is written anew over what it left."""
+    spark, done = rows.sparkSession, f"{root}/commits/{batch_id:012d}"
+    if files.exists(spark, done):
+        return
+    rows.write.mode("overwrite").parquet(f"{root}/rows/batch_id={batch_id}")
+    files.create_whole(spark, done, "")
+
+
+def log_signals(signals: DataFrame, root: str, checkpoint: str, trigger: dict | None = None):
+    """Keep the signal log below ``root`` up to date with a stream of (unique) signals."""
+    def write(batch: DataFrame, batch_id: int, root: str) -> None:
+        log_batch(ind.signal_log(batch), batch_id, root)
+
+    return (
+        signals.writeStream.foreachBatch(partial(write, root=root))
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start()
+    )
+
+
+def logged_signals(spark: SparkSession, root: str) -> DataFrame:
+    """The log as far as it is committed. Batches are committed in order, so the newest commit
+    bounds the folders that are read."""
+    committed = files.names(spark, f"{root}/commits")
+    last = int(committed[-1]) if committed else -1
+    stored = spark.read.schema(schemas.SIGNAL_LOG).parquet(f"{root}/rows")
+    return stored.where(F.col("batch_id") <= last).drop("batch_id")

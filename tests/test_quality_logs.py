@@ -1,8 +1,10 @@
+import pytest
 from pyspark.sql import functions as F
 
 from strikeline import schemas
 from strikeline.operators import logs, quality
 from strikeline.plans import validation
+from strikeline.sources import files, writers
 
 AS_OF = "2024-01-10"
 
@@ -58,9 +60,8 @@ def test_ladder_and_promotion(spark, tmp_path):
     for chain, kept in ((full, 30), (holed, 0)):
         checks = validation.checks(_config(spark), chain, prices, AS_OF)
         root = str(tmp_path / str(kept))
-        validation.promote(chain, _config(spark), checks, root)
-        stored = spark.read.schema(schemas.OPTION_CHAIN).parquet(f"{root}/chain")
-        assert stored.count() == kept
+        done = validation.promote(chain, _config(spark), checks, root)
+        assert done.chain.count() == kept and done.config.count() == (kept > 0)
 
 
 def test_absent_inputs_fail(spark, tmp_path):
@@ -79,8 +80,63 @@ def test_absent_inputs_fail(spark, tmp_path):
     expected = spark.createDataFrame([("IDX",), ("OTHER",)], "name string")
     both = validation.checks(_config(spark), full, prices, AS_OF, names=expected)
     assert {r.scope for r in quality.verdict(both).where("not passed").collect()} == {"OTHER"}
-    validation.promote(full, _config(spark), no_config, str(tmp_path))
-    assert spark.read.schema(schemas.OPTION_CHAIN).parquet(f"{tmp_path}/chain").count() == 0
+    assert validation.promote(full, _config(spark), no_config, str(tmp_path)).chain.count() == 0
+
+
+def _generation(spark, root, expiry, strikes):
+    chain = _chain(spark, strikes).withColumn("expiry", F.lit(expiry).cast("date"))
+    return validation.stage(chain, _config(spark, OPT_EXPIRY_DATE_STR=expiry), root)
+
+
+def _in_force(spark, root):
+    found = validation.published(spark, root)
+    return found.config.first().OPT_EXPIRY_DATE_STR, {str(r.expiry) for r in found.chain.collect()}
+
+
+@pytest.mark.parametrize("dies_at", ["json", "chain", "pointer"])
+def test_publishing_that_dies_leaves_the_last_generation(spark, tmp_path, monkeypatch, dies_at):
+    """Chain and config in force are always of one generation."""
+    root, full = str(tmp_path), range(43800, 45300, 100)
+    passes = lambda config, chain: config.select(F.col("name").alias("scope"), F.lit(True).alias("passed"))
+    with pytest.raises(FileNotFoundError):
+        validation.published(spark, root)
+    validation.publish(spark, root, _generation(spark, root, "2024-01-11", full), passes)
+    assert _in_force(spark, root) == ("2024-01-11", {"2024-01-11"})
+
+    def dies(*_, **__):
+        raise RuntimeError("killed")
+
+    second = _generation(spark, root, "2024-01-18", full)
+    where = {"json": (writers, "write_json"), "chain": (writers, "write_chain"),
+             "pointer": (files, "create_whole")}[dies_at]
+    with monkeypatch.context() as m:
+        m.setattr(*where, dies)
+        with pytest.raises(RuntimeError):
+            validation.publish(spark, root, second, passes)
+    assert _in_force(spark, root) == ("2024-01-11", {"2024-01-11"})
+
+    third = _generation(spark, root, "2024-01-25", full)
+    validation.publish(spark, root, third, passes)
+    assert _in_force(spark, root) == ("2024-01-25", {"2024-01-25"})
+    validation.prune(spark, root, keep=1, grace_seconds=0)
+    assert files.names(spark, f"{root}/generations") == [third]
+    assert _in_force(spark, root) == ("2024-01-25", {"2024-01-25"})
+
+
+def test_required_inputs_read_no_column(spark, tmp_path):
+    """An empty file of a side is as good as none, and only footers are read."""
+    path = str(tmp_path / "chain")
+    chain = _chain(spark, [44000])
+    writers.write_chain(chain.where("ce_or_pe = 'CE'"), path, by=("name", "expiry", "ce_or_pe"))
+    empty = chain.where("false").select("token", "symbol", "strike")
+    expiry = chain.first().expiry
+    empty.write.parquet(f"{path}/name=IDX/expiry={expiry}/ce_or_pe=PE")
+    stored = spark.read.schema(schemas.OPTION_CHAIN).parquet(path)
+    config = _config(spark, T_DATE=None, OPT_EXPIRY_DATE_STR=expiry.strftime("%d%b%Y").upper())
+    checks = quality.required_inputs(config, stored)
+    assert _failed(checks) == {"has_T_DATE", "pe_stored"}
+    plan = stored.groupBy("name", "expiry", "ce_or_pe").count()._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<>" in plan
 
 
 def test_missing_partitions(spark):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strikeline import fixed
 from strikeline.operators import decisions as dec
+from strikeline.operators import indicators as ind
 from strikeline.operators import instruments as ins
 from strikeline.operators import trades as tr
 from strikeline.operators.ordered import slices_of
@@ -14,7 +15,13 @@ from strikeline.plans import minute
 from strikeline.session import shared_dir
 from strikeline.sources import driver_tables as dt
 from strikeline.sources import files
-from strikeline.streaming.signals import append_to, signal_stream, unique_signals
+from strikeline.streaming.signals import (
+    append_to,
+    log_batch,
+    logged_signals,
+    signal_stream,
+    unique_signals,
+)
 from strikeline.streaming.keyed import EVENT_SCHEMA, SPAN_MS, pack_quotes, trade_events
 from strikeline.streaming.trades import STATE, trade_stream, trade_table
 from tests.conftest import DATA
@@ -206,3 +213,24 @@ def test_repeated_signals_are_dropped(spark):
     stream = unique_signals(spark.readStream.schema(schema).parquet(f"{path}/d"))
     append_to(stream, f"{path}/t", f"{path}/c").awaitTermination()
     assert spark.read.schema(schema).parquet(f"{path}/t").count() == 3
+
+
+def test_a_log_batch_counts_once_and_only_when_committed(spark, monkeypatch):
+    root = shared_dir(spark)
+    rows = ind.signal_log(minute.signals(dt.snapshots(spark, DATA))).limit(30).cache()
+    first, second = rows.where("BUY % 2 = 0"), rows.where("BUY % 2 = 1")
+    log_batch(first, 0, root)
+    log_batch(first, 0, root)
+
+    def dies(*_):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(files, "create_whole", dies)
+        with pytest.raises(RuntimeError):
+            log_batch(second, 1, root)
+    assert logged_signals(spark, root).count() == first.count()
+    log_batch(second, 1, root)
+    got = logged_signals(spark, root)
+    assert got.exceptAll(rows).count() == 0 and rows.exceptAll(got).count() == 0
+    assert len(got.columns) == 14
