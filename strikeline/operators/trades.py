@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from strikeline import fixed
 from strikeline.functions.clock import local_time
 from strikeline.operators.decisions import price_at, usable
-from strikeline.operators.ordered import Slices, asof_join, slices_of
+from strikeline.operators.ordered import Slices, asof_join, previous_values, slices_of
 from strikeline.session import cut_lineage
 
 KEY = ("symbol", "tf", "trade_signal")
+EXIT = ("exit_ts", "exit_signal", "exit_fprice", "exit_cycle")
 
 # signal -> entry signals it closes (fixed values)
 CLOSES = {
@@ -183,46 +184,61 @@ def settle_exits(
     """Exits with usable prices only: a close without one leaves the trade open until the
     next closing signal that has one, and entries in between are not taken.
 
-    Each round moves all still unpriced exits forward at once: to the token's next usable
-    quote, then to the key's next closing row, reading only the quotes of their tokens.
-    ``decisions`` is read in every round and should be stored. Rounds needed = the longest run of price
-    drop-outs of one trade, independent of the number of trades.
+    ``decisions`` is read several times and should be stored. The number of passes is fixed: how
+    often a token's price drops out and comes back does not matter, see ``usable_closings``.
     """
     columns = [c for c in pairs.columns if not c.startswith("exit_")]
-    exit_columns = ["exit_ts", "exit_signal", "exit_fprice", "exit_cycle"]
     closings = closing_rows(decisions, exit_requires_strike)
     by_key = slices_of(closings, KEY, "exit_ts")
-    todo = cut_lineage(
+    priced = cut_lineage(
         with_exit_price(pairs, quotes, slices).withColumn("nominal_ts", F.col("exit_ts"))
     )
-    finished, asked = [], None
-    while True:
-        settled = F.col("exit_ts").isNull() | usable(F.col("exit_price"))
-        finished.append(todo.where(settled))
-        failed = todo.where(~settled).select(*columns, "opt_token", "nominal_ts", "exit_ts")
-        if failed.isEmpty():
-            break
-        if asked is None:  # the quotes of all tokens that can still matter
-            tokens = failed.select(F.col("opt_token").alias("token")).distinct()
-            asked = cut_lineage(quotes.join(tokens, "token", "left_semi"))
-            revived = asked.where(usable(F.col("ltp"))).select(
-                F.col("token").alias("opt_token"), "ts", F.col("ts").alias("revived_at")
-            )
-        later = asof_join(
-            failed.withColumnRenamed("exit_ts", "ts"), revived,
-            ["opt_token"], "ts", ["revived_at"], slices, forward=True,
-        ).drop("ts").withColumnRenamed("revived_at", "ts")
+    settled = F.col("exit_ts").isNull() | usable(F.col("exit_price"))
+    failed = priced.where(~settled).select(
+        *columns, "opt_token", "nominal_ts", F.col("exit_ts").alias("ts")
+    )
+    exits = priced.where(settled)
+    if not failed.isEmpty():
+        asked = cut_lineage(failed.groupBy(*KEY, "opt_token").agg(F.min("ts").alias("since")))
+        retries = cut_lineage(usable_closings(asked, closings, quotes, by_key, slices))
         moved = asof_join(
-            later, closings.withColumn("ts", F.col("exit_ts")),
-            KEY, "ts", exit_columns, by_key, forward=True,
-        ).drop("ts")
-        todo = cut_lineage(
-            price_at(moved, asked, "opt_token", "exit_ts", "exit_price", slices)
+            failed, retries, [*KEY, "opt_token"], "ts", [*EXIT, "exit_price"], forward=True
         )
-    exits = reduce(DataFrame.unionByName, finished)
+        exits = exits.unionByName(moved.drop("ts"))
     return _without_overtaken(exits, by_key)
 
 
+def usable_closings(
+    asked: DataFrame, closings: DataFrame, quotes: DataFrame, by_key: Slices, slices: Slices
+) -> DataFrame:
+    """For each key and token in ``asked`` (after ``since``) the closing rows to retry at, by the
+    ``ts`` from which they count: the first row whose ``ts`` is not before a failed close is the
+    key's next closing with a usable price.
+
+    A token's price can only be used again from a quote on at which it turns usable. Each such
+    quote points to the key's next closing; those where the price is (still or again) usable
+    stay. Were there an earlier usable closing than the first of these, it would lie between a
+    turning quote and the next drop-out, and that quote would point to it or to one before it.
+    An option is quoted for some weeks, which bounds the turning quotes of a token.
+    """
+    tokens = asked.select(F.col("opt_token").alias("token")).distinct()
+    offered = cut_lineage(quotes.join(tokens, "token", "left_semi").select("token", "ts", "ltp"))
+    by_time = offered.where(F.col("ts").isNotNull()).groupBy("token", "ts").agg(
+        usable(F.max("ltp")).alias("usable")
+    )
+    before = previous_values(by_time, ["token"], ["ts"], {"was_usable": ("usable", 1)}, slices)
+    turning = before.where(F.col("usable") & ~F.coalesce("was_usable", F.lit(False))).select(
+        F.col("token").alias("opt_token"), "ts"
+    )
+    following = asof_join(
+        asked.join(turning, "opt_token").where(F.col("ts") > F.col("since")).drop("since"),
+        closings.withColumn("ts", F.col("exit_ts")), KEY, "ts", EXIT, by_key, forward=True,
+    ).where(F.col("exit_ts").isNotNull())
+    return price_at(following, offered, "opt_token", "exit_ts", "exit_price", slices).where(
+        usable(F.col("exit_price"))
+    )
+
+
 def _without_overtaken(exits: DataFrame, by_key: Slices) -> DataFrame:
     """Drop trades whose entry lies inside a kept, prolonged trade of the same key."""
     never = F.lit("9999-12-31 00:00:00").cast("timestamp_ntz")

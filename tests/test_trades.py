@@ -145,6 +145,35 @@ def test_failed_exits_are_retried(spark, seed, gap):
         assert r.exit_price == price(r.opt_token, r.exit_ts)
 
 
+def _jobs(spark, name, work):
+    spark.sparkContext.setJobGroup(name, name)
+    out = work()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_the_number_of_drop_outs_does_not_matter(spark):
+    """A price that comes and goes between the closings: as many jobs for 60 times as for 4."""
+    jobs = set()
+    for n in (4, 60):
+        rows = _sequence(("BUY",), *[("NEUTRAL",)] * n)
+        quotes = [("t", OPEN_AT, 1.0)]
+        for i in range(2, n + 1):  # zero at each closing but the last, usable just before it
+            at = OPEN_AT + timedelta(minutes=i)
+            quotes += [("t", at - timedelta(seconds=30), 2.0), ("t", at, 0.0)]
+        quotes += [("t", OPEN_AT + timedelta(minutes=n + 1), 3.0)]
+        decided = spark.createDataFrame(rows, SCHEMA).cache()
+        q = spark.createDataFrame(quotes, "token string, ts timestamp_ntz, ltp double")
+        pairs = tr.pair_trades(decided)
+        settled, count = _jobs(spark, f"settle {n}", lambda: tr.settle_exits(
+            pairs, decided, q, slices_of(q, ["token"], "ts")  # noqa: B023
+        ).collect())
+        jobs.add(count)
+        got = [(r.exit_ts, r.exit_price) for r in settled]
+        assert got == [(OPEN_AT + timedelta(minutes=n + 1), 3.0)]
+    assert len(jobs) == 1
+
+
 def test_pairing_shuffles_are_per_day_or_edges(spark):
     df = spark.createDataFrame(_sequence(("BUY",)), SCHEMA)
     plan = tr.pair_trades(df)._jdf.queryExecution().executedPlan().toString()
