@@ -13,12 +13,14 @@ def local_time(ts: Column, zone: str = fixed.MARKET_ZONE) -> Column:
 
 
 def time_of_day(local: Column) -> Column:
-    """Sortable text with microseconds, so 15:25:00.5 is after 15:25:00."""
-    return F.date_format(local, "HH:mm:ss.SSSSSS")
+    """Microseconds since midnight, so 15:25:00.5 is after 15:25:00."""
+    whole = (F.hour(local) * 3600 + F.minute(local) * 60).cast("long") * 1_000_000
+    return whole + (F.date_part(F.lit("SECOND"), local) * 1_000_000).cast("long")
 
 
-def _at(hms: str) -> str:
-    return f"{hms}.000000"
+def _at(hms: str) -> int:
+    hours, minutes, seconds = map(int, hms.split(":"))
+    return ((hours * 60 + minutes) * 60 + seconds) * 1_000_000
 
 
 def in_session(

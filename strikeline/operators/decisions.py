@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strikeline import fixed
 from strikeline.functions.strikes import usable
-from strikeline.operators.instruments import chain_of_days, ladder
+from strikeline.operators.instruments import chain_of_expiries, ladder, with_current_expiry
 from strikeline.operators.ordered import Slices, asof_join
 
 _LOTS = {tf: m for tf, _, _, m in fixed.TIMEFRAMES if m is not None}
@@ -27,9 +27,13 @@ def attach_strikes(signals: DataFrame, chain: DataFrame) -> DataFrame:
 
 
 def attach_daily_strikes(signals: DataFrame, options: DataFrame) -> DataFrame:
-    """Strikes from the chain that is current on each signal's own day."""
-    days = signals.select(F.col("symbol").alias("name"), "session_date")
-    return attach_strikes(signals, chain_of_days(options, days))
+    """Strikes from the chain that is current on each signal's own day. Signals are used once:
+    each finds its expiry, and then its strikes in the ladder of that expiry."""
+    steps = ladder(chain_of_expiries(options), by=["expiry"])
+    dated = with_current_expiry(signals, options, name="symbol")
+    return dated.join(steps, ["symbol", "expiry", "CSP"], "left").drop("expiry").withColumn(
+        "strike_ok", F.col("ce_token").isNotNull() & F.col("pe_token").isNotNull()
+    )
 
 
 def strike_issues(looked_up: DataFrame) -> DataFrame:

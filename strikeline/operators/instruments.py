@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,16 +64,32 @@ def option_chain(options: DataFrame, as_of: str | Column) -> DataFrame:
     return _chain_rows(options.join(current, ["name", "expiry_date"]))
 
 
+def with_current_expiry(
+    rows: DataFrame, options: DataFrame, name: str = "name", day: str = "session_date"
+) -> DataFrame:
+    """Add ``expiry``: the option expiry that is current on the row's own day, null after the
+    last one. A name's expiries come as one sorted list, some hundred dates for ten years, so
+    rows are neither multiplied nor read twice."""
+    listed = options.where(F.col("expiry_date").isNotNull()).groupBy(F.col("name").alias(name)).agg(
+        F.sort_array(F.collect_set("expiry_date")).alias("_expiries")
+    )
+    ahead = F.get(F.filter("_expiries", lambda e: e >= F.col(day)), F.lit(0))
+    return rows.join(listed, name, "left").withColumn("expiry", ahead).drop("_expiries")
+
+
 def chain_of_days(options: DataFrame, days: DataFrame) -> DataFrame:
     """The option chain of every (name, session_date) in ``days``: the rows of the expiry that
     is current on that day, with ``session_date``. A day after the last expiry has no rows."""
-    current = (
-        days.select("name", "session_date").distinct()
-        .join(distinct_expiries(options), "name")
-        .where(F.col("expiry_date") >= F.col("session_date"))
-        .groupBy("name", "session_date").agg(F.min("expiry_date").alias("expiry_date"))
+    current = with_current_expiry(days.select("name", "session_date").distinct(), options)
+    return _chain_rows(
+        options.join(current.withColumnRenamed("expiry", "expiry_date"), ["name", "expiry_date"]),
+        "session_date",
     )
-    return _chain_rows(options.join(current, ["name", "expiry_date"]), "session_date")
+
+
+def chain_of_expiries(options: DataFrame) -> DataFrame:
+    """Call and put rows of all expiries."""
+    return _chain_rows(options.where(F.col("expiry_date").isNotNull()))
 
 
 def _chain_rows(options: DataFrame, *more: str) -> DataFrame:
@@ -102,11 +120,11 @@ def in_band(chain: DataFrame, prices: DataFrame, half_width: int = fixed.BUILD_B
     )
 
 
-def ladder(chain: DataFrame) -> DataFrame:
-    """One row per underlying and call strike (and day, for a chain of days): the call at
-    that strike and the put one step above it. The smallest token wins where a strike is
-    listed twice."""
-    days = [c for c in ("session_date",) if c in chain.columns]
+def ladder(chain: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per underlying and call strike (and day, for a chain of days, or ``by`` other
+    columns): the call at that strike and the put one step above it. The smallest token wins
+    where a strike is listed twice."""
+    days = [*by, *[c for c in ("session_date",) if c in chain.columns]]
     is_call = F.col("ce_or_pe") == fixed.CALL
     entry = F.struct("token", "symbol")
     call_at = F.when(is_call, F.col("strike")).otherwise(F.col("strike") - fixed.STRIKE_STEP)
