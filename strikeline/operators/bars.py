@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strikeline import fixed
+from strikeline.functions.ids import order_key
 
 
 def minute_bars(ticks: DataFrame, tie: str = "event_id") -> DataFrame:
     """One-minute bars: symbol, bar_ts, open, high, low, close, volume, ticks."""
-    order = F.struct("ts", tie)
+    order = order_key(F.col("ts"), F.col(tie))
     return ticks.groupBy("symbol", F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("bar_ts")).agg(
         F.min_by("price", order).alias("open"), F.max("price").alias("high"),
         F.min("price").alias("low"), F.max_by("price", order).alias("close"),

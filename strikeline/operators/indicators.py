@@ -120,6 +120,56 @@ def latest_per_minute(snapshots: DataFrame, tie: str = "event_id") -> DataFrame:
     )
 
 
+#: What a recommendation can be; a packed row holds its place.
+_LABELS = (
+    None, "", fixed.STRONG_SELL, fixed.SELL, fixed.NEUTRAL, fixed.BUY, fixed.STRONG_BUY,
+    fixed.ERROR,
+)
+_LABELLED, _COUNTED = ("TA_SIGNAL", "OSCI", "MA"), (fixed.BUY, fixed.SELL, fixed.NEUTRAL)
+
+
+def _packed() -> Column:
+    """A row of ``rollup`` but its price as one number: three labels of three bits, three counts
+    of up to 26 votes of five bits and whether there was a response."""
+    place = F.create_map(*[F.lit(v) for i, x in enumerate(_LABELS) if x is not None for v in (x, i)])
+    bits = F.col("no_response").cast("long")
+    for i, c in enumerate(_LABELLED):
+        code = F.coalesce(F.try_element_at(place, F.col(c)), F.lit(0)).cast("long")
+        bits = bits + code * 2 ** (1 + 3 * i)
+    for i, c in enumerate(_COUNTED):
+        bits = bits + F.col(c).cast("long") * 2 ** (10 + 5 * i)
+    return bits
+
+
+def _unpacked(bits: Column) -> list[Column]:
+    def part(shift: int, width: int) -> Column:
+        return F.shiftright(bits, shift).bitwiseAND(2**width - 1).cast("int")
+
+    names = F.array(*[F.lit(x).cast("string") for x in _LABELS])
+    return [
+        (part(0, 1) == 1).alias("no_response"),
+        *[F.get(names, part(1 + 3 * i, 3)).alias(c) for i, c in enumerate(_LABELLED)],
+        *[part(10 + 5 * i, 5).alias(c) for i, c in enumerate(_COUNTED)],
+    ]
+
+
+def latest_rollups(grouped, keys: tuple[str | Column, ...], tie: str = "event_id") -> DataFrame:
+    """The newest rolled-up row of each group, as ``rollup`` gives it. ``grouped``: rows of
+    ``rollup`` with ``ts`` and ``tie``, grouped; what aggregates and streams keep of a group is
+    three fixed-width values."""
+    order = ids.order_key(F.col("ts"), F.col(tie))
+    return grouped.agg(
+        F.max_by(_packed(), order).alias("_bits"), F.max_by("FPRICE", order).alias("FPRICE")
+    ).select(*keys, *_unpacked(F.col("_bits")), "FPRICE")
+
+
+def rollups_per_minute(snapshots: DataFrame, tie: str = "event_id") -> DataFrame:
+    """``rollup`` of the last snapshot of each symbol, timeframe and minute."""
+    rolled = rollup(snapshots, ("symbol", "tf", "ts", tie))
+    grouped = rolled.groupBy("symbol", "tf", clock.minute_of(F.col("ts")).alias("minute"))
+    return latest_rollups(grouped, ("symbol", "tf", "minute"), tie)
+
+
 def in_session(rows: DataFrame, ts: str = "ts", **window: str) -> DataFrame:
     return rows.where(clock.in_session(clock.local_time(F.col(ts)), **window))
 

@@ -302,7 +302,7 @@ def can_exit() -> Column:
     return F.coalesce(named, F.lit(False)) & usable(F.col("EN_OPT_PRICE"))
 
 
-def closable(open_trades: DataFrame, signals: DataFrame) -> DataFrame:
+def closed_by_signal(open_trades: DataFrame, signals: DataFrame) -> DataFrame:
     """Open trades that the current signal of their symbol and timeframe closes.
     ``signals``: one row per symbol and timeframe."""
     now = signals.select(
@@ -310,11 +310,24 @@ def closable(open_trades: DataFrame, signals: DataFrame) -> DataFrame:
         F.col("FPRICE").alias("exit_fprice"), F.col("C_NUM").alias("exit_cycle"),
         F.col("minute").alias("exit_ts"),
     )
-    return open_trades.where(can_exit()).join(now, ["symbol", "TS_TF"]).where(
+    return open_trades.join(now, ["symbol", "TS_TF"]).where(
         closes(F.col("exit_signal"), F.col("EN_T_SIGNAL"))
     )
 
 
+def closable(open_trades: DataFrame, signals: DataFrame) -> DataFrame:
+    """Open trades that have all it takes to be closed and that the current signal closes."""
+    return closed_by_signal(open_trades.where(can_exit()), signals)
+
+
+def unexitable(open_trades: DataFrame, signals: DataFrame) -> DataFrame:
+    """Open trades that should close but lack symbol, token or entry price: an issue each."""
+    return closed_by_signal(open_trades.where(~can_exit()), signals).select(
+        "symbol", F.col("TS_TF").alias("tf"), F.col("exit_ts").alias("minute"), "UID",
+        F.lit("NOT_EXITABLE").alias("issue_type"),
+    )
+
+
 def not_yet_open(signals: DataFrame, open_trades: DataFrame) -> DataFrame:
     """Tradable signals without an open trade of the same symbol, timeframe and signal."""
     held = open_trades.select(

@@ -316,11 +316,12 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "now": (("sig",), """
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, tf ORDER BY minute DESC) rn
                        FROM sig) WHERE rn = 1"""),
-    "closable": (("held", "now"), """
+    "closable": (("should_close",), "SELECT * FROM should_close WHERE \"EN_OPT_PRICE\" > 0"),
+    "should_close": (("held", "now"), """
         SELECT held.*, now."TA_SIGNAL" AS exit_signal, now."FPRICE" AS exit_fprice,
           now."C_NUM" AS exit_cycle, now.minute AS exit_ts, now.local_ts AS exit_local, now."CSP"
         FROM held JOIN now ON held.symbol = now.symbol AND held."TS_TF" = now.tf
-        WHERE "EN_OPT_PRICE" > 0 AND (now."TA_SIGNAL" IN
+        WHERE (now."TA_SIGNAL" IN
             ('NEUTRAL','ERROR','NO_RESPONSE','CLOSE_ALL_MARKET_TIMEOUT')
           OR ("EN_T_SIGNAL" IN ('BUY','STRONG_BUY') AND now."TA_SIGNAL" IN ('SELL','STRONG_SELL'))
           OR ("EN_T_SIGNAL" IN ('SELL','STRONG_SELL') AND now."TA_SIGNAL" IN ('BUY','STRONG_BUY')))"""),
@@ -379,10 +380,31 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
           CASE WHEN ce_token IS NULL THEN 'no call at strike ' || "CSP"::VARCHAR
             ELSE 'no put at strike ' || "PSP"::VARCHAR END AS issue_msg
         FROM looked WHERE NOT strike_ok"""),
-    "issue_log_rows": (("strike_issue",), f"""
-        SELECT 'minute job' AS "LOG_MODULE_NAME", 'ERROR' AS "LOG_TYPE", issue_msg AS "LOG_MESSAGE",
+    "entry_issue": (("decided",), """
+        SELECT symbol, tf, minute, "TA_SIGNAL", opt_token, CASE WHEN en_price IS NULL
+          THEN 'NO_QUOTE' WHEN en_price <= 0 THEN 'PRICE_NOT_POSITIVE' ELSE 'ENTRY_STOPPED' END
+          AS issue_type FROM decided WHERE strike_ok AND trade_type IS NOT NULL AND NOT can_enter"""),
+    "exit_issue": (("closing",), """
+        SELECT symbol, "TS_TF" AS tf, exit_ts AS minute, "UID", CASE WHEN exit_price IS NULL
+          THEN 'NO_EXIT_QUOTE' ELSE 'EXIT_PRICE_NOT_POSITIVE' END AS issue_type
+        FROM closing WHERE NOT coalesce(exit_price > 0, false)"""),
+    "unexitable": (("should_close",), """
+        SELECT symbol, "TS_TF" AS tf, exit_ts AS minute, "UID" FROM should_close
+        WHERE NOT "EN_OPT_PRICE" > 0"""),
+    "outcome": (("strike_issue", "entry_issue", "exit_issue", "unexitable"), """
+        SELECT 'strike issue: ' || issue_msg AS msg, minute FROM strike_issue UNION ALL
+        SELECT 'entry issue: ' || issue_type || ' ' || opt_token, minute FROM entry_issue UNION ALL
+        SELECT 'exit issue: ' || issue_type || ' ' || "UID", minute FROM exit_issue UNION ALL
+        SELECT 'unexitable issue: NOT_EXITABLE ' || "UID", minute FROM unexitable"""),
+    "issue_log_rows": (("outcome", "decided", "exit_vals"), f"""
+        SELECT 'minute job' AS "LOG_MODULE_NAME", 'ERROR' AS "LOG_TYPE", msg AS "LOG_MESSAGE",
           'SERVER' AS "ENV_TYPE", (minute + {IST})::DATE AS "LOG_CREATE_DATE",
-          minute + {IST} AS "LOG_CREATE_DATETIME" FROM strike_issue"""),
+          minute + {IST} AS "LOG_CREATE_DATETIME", 'error' AS "LOG_KIND" FROM outcome
+        UNION ALL SELECT 'minute job', 'SUCCESS', (SELECT count(*) FROM decided WHERE can_enter)
+          || ' entered, ' || (SELECT count(*) FROM exit_vals) || ' exited, ' || string_agg(
+            (SELECT count(*) FROM outcome WHERE msg LIKE k || ' issue%') || ' ' || k, ', ' ORDER BY n),
+          'SERVER', DATE '2024-01-31', TIMESTAMP '2024-01-31 00:00:00', 'app'
+        FROM (VALUES (1, 'strike'), (2, 'entry'), (3, 'exit'), (4, 'unexitable')) v(n, k)"""),
     "exit_vals": (("closing",), """
         SELECT "UID", exit_cycle AS "EX_C_NUM", exit_signal AS "EX_T_SIGNAL",
           exit_fprice AS "EX_FUT_PRICE", exit_price AS "EX_OPT_PRICE", 'CLOSE' AS "TRADE_STATUS",
@@ -665,12 +687,7 @@ ORACLES: dict[str, str] = {
         'SELECT symbol, tf, minute, "TA_SIGNAL", opt_token, en_price, can_enter FROM decided',
         "decided",
     ),
-    "entry_issues": _sql(
-        """SELECT symbol, tf, minute, "TA_SIGNAL", opt_token, CASE WHEN en_price IS NULL
-          THEN 'NO_QUOTE' WHEN en_price <= 0 THEN 'PRICE_NOT_POSITIVE' ELSE 'ENTRY_STOPPED' END
-          AS issue_type FROM decided WHERE strike_ok AND trade_type IS NOT NULL AND NOT can_enter""",
-        "decided",
-    ),
+    "entry_issues": _sql("SELECT * FROM entry_issue", "entry_issue"),
     "close_rules": _sql(
         f"""SELECT n.seen AS "TA_SIGNAL", h."TA_SIGNAL" AS held, count(*)::BIGINT AS n,
           h."TA_SIGNAL" IN ('BUY','STRONG_BUY','SELL','STRONG_SELL') AND (n.seen IN
@@ -701,10 +718,9 @@ ORACLES: dict[str, str] = {
             ELSE l_extendedprice END::DOUBLE AS p FROM lineitem)""",
     "open_positions": _sql("SELECT * FROM held", "held"),
     "exit_overlay": _sql(_OVERLAY, "live", "exit_vals"),
-    "exit_issues": _sql(
-        """SELECT symbol, "TS_TF" AS tf, exit_ts AS minute, "UID", CASE WHEN exit_price IS NULL
-          THEN 'NO_EXIT_QUOTE' ELSE 'EXIT_PRICE_NOT_POSITIVE' END AS issue_type
-        FROM closing WHERE NOT coalesce(exit_price > 0, false)""", "closing",
+    "exit_issues": _sql("SELECT * FROM exit_issue", "exit_issue"),
+    "unexitable_trades": _sql(
+        """SELECT *, 'NOT_EXITABLE' AS issue_type FROM unexitable""", "unexitable"
     ),
     "minute_cycle_exits": _sql(_CYCLE_EXITS, "exit_vals", "closing", "day_ladder"),
     "minute_cycle": _sql(_CYCLE_ENTRIES, "decided", "now", "held"),

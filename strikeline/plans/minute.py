@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +18,7 @@ from strikeline.session import cut_lineage
 def signals(snapshots: DataFrame, session_only: bool = True) -> DataFrame:
     """Indicator snapshots to one signal per symbol, timeframe and minute."""
     live = ind.in_session(snapshots) if session_only else snapshots
-    newest = ind.latest_per_minute(live)
-    return ind.minute_signals(ind.rollup(newest, ("symbol", "tf", "minute")))
+    return ind.minute_signals(ind.rollups_per_minute(live))
 
 
 def history(
@@ -69,9 +69,10 @@ def cycle(
         dec.strike_issues(looked_up).select("symbol", "tf", "minute", "issue_type"),
         dec.entry_issues(entering).select("symbol", "tf", "minute", "issue_type"),
         tr.exit_issues(closing).select("symbol", "tf", "minute", "issue_type"),
+        tr.unexitable(open_trades, listed).select("symbol", "tf", "minute", "issue_type"),
     ]
     return Cycle(
         exits=tr.exit_values(closing),
         entries=tr.trade_rows(entries),
-        issues=issues[0].unionByName(issues[1]).unionByName(issues[2]),
+        issues=reduce(DataFrame.unionByName, issues),
     )

@@ -539,6 +539,12 @@ def exit_issues(spark, d):
     return tr.exit_issues(_closing(spark, d))
 
 
+@query
+def unexitable_trades(spark, d):
+    """Open trades that the newest signals close but that lack what a closing needs."""
+    return tr.unexitable(_open(spark, d), tr.current_signals(_signals(spark, d)))
+
+
 @query
 def minute_cycle(spark, d):
     """One cycle on the stored trades: what enters."""
@@ -599,11 +605,31 @@ def partition_presence(spark, d):
 
 
 def _issue_log(spark, d):
-    issues = dec.strike_issues(_looked_up(spark, d))
-    return logs.log_rows(
-        issues, "minute job", F.lit("ERROR"), F.col("issue_msg"),
-        clock.local_time(F.col("minute")),
-    )
+    """Decisions of the whole history and exits of the newest cycle: what was accepted, what was
+    not and why, in one tagged write; the log rows made of it are appended and read back."""
+    path = shared_dir(spark)
+    looked_up, decided = _looked_up(spark, d), _decided(spark, d)
+    now, held = tr.current_signals(_signals(spark, d)), _open(spark, d)
+    closing = _closing(spark, d)
+    why = lambda rows, *more: rows.withColumn(
+        "message", F.concat_ws(" ", "issue_type", *more)
+    )
+    rows = logs.outcomes(
+        entered=decided.where("can_enter"),
+        exited=closing.where(dec.usable(F.col("exit_price"))).select(
+            "symbol", F.col("TS_TF").alias("tf"), F.col("exit_ts").alias("minute")
+        ),
+        strike=dec.strike_issues(looked_up).withColumn("message", F.col("issue_msg")),
+        entry=why(dec.entry_issues(decided), "opt_token"),
+        exit=why(tr.exit_issues(closing), "UID"),
+        unexitable=why(tr.unexitable(held, now), "UID"),
+    )
+    kinds = ("entered", "exited", "strike", "entry", "exit", "unexitable")
+    counts = logs.store_outcomes(rows, kinds, f"{path}/outcomes")
+    stored = spark.read.schema(rows.schema).parquet(f"{path}/outcomes")
+    log = logs.run_log(stored, counts, kinds[:2], "minute job", "2024-01-31 00:00:00")
+    logs.append_log(log, f"{path}/log")
+    return spark.read.schema(log.schema).parquet(f"{path}/log").select(*log.columns)
 
 
 @query

@@ -12,29 +12,25 @@ from strikeline.operators import indicators as ind
 from strikeline.sources import files
 
 
-def latest_per_minute(
+def rollups_per_minute(
     snapshots: DataFrame, lateness: str = "1 minute", tie: str = "event_id"
 ) -> DataFrame:
-    """The last snapshot per symbol, timeframe and minute, emitted once the watermark has
-    passed the minute."""
-    rest = [c for c in snapshots.columns if c not in ("symbol", "tf", "ts", tie)]
-    newest = F.max_by(F.struct("ts", tie, *rest), F.struct("ts", tie)).alias("s")
-    return (
-        snapshots.withColumn("event_time", F.col("ts").cast("timestamp"))
-        .withWatermark("event_time", lateness)
-        .groupBy("symbol", "tf", F.window("event_time", "1 minute")).agg(newest)
-        .select(
-            "symbol", "tf", F.col("window.start").cast("timestamp_ntz").alias("minute"), "s.*"
-        )
+    """Votes and recommendation of the last snapshot per symbol, timeframe and minute, emitted
+    once the watermark has passed the minute. State holds three numbers a group."""
+    timed = snapshots.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark(
+        "event_time", lateness
     )
+    rolled = ind.rollup(timed, ("symbol", "tf", "ts", tie, "event_time"))
+    grouped = rolled.groupBy("symbol", "tf", F.window("event_time", "1 minute"))
+    minute = F.col("window.start").cast("timestamp_ntz").alias("minute")
+    return ind.latest_rollups(grouped, ("symbol", "tf", minute), tie)
 
 
 def signal_stream(
     snapshots: DataFrame, lateness: str = "1 minute", session_only: bool = True
 ) -> DataFrame:
     live = ind.in_session(snapshots) if session_only else snapshots
-    rolled = ind.rollup(latest_per_minute(live, lateness), ("symbol", "tf", "minute"))
-    return ind.clocked_signals(rolled)
+    return ind.clocked_signals(rollups_per_minute(live, lateness))
 
 
 def unique_signals(signals: DataFrame, lateness: str = "10 minutes") -> DataFrame:

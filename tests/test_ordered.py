@@ -4,7 +4,9 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
+from tests.conftest import DATA
 from strikeline.operators.ordered import SLICE, Slices, asof_join, previous_values, slices_of, with_slice
 
 START = datetime(2024, 1, 1)
@@ -86,3 +88,35 @@ def test_slices_split_a_hot_key(spark):
     assert len(cut.hot) == 1
     sizes = [r["count"] for r in with_slice(df, ["token"], "ts", cut).groupBy(SLICE).count().collect()]
     assert len(sizes) == 20 and max(sizes) < 1500
+
+
+def test_order_key_sorts_like_time_and_tie(spark):
+    from strikeline.functions.ids import order_key
+
+    rows = [(t, i) for t in ("1960-01-01 00:00:00", "2024-01-01 00:00:00.000001", "2024-01-01 00:00:00")
+            for i in (None, -2**63, -1, 0, 1, 2**63 - 1)]
+    df = spark.createDataFrame(rows, "t string, tie long").withColumn("ts", F.col("t").cast("timestamp_ntz"))
+    by_key = df.orderBy(order_key(F.col("ts"), F.col("tie"))).collect()
+    assert by_key == df.orderBy("ts", F.col("tie").asc_nulls_first()).collect()
+
+
+@pytest.mark.parametrize("name", ["signal_log", "tick_bars"])
+def test_newest_rows_need_no_sort(spark, name):
+    from strikeline.queries import REGISTRY
+
+    plan = REGISTRY[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_packed_rows_are_unpacked(spark):
+    """What the newest snapshot of a minute says, rolled up before or after it is chosen."""
+    from strikeline.operators import indicators as ind
+    from strikeline.sources import driver_tables as dt
+
+    snapshots = dt.snapshots(spark, DATA)
+    got = ind.rollups_per_minute(snapshots)
+    want = ind.rollup(ind.latest_per_minute(snapshots), ("symbol", "tf", "minute"))
+    assert got.schema.names == want.select(*got.columns).schema.names
+    want = want.select(*got.columns)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert got.select("TA_SIGNAL").distinct().count() >= 6
