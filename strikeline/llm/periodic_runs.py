@@ -174,22 +174,23 @@ def runs_in(
     doc = np.repeat(np.arange(len(sizes)), sizes)
     local = np.arange(len(codes)) - offsets[doc]
     place, distance = candidates(codes, local, sizes[doc], doc)
+    if not len(place):
+        return (np.empty(0, np.int64),) * 4
     found: list[tuple[int, np.ndarray, np.ndarray, int]] = []
     # one look at a document for each of its candidate periods
     order = np.lexsort((place, distance, doc[place]))
     place, distance = place[order], distance[order]
     in_doc = doc[place]
     change = np.flatnonzero((np.diff(in_doc) != 0) | (np.diff(distance) != 0)) + 1
-    firsts = np.concatenate([[0], change]) if len(place) else []
-    for a, b in zip(firsts, [*firsts[1:], len(place)], strict=True):
+    edges = [0, *change.tolist(), len(place)]
+    for a, b in zip(edges, edges[1:], strict=False):
         d, q = int(in_doc[a]), int(distance[a])
         words = codes[offsets[d]: offsets[d + 1]]
         differs = np.flatnonzero(words[:-q] != words[q:])
-        edges = np.concatenate([[-1], differs, [len(words) - q]])
-        right = np.searchsorted(edges, place[a:b] - offsets[d], "right")
-        right = np.unique(right)
-        start = edges[right - 1] + 1
-        length = edges[right] - start + q
+        stops = np.concatenate([[-1], differs, [len(words) - q]])
+        right = np.unique(np.searchsorted(stops, place[a:b] - offsets[d], "right"))
+        start = stops[right - 1] + 1
+        length = stops[right] - start + q
         long = length >= max(least_length, least_exponent * q)
         if long.any():
             found.append((d, start[long], length[long], q))

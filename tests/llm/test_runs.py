@@ -84,6 +84,13 @@ def test_like_plain_search(seed):
     assert any(in_numbers(documents))
 
 
+@pytest.mark.parametrize("documents", [
+    [[]], [["a"]], [["a", "b", "c"]], [["a", "b"] * 2, [], ["c"]], [["a"] * 3], [],
+])
+def test_documents_without_candidates(documents):
+    assert in_numbers(documents) == [[] for _ in documents]
+
+
 def test_every_period_at_the_least_length():
     """Runs of exactly four periods, begun at every place against the blocks."""
     documents = [
