@@ -3,9 +3,11 @@
 Rows with equal texts form a group that stays together. Each group is placed in the shard
 where the dot product of its (bytes, tokens, rows) with the shard's residual capacity is
 highest, large groups first. Groups of more than a small share of all data are placed first
-and by the driver; their number is bounded by the number of cells, see ``_LARGE``. Such a
-group would not fit a shard's share or would tip it, so it is cut into parts by a hash of the
-row, and the parts are placed by the same rule. All other groups are dealt to cells by hash;
+and by the driver; their number is bounded by the number of cells, see ``_LARGE``. Only a group
+that has more than a shard's share of the bytes, tokens or rows is cut, by a hash of the row and
+into as many parts as there are shards: in fewer, the shards that have them would be full of rows
+but not of bytes, or the other way round, and the rest could not make up for both. The parts are
+placed by the same rule. All other groups are dealt to cells by hash;
 every cell packs its own groups, streaming them in order of size, into the shards' residual
 capacity in proportion to the cell's size. No task holds more than the residual vectors.
 
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strikeline.llm.common import filled, partitions_of, union_all
+from strikeline.llm.common import filled, partitions_of, ship, union_all
 from strikeline.session import cut_lineage
 
 #: A group is large if it has more than 1/16 of a cell's mean share in any dimension: there
@@ -67,9 +69,10 @@ def shard(
 ) -> DataFrame:
     """Adds to doc_id, size, tokens, text_crc32: shard (from 0), slot (gapless from 0 in each
     shard) and part (of a text that was cut, else null)."""
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     rows = cut_lineage(measured(docs, id_column, text).withColumn(
-        "salt", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(64 * shards)).cast("int")
+        "salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(2**30)).cast("int")
     ))
     groups = cut_lineage(rows.groupBy("key").agg(
         F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")
@@ -86,15 +89,16 @@ def shard(
     is_large = F.greatest(*share) > 1.0 / (_LARGE * cells)
     residual = [[1.0 / shards] * 3 for _ in range(shards)]
 
-    # at most 3 * _LARGE rows for each cell; those that fit a small share of a shard stay whole
+    # at most 3 * _LARGE rows for each cell; those that fit a shard stay whole
     large = F.broadcast(groups.where(is_large).select(
         "key", F.lit(True).alias("is_large"),
-        (F.greatest(*share) > 1.0 / (_LARGE * shards)).alias("is_cut"),
+        F.when(F.greatest(*share) > 1.0 / shards, shards).otherwise(1).alias("parts"),
     ))
-    marked = rows.join(large, "key", "left")
-    parts = marked.where("is_large").groupBy(
-        "key", F.when(F.col("is_cut"), F.col("salt")).alias("part")
-    ).agg(
+    is_cut = F.col("parts") > 1
+    marked = rows.join(large, "key", "left").withColumn(
+        "part", F.when(is_cut, F.col("salt") % F.col("parts"))
+    )
+    parts = marked.where("is_large").groupBy("key", "part").agg(
         F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")
     )
     placed = []
@@ -138,12 +142,10 @@ def shard(
     whole = F.broadcast(placed.where("part is null").drop("part"))
     cut = F.broadcast(placed.where("part is not null"))
     kept = ["doc_id", "size", "tokens", "text_crc32", "shard", "part"]
-    none = F.lit(None).cast("int").alias("part")
     assigned = cut_lineage(union_all([
-        marked.where("is_large is null").join(packed, "key").withColumn("part", none).select(*kept),
-        marked.where("not is_cut").join(whole, "key").withColumn("part", none).select(*kept),
-        marked.where("is_cut").withColumn("part", F.col("salt")).join(cut, ["key", "part"])
-        .select(*kept),
+        marked.where("is_large is null").join(packed, "key").select(*kept),
+        marked.where("is_large").where(~is_cut).join(whole, "key").select(*kept),
+        marked.where(is_cut).join(cut, ["key", "part"]).select(*kept),
     ]))
     return with_slots(assigned)
 

@@ -52,6 +52,28 @@ def test_groups_stay_together_and_hot_ones_are_cut(documents):
     assert {r.text_crc32 for r in rows if r.part is not None} <= {zlib.crc32(b"the same text")}
 
 
+def test_only_what_exceeds_a_shard_is_cut(documents):
+    """A group of a tenth of all rows stays whole in eight shards; one of three tenths is cut."""
+    pairs = [(i, {0: "a tenth", 1: "three tenths", 2: "three tenths", 3: "three tenths"}.get(
+        i % 10, f"own text {i}")) for i in range(4000)]
+    rows = sharding.shard(documents(pairs), shards=8).collect()
+    _checked(rows, 8, pairs)
+    where, parts = defaultdict(set), defaultdict(set)
+    for r in rows:
+        where[r.text_crc32].add(r.shard)
+        parts[r.text_crc32].add(r.part)
+    cut = zlib.crc32(b"three tenths")
+    assert len(where[zlib.crc32(b"a tenth")]) == 1 and len(parts[cut]) == 8
+    assert all(len(s) == 1 for k, s in where.items() if k != cut)
+    sums = _sums(rows, lambda r: r.size)
+    assert sums[-1] <= 1.05 * sum(sums) / 8
+
+
+def test_rows_equal_in_id_and_text_are_cut_too(documents):
+    rows = sharding.shard(documents([(7, "all the same")] * 400), shards=4).collect()
+    assert all(s <= 120 for s in _sums(rows, lambda r: 1))
+
+
 def test_odd_rows_are_sharded(documents, odd_pairs):
     _checked(sharding.shard(documents(odd_pairs)).collect(), 8, odd_pairs)
     assert sharding.shard(documents([])).count() == 0
