@@ -14,6 +14,7 @@ occur; an empty table gives an empty result. Only url, html and the id are read.
 
 from __future__ import annotations
 
+import math
 import string
 from collections.abc import Sequence
 
@@ -33,8 +34,10 @@ RULES = (
 _LINK = r"(?i)(?:href|src)\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s<>]+)"
 DAMPING = 0.85
 THRESHOLD = 0.5
-STEPS = 20
 TOLERANCE = 1e-6
+#: Rounds of the SQL: a round moves ``DAMPING`` times what the one before moved at most, and the
+#: first at most 2, so after these the tolerance is reached.
+_SQL_STEPS = math.ceil(math.log(TOLERANCE / 2) / math.log(DAMPING))
 
 
 def host_of(url: str) -> Column:
@@ -117,11 +120,11 @@ def _sums(edges: DataFrame, scores: DataFrame, frm: str, to: str, total: str, sc
 
 
 def propagate(
-    edges: DataFrame, start: DataFrame, damping: float = DAMPING, steps: int = STEPS,
-    tolerance: float = TOLERANCE,
+    edges: DataFrame, start: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE,
 ) -> DataFrame:
-    """host, trust, distrust after at most ``steps`` rounds, or once a round moves less than
-    ``tolerance`` in sum.
+    """host, trust, distrust once a round moves no more than ``tolerance`` in sum. As a round
+    moves ``damping`` times what the one before moved at most, that takes some 90 rounds with
+    the default numbers, whatever the graph.
 
     Each round is one join and one sum per direction over host edges, written to the shared
     folder, which cuts the lineage and is what a lost executor starts again from. Hosts that
@@ -140,7 +143,7 @@ def propagate(
     scores = start.select(
         "host", (F.col("trusted") * keep).alias("trust"), (F.col("blocked") * keep).alias("distrust")
     )
-    for _ in range(steps):
+    while True:
         trust = _sums(edges, scores, "src", "dst", "sent", "trust")
         distrust = _sums(edges, scores, "dst", "src", "received", "distrust")
         old = scores.select("host", F.col("trust").alias("t0"), F.col("distrust").alias("d0"))
@@ -158,13 +161,12 @@ def propagate(
         ).first()[0]
         scores = new.select("host", "trust", "distrust")
         if (moved or 0.0) <= tolerance:
-            break
-    return scores
+            return scores
 
 
 def verdicts(
     pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
-    damping: float = DAMPING, threshold: float = THRESHOLD, steps: int = STEPS,
+    damping: float = DAMPING, threshold: float = THRESHOLD, tolerance: float = TOLERANCE,
     id_column: str = "page_id", url: str = "url", html: str = "html",
 ) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, trust, distrust (of the host).
@@ -173,7 +175,7 @@ def verdicts(
     join, in which Spark splits the rows of a very common host.
     """
     judged = judged_by_rule(pages, rules, id_column, url)
-    scores = propagate(host_edges(pages, url, html), seeds(judged), damping, steps)
+    scores = propagate(host_edges(pages, url, html), seeds(judged), damping, tolerance)
     bad = F.coalesce(
         F.col("distrust") > threshold * (F.col("trust") + F.col("distrust")), F.lit(False)
     )
@@ -196,7 +198,7 @@ def _verdict_sql() -> str:
         return f"CASE {whens} END"
 
     steps = []
-    for i in range(1, STEPS + 1):
+    for i in range(1, _SQL_STEPS + 1):
         steps.append(f"""
     s{i} AS MATERIALIZED (
       SELECT s.host, {1 - DAMPING} * trusted + {DAMPING} * coalesce(t.got, 0) AS trust,
@@ -239,7 +241,7 @@ WITH p AS MATERIALIZED (
 SELECT page_id, j.host, path, rule,
        coalesce(rule_verdict, CASE WHEN distrust > {THRESHOLD} * (trust + distrust)
                                    THEN 'block' ELSE 'allow' END) AS verdict
-FROM judged j LEFT JOIN s{STEPS} ON s{STEPS}.host = j.host
+FROM judged j LEFT JOIN s{_SQL_STEPS} ON s{_SQL_STEPS}.host = j.host
 """
 
 

@@ -1,12 +1,26 @@
+import glob
+import os
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import types as T
 
+from tests.conftest import DATA
+
 #: Columns that operators use themselves, as extra columns of the input.
 CLASHING = ("digest", "block", "score", "_text", "_doc", "key", "shard", "sig", "part", "row")
 
 
+@pytest.fixture(scope="module")
+def duck():
+    """The test tables as views of a database."""
+    con = duckdb.connect()
+    for file in glob.glob(f"{DATA}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(file)[:-8]} AS SELECT * FROM '{file}'")
+    return con
+
+
 @pytest.fixture(scope="session")
 def documents(spark):
     """Makes a table of (doc_id, text) pairs, with the other columns and some that clash."""

@@ -9,13 +9,13 @@ import __spark_entry__ as contract
 from strikeline.llm import exact_dedup, url_trust, warc
 from strikeline.llm.queries import ORACLES
 from tests.conftest import DATA
-from tests.test_queries import _sorted, duck  # noqa: F401
+from tests.test_queries import _sorted
 
 _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
-def test_sql(spark, duck, name):  # noqa: F811
+def test_sql(spark, duck, name):
     got = contract.queries()[name](spark, DATA)
     result = duck.execute(ORACLES[name])
     columns = [c[0] for c in result.description]
