@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import string
 import tempfile
@@ -17,13 +18,16 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Hand this package to Spark, which copies it to the executors, so that Python workers
-    can import it wherever the driver was started. Once for each application."""
+    """What every operator with Python workers calls first: hands this package to Spark, which
+    copies it to the executors, so that workers can import it wherever the driver was started
+    (once for each application)."""
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         package = Path(strikeline.__file__).parent
+        folder = tempfile.mkdtemp()
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         archive = shutil.make_archive(
-            f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name
+            f"{folder}/{package.name}", "zip", package.parent, package.name
         )
         context.addPyFile(archive)
         _shipped.add(context.applicationId)

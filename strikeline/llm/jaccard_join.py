@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strikeline.llm.arrow_rows import sliced
-from strikeline.llm.common import filled, if_small, join_groups, partitions_of, union_all
+from strikeline.llm.common import filled, if_small, join_groups, partitions_of, ship, union_all
 from strikeline.llm.components import components
 from strikeline.llm.exact_dedup import BLOCK_BITS, MAX_BITS
 from strikeline.llm.shingles import digest, mixed, parity, shingle_sets
@@ -428,6 +428,7 @@ def _next_centres(apart: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id that links reach)."""
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select(F.col(id_column).cast("long").alias("id"), filled(text).alias("text"))
     features = cut_lineage(_features(docs))

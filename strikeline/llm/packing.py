@@ -27,9 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strikeline.llm.arrow_rows import mapped
+from strikeline.llm.common import ship
 
-#: Pretokens a worker keeps before it starts anew (about 200 bytes each).
+#: Pretokens a worker keeps before it starts anew: as many of some 200 bytes, fewer of longer
+#: ones. Those of more than so many characters are not kept beyond the rows they are in.
 CACHE_ENTRIES = 1_000_000
+_ENTRY_BYTES = 200
+LONGEST_KEPT = 64
 LONGEST = 2048
 END_ID = 1
 
@@ -66,6 +70,7 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith(_WORD_END)]] = True
         self.known: dict[str, bytes] = {}
+        self.held = 0  # bytes, about
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -88,8 +93,9 @@ class Encoder:
             self.known[part] = ids.tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.entries:
+        if self.held > self.entries * _ENTRY_BYTES:
             self.known.clear()
+            self.held = 0
         known = self.known
         found, gaps, new = [], [], set()
         for parts in map(cut, texts):
@@ -104,6 +110,11 @@ class Encoder:
         for ids, parts, unknown in gaps:
             for k in unknown:
                 ids[k] = known[parts[k]]
+        for part in new:
+            if len(part) > LONGEST_KEPT:
+                del known[part]
+            else:  # the text, its ids and what the two objects and their entry take
+                self.held += len(part) + len(known[part]) + 150
         return [b"".join(ids) for ids in found]
 
 
@@ -159,6 +170,7 @@ def pack(
         return out
 
     ddl = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+    ship(docs.sparkSession)
     pieces = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return pieces.mapInArrow(
         mapped(work, pa.schema(fields)), ddl + ", ids array<int>" * with_ids

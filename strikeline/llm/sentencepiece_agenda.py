@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from array import array
+from collections.abc import Iterable
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -26,10 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strikeline.llm.arrow_rows import mapped
+from strikeline.llm.common import ship
 
 SPACE = "▁"
-#: Segments, and parts of them, that a worker keeps before it starts anew (about 200 bytes each).
+#: Segments, and parts of them, that a worker keeps before it starts anew: as many of some 200
+#: bytes, fewer of longer ones. Those of more than so many characters are not kept beyond the
+#: rows they are in.
 CACHE_ENTRIES = 600_000
+_ENTRY_BYTES = 200
+LONGEST_KEPT = 64
 #: Characters that a normaliser would change if it did more than mark spaces.
 _PROBE = "a  B\tＡﬁ　é\n"
 
@@ -63,6 +69,8 @@ class Agenda:
         self.begin, self.end = (array("I", [i]).tobytes() for i in (lib.bos_id(), lib.eos_id()))
         self.known: dict[str, bytes] = {}
         self.merged: dict[str, bytes] = {}
+        self.fresh: list[str] = []  # parts merged for the rows at hand
+        self.held = 0  # bytes, about
         self.differing: set[str] = set()
 
     def merge(self, part: str) -> list[int]:
@@ -113,6 +121,7 @@ class Agenda:
         for part in parts:
             if part not in merged:
                 merged[part] = array("I", self.merge(part)).tobytes()
+                self.fresh.append(part)
         return merged[parts[0]] if len(parts) == 1 else b"".join([merged[p] for p in parts])
 
     def _learn(self, words: list[str]) -> None:
@@ -130,19 +139,31 @@ class Agenda:
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         """For each text its ids without begin and end, and if its segments agreed."""
-        if len(self.known) > self.entries:
+        if self.held > 2 * self.entries * _ENTRY_BYTES:
             self.known.clear()
-        if len(self.merged) > self.entries:
             self.merged.clear()
+            self.held = 0
         split = [words_of(t) for t in texts]
         known = self.known
         new = {w for s in split for w in s if w not in known}
         if new:
             self._learn(list(new))
-        return [
+        found = [
             (b"".join([known[w] for w in s]),
              not self.differing or self.differing.isdisjoint(s)) for s in split
         ]
+        self._forget_long(known, new)
+        self._forget_long(self.merged, self.fresh)
+        self.fresh = []
+        return found
+
+    def _forget_long(self, cache: dict[str, bytes], added: Iterable[str]) -> None:
+        """Drop long new entries and count the bytes of the others."""
+        for text in added:
+            if len(text) > LONGEST_KEPT:
+                del cache[text]
+            else:  # the text, its ids and what the two objects and their entry take
+                self.held += len(text) + len(cache[text]) + 150
 
     def decode(self, ids: list[int]) -> str:
         """Text of ``ids``: pieces joined, byte ids as UTF-8, space signs as spaces."""
@@ -217,6 +238,7 @@ def encode(
         return out
 
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, agrees boolean"
+    ship(docs.sparkSession)
     slim = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return slim.mapInArrow(
         mapped(work, pa.schema(fields)), ddl + ", ids array<int>, decoded string" * with_ids

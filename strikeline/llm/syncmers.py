@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strikeline.llm.arrow_rows import sliced
-from strikeline.llm.common import filled, partitions_of
+from strikeline.llm.common import filled, partitions_of, ship
 
 K, S = 12, 5
 _BITS = 40
@@ -221,6 +221,7 @@ _DDL = (
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and fingerprint of every document; no shuffle."""
+    ship(docs.sparkSession)
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             ids, texts = (c.to_pylist() for c in batch.columns)
@@ -277,6 +278,7 @@ def edit_test(docs: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     One shuffle of the texts by ranges of ids; a task then streams its rows in order and
     holds a slice of them.
     """
+    ship(docs.sparkSession)
     def emit(rows: list[tuple[int | None, str]], following: str) -> pa.RecordBatch:
         texts = [t for _, t in rows]
         nexts = [*texts[1:], following]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strikeline.llm.arrow_rows import sliced
-from strikeline.llm.common import filled, join_groups
+from strikeline.llm.common import filled, join_groups, ship
 from strikeline.session import cut_lineage
 
 MAGIC = b"\x1f\x8b\x08"
@@ -99,6 +99,7 @@ def write(
     Pages are joined to the few that are revisits by id, so pages with a common payload are
     spread like all others.
     """
+    ship(pages.sparkSession)
     payload = filled(html)
     pages = pages.select(
         F.col(id_column).alias("page_id"), F.col(url).alias("url"), payload.alias("payload"),
@@ -257,6 +258,7 @@ def read(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bool
     ``payload`` on request. Each task reads some byte ranges of at most ``split_bytes``. If the
     manifest has ``records``, the rows are written to the shared folder and counted, and it is
     an error if they are not as many."""
+    ship(manifest.sparkSession)
     fields = [
         ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
         ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()),

@@ -92,3 +92,65 @@ def test_sentencepiece_query(spark):
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(raw).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
         assert r.agrees
+
+
+def test_long_parts_are_not_kept():
+    """Unbroken text of any length is encoded rightly and leaves the caches small."""
+    import random
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("0123456789abcdef日本語", k=20_000)) for _ in range(40)]
+    texts += ["x" * 3000, "short words stay " * 3]
+    own, library = packing.Encoder(WORDS), Tokenizer.from_file(WORDS)
+    agenda = sentencepiece_agenda.Agenda(PIECES)
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for at in range(0, len(texts), 7):
+        some = texts[at : at + 7]
+        for text, ids in zip(some, own.ids(some), strict=True):
+            want = library.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(ids, "<u4").tolist() == want
+        for text, (ids, agreed) in zip(some, agenda.encode(some), strict=True):
+            assert agreed and np.frombuffer(ids, "<u4").tolist() == lib.encode(text)
+    for cache in (own.known, agenda.known, agenda.merged):
+        assert all(len(k) <= packing.LONGEST_KEPT for k in cache)
+    assert "short" in own.known and sum(map(len, agenda.merged)) < 200_000
+
+
+def test_caches_are_bounded_by_bytes():
+    own = packing.Encoder(WORDS, entries=10)
+    for i in range(50):
+        own.ids([f"{chr(97 + i % 26)}{'b' * (i % 40)} some words"])
+        assert own.held <= 10 * 200 + 5000
+    agenda = sentencepiece_agenda.Agenda(PIECES, entries=10)
+    for i in range(50):
+        agenda.encode([f"{chr(97 + i % 26)}{'b' * (i % 40)} some words"])
+        assert agenda.held <= 2 * 10 * 200 + 5000
+
+
+def test_operators_ship_themselves(tmp_path):
+    """Called on a DataFrame of one's own, from a folder that workers cannot import from."""
+    import os
+    import subprocess
+    import sys
+
+    import strikeline
+
+    root = os.path.dirname(os.path.dirname(strikeline.__file__))
+    code = f"""
+import sys; sys.path.insert(0, {root!r})
+from strikeline.session import build_session
+spark = build_session("local[2]", "ship", **{{"spark.checkpoint.dir": {str(tmp_path)!r}}})
+from strikeline.llm import line_dedup, packing, periodic_runs, syncmers
+docs = spark.createDataFrame([(1, "a b c"), (2, "a b c")], "doc_id long, text string")
+assert syncmers.fingerprints(docs).count() == 2
+assert periodic_runs.find_runs(docs).count() == 2
+assert packing.pack(docs, {WORDS!r}).count() >= 2
+assert line_dedup.without_repeated_lines(docs, at_least=2).first().n_dropped == 1
+print("all shipped")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run(
+        [sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True,
+        timeout=300, check=False,
+    )
+    assert "all shipped" in done.stdout, done.stderr[-3000:]
