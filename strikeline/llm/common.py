@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 import strikeline
 
 _shipped: set[str] = set()
+#: Arrow batches are cut at this size, so that rows with long texts do not fill a task's memory.
+BATCH_BYTES = "4m"
 
 
 def ship(spark: SparkSession) -> None:
     """What every operator with Python workers calls first: hands this package to Spark, which
     copies it to the executors, so that workers can import it wherever the driver was started
-    (once for each application)."""
+    (once for each application), and bounds the size of the session's Arrow batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         package = Path(strikeline.__file__).parent
