@@ -9,6 +9,7 @@ from strikeline import fixed
 from strikeline.functions.strikes import usable
 from strikeline.operators.instruments import chain_of_expiries, ladder, with_current_expiry
 from strikeline.operators.ordered import Slices, asof_join
+from strikeline.sources.quotes import QuoteStore
 
 _LOTS = {tf: m for tf, _, _, m in fixed.TIMEFRAMES if m is not None}
 
@@ -73,9 +74,12 @@ def with_trade_params(looked_up: DataFrame) -> DataFrame:
     )
 
 
-def price_at(rows: DataFrame, quotes: DataFrame, token: str, ts: str, name: str,
-             slices: Slices) -> DataFrame:
-    """Add the last traded price of ``token`` at ``ts``. ``quotes``: token, ts, ltp."""
+def price_at(rows: DataFrame, quotes: DataFrame | QuoteStore, token: str, ts: str, name: str,
+             slices: Slices | None) -> DataFrame:
+    """Add the last traded price of ``token`` at ``ts``. ``quotes``: token, ts, ltp, or a
+    store of them, which is read without moving them."""
+    if isinstance(quotes, QuoteStore):
+        return quotes.price_at(rows, token, ts, name, slices)
     offered = quotes.select(
         F.col("token").alias(token), F.col("ts").alias(ts), F.col("ltp").alias(name)
     )
@@ -83,7 +87,7 @@ def price_at(rows: DataFrame, quotes: DataFrame, token: str, ts: str, name: str,
 
 
 def entry_decisions(
-    looked_up: DataFrame, quotes: DataFrame, slices: Slices
+    looked_up: DataFrame, quotes: DataFrame | QuoteStore, slices: Slices | None
 ) -> DataFrame:
     """Signals with entry price and ``can_enter``."""
     priced = price_at(

@@ -553,6 +553,16 @@ _SIGNAL_LOG = """SELECT symbol, "TA_SIGNAL", "MA", "OSCI", "FPRICE", "CSP", "PSP
 _PASSED = """SELECT scope FROM (SELECT * FROM config_check UNION ALL SELECT * FROM ladder_check)
           GROUP BY scope HAVING bool_and(passed OR "check" = 'market_open')"""
 
+_ASOF_PRICE = _sql(
+    """SELECT p.*, quote.ltp, coalesce(quote.ltp > 0, false) AS usable
+    FROM (SELECT event_id, ts, (event_id % 200)::VARCHAR AS token FROM events) p
+    ASOF LEFT JOIN quote ON p.token = quote.token AND p.ts >= quote.ts""", "quote",
+)
+_ENTRY_DECISIONS = _sql(
+    'SELECT symbol, tf, minute, "TA_SIGNAL", opt_token, en_price, can_enter FROM decided',
+    "decided",
+)
+
 ORACLES: dict[str, str] = {
     "votes_oscillators": _sql(f"SELECT event_id, {_aliased(OSC)} FROM snap", "snap"),
     "votes_moving_averages": _sql(f"SELECT event_id, {_aliased(MA)} FROM snap", "snap"),
@@ -672,21 +682,16 @@ ORACLES: dict[str, str] = {
         SELECT event_id, md5(strftime(ts, '%Y-%m-%d %H:%M:%S.%f')) AS digest FROM events""",
     "tick_bars": _bars(),
     "last_price": _sql("SELECT * FROM price", "price"),
-    "asof_price": _sql(
-        """SELECT p.*, quote.ltp, coalesce(quote.ltp > 0, false) AS usable
-        FROM (SELECT event_id, ts, (event_id % 200)::VARCHAR AS token FROM events) p
-        ASOF LEFT JOIN quote ON p.token = quote.token AND p.ts >= quote.ts""", "quote",
-    ),
+    "asof_price": _ASOF_PRICE,
+    "stored_asof_price": _ASOF_PRICE,
     "strike_lookup": _sql(f"SELECT {_LOOKUP} FROM looked", "looked"),
     "strike_lookup_issues": _sql("SELECT * FROM strike_issue", "strike_issue"),
     "trade_params": _sql(
         """SELECT symbol, tf, minute, "TA_SIGNAL", trade_type, side, strike, opt_token, opt_symbol,
           quantity, lot FROM params""", "params",
     ),
-    "entry_decisions": _sql(
-        'SELECT symbol, tf, minute, "TA_SIGNAL", opt_token, en_price, can_enter FROM decided',
-        "decided",
-    ),
+    "entry_decisions": _ENTRY_DECISIONS,
+    "stored_entry_decisions": _ENTRY_DECISIONS,
     "entry_issues": _sql("SELECT * FROM entry_issue", "entry_issue"),
     "close_rules": _sql(
         f"""SELECT n.seen AS "TA_SIGNAL", h."TA_SIGNAL" AS held, count(*)::BIGINT AS n,

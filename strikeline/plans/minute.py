@@ -13,6 +13,7 @@ from strikeline.operators import indicators as ind
 from strikeline.operators import trades as tr
 from strikeline.operators.ordered import Slices
 from strikeline.session import cut_lineage
+from strikeline.sources.quotes import QuoteStore
 
 
 def signals(snapshots: DataFrame, session_only: bool = True) -> DataFrame:
@@ -42,8 +43,8 @@ class Cycle:
 
 
 def cycle(
-    open_trades: DataFrame, now: DataFrame, options: DataFrame, quotes: DataFrame,
-    slices: Slices,
+    open_trades: DataFrame, now: DataFrame, options: DataFrame,
+    quotes: DataFrame | QuoteStore, slices: Slices | None,
 ) -> Cycle:
     """One minute: which open trades close, which signals enter.
 

@@ -21,6 +21,7 @@ from strikeline.plans import daily, minute, validation
 from strikeline.session import cut_lineage, prepare, shared_dir
 from strikeline.sources import driver_tables as dt
 from strikeline.sources import readers, writers
+from strikeline.sources.quotes import QuoteStore, stored_quotes
 from strikeline.sources.versions import VersionedTable, trade_part
 from strikeline.streaming.keyed import EVENT_SCHEMA, trade_events
 from strikeline.streaming.signals import (
@@ -398,15 +399,31 @@ def last_price(spark, d):
     return _prices(spark, d)
 
 
-@query
-def asof_price(spark, d):
-    """Last quote of each line's part at its order's time of day in January 2024."""
-    quotes = dt.quotes(spark, d)
-    probes = dt.read(spark, d, "events").select(
+def _asking(spark, d):
+    return dt.read(spark, d, "events").select(
         "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"),
         (F.col("event_id") % 200).cast("string").alias("token"),
     )
-    priced = asof_join(probes, quotes, ["token"], "ts", ["ltp"])
+
+
+@query
+def asof_price(spark, d):
+    """Last quote of an option at each event's time."""
+    priced = asof_join(_asking(spark, d), dt.quotes(spark, d), ["token"], "ts", ["ltp"])
+    return priced.withColumn("usable", dec.usable(F.col("ltp")))
+
+
+@query
+def stored_asof_price(spark, d):
+    """The same from a quote store that was loaded in two parts, the second one twice, as after
+    a load that died; no quote is shuffled by the lookup."""
+    path, quotes = shared_dir(spark), dt.quotes(spark, d)
+    early = "ts < timestamp_ntz'2024-01-12 12:34:00'"
+    store = stored_quotes(quotes.where(early), path)
+    late = quotes.where(f"not ({early})")
+    store.append(late)
+    store.append(late)
+    priced = QuoteStore.open(spark, path).price_at(_asking(spark, d), "token", "ts", "ltp")
     return priced.withColumn("usable", dec.usable(F.col("ltp")))
 
 
@@ -442,6 +459,15 @@ def entry_decisions(spark, d):
     )
 
 
+@query
+def stored_entry_decisions(spark, d):
+    """Entry decisions priced from a quote store."""
+    store = stored_quotes(dt.quotes(spark, d), shared_dir(spark))
+    return dec.entry_decisions(_looked_up(spark, d), store, None).select(
+        "symbol", "tf", "minute", "TA_SIGNAL", "opt_token", "en_price", "can_enter"
+    )
+
+
 @query
 def entry_issues(spark, d):
     return dec.entry_issues(_decided(spark, d))
