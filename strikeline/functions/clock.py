@@ -18,7 +18,7 @@ def time_of_day(local: Column) -> Column:
     return whole + (F.date_part(F.lit("SECOND"), local) * 1_000_000).cast("long")
 
 
-def _at(hms: str) -> int:
+def micros_of(hms: str) -> int:
     hours, minutes, seconds = map(int, hms.split(":"))
     return ((hours * 60 + minutes) * 60 + seconds) * 1_000_000
 
@@ -26,20 +26,20 @@ def _at(hms: str) -> int:
 def in_session(
     local: Column, opens: str = fixed.SESSION_OPEN, closes: str = fixed.SESSION_CLOSE
 ) -> Column:
-    return time_of_day(local).between(_at(opens), _at(closes))
+    return time_of_day(local).between(micros_of(opens), micros_of(closes))
 
 
 def stop_entry(local: Column) -> Column:
-    return time_of_day(local) >= _at(fixed.STOP_ENTRY_AT)
+    return time_of_day(local) >= micros_of(fixed.STOP_ENTRY_AT)
 
 
 def close_all(local: Column) -> Column:
-    return time_of_day(local) >= _at(fixed.CLOSE_ALL_AT)
+    return time_of_day(local) >= micros_of(fixed.CLOSE_ALL_AT)
 
 
 def is_fresh(updated: Column, as_of: Column) -> Column:
     """Updated on the as-of day and strictly after the daily cut-off."""
-    late_enough = time_of_day(updated) > _at(fixed.CONFIG_FRESH_AFTER)
+    late_enough = time_of_day(updated) > micros_of(fixed.CONFIG_FRESH_AFTER)
     return F.coalesce((updated.cast("date") == as_of) & late_enough, F.lit(False))
 
 

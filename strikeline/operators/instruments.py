@@ -150,6 +150,13 @@ def day_status(days: DataFrame, calendar: DataFrame) -> DataFrame:
     )
 
 
+def open_days(calendar: DataFrame, first_day: str, last_day: str) -> DataFrame:
+    """The ``day``s from the first to the last one on which the market opens."""
+    first, last = (F.lit(d).cast("date") for d in (first_day, last_day))
+    days = calendar.sparkSession.range(1).select(F.explode(F.sequence(first, last)).alias("day"))
+    return day_status(days, calendar).where("market_is_open = 'YES'").select("day")
+
+
 def trading_config(
     futures: DataFrame, options: DataFrame, calendar: DataFrame, as_of: str,
     updated_at: Column, key: str = "MAIN",

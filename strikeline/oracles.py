@@ -613,6 +613,12 @@ ORACLES: dict[str, str] = {
     ),
     "signal_log": _sql(_SIGNAL_LOG, "sig"),
     "signal_log_replayed": _sql(_SIGNAL_LOG, "sig"),
+    "session_signal_log": _sql(
+        _SIGNAL_LOG + """ WHERE session_date BETWEEN DATE '2024-01-08' AND DATE '2024-01-21'
+          AND isodow(session_date) <= 5 AND session_date NOT IN (
+            SELECT DATE '2024-01-01' + (o_orderkey % 31)::INTEGER FROM orders GROUP BY 1
+            HAVING count(*) % 3 = 0)""", "sig",
+    ),
     "cycle_number": _sql('SELECT symbol, tf, minute, session_date, "C_NUM" FROM sig', "sig"),
     "timeframe_fan_out": f"""
         SELECT symbol, minute, tf, ticks, sha256(symbol || '|' || {_stamp('minute')}) AS "SID",

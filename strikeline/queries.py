@@ -22,6 +22,7 @@ from strikeline.session import cut_lineage, prepare, shared_dir
 from strikeline.sources import driver_tables as dt
 from strikeline.sources import readers, writers
 from strikeline.sources.quotes import QuoteStore, stored_quotes
+from strikeline.sources.sessions import read_sessions, write_sessions
 from strikeline.sources.versions import VersionedTable, trade_part
 from strikeline.streaming.keyed import EVENT_SCHEMA, trade_events
 from strikeline.streaming.signals import (
@@ -188,6 +189,17 @@ def signal_log(spark, d):
     return ind.signal_log(_signals(spark, d))
 
 
+@query
+def session_signal_log(spark, d):
+    """The signals of a fortnight's open days, from snapshots stored by day: other days and
+    other hours are not read."""
+    path, snapshots = shared_dir(spark), dt.snapshots(spark, d)
+    write_sessions(snapshots, path)
+    open_days = ins.open_days(dt.january_calendar(spark, d), "2024-01-08", "2024-01-21")
+    days = [r.day for r in open_days.collect()]  # 14 at most
+    return ind.signal_log(minute.signals(read_sessions(spark, path, snapshots.schema, days)))
+
+
 @query
 def cycle_number(spark, d):
     return _signals(spark, d).select("symbol", "tf", "minute", "session_date", "C_NUM")

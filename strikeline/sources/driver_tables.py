@@ -147,6 +147,15 @@ def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def january_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A special-day list of the events' month: order keys choose a day, which is a holiday
+    when the number of its orders divides by 3."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("o_orderkey") % 31).cast("int"))
+    return read(spark, sf_dir, "orders").groupBy(day.alias("day")).agg(
+        F.when(F.count("*") % 3 == 0, "NO").otherwise("YES").alias("market_open_status")
+    )
+
+
 def live_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A trade table from orders: status O is open, anything else closed. Of the last two
     underlyings one is only bought and one only sold."""
