@@ -64,6 +64,8 @@ _STRICT = {
     "ssn": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$",
     "name": r"^[A-Z][a-z]+\. [A-Z][a-z]+ [A-Z][a-z]+$",
 }
+#: Kinds of which all loose matches have the strict shape and pass the check, or none does.
+_IMPLIED = ("email", "phone")
 # gazetteers: endings of common domains, leading digits of card issuers, calling codes in
 # common use, common given names
 _KNOWN = {
@@ -169,12 +171,14 @@ def _vote(yes: str, no: str) -> str:
 def _candidate(kind: str, origin: str) -> str:
     """SQL: the match x as a candidate with votes and features.
 
-    ``origin``: base (accepted by the base rule), refused, or loose.
+    ``origin``: base (accepted by the base rule), refused, or loose. A labeler whose vote
+    follows from the pattern that proposed the candidate says nothing about it and abstains.
     """
     strict, known = _quoted(_STRICT[kind]), _quoted(_KNOWN[kind])
+    implied = origin == "'loose'" and kind in _IMPLIED
     votes = [
-        _vote(f"x.match rlike '{strict}'", "true"),
-        "0" if kind in ("email", "ssn", "name") else _vote(_CHECKS[kind], "true"),
+        "0" if implied else _vote(f"x.match rlike '{strict}'", "true"),
+        "0" if implied or kind in ("email", "ssn", "name") else _vote(_CHECKS[kind], "true"),
         _vote(f"x.match rlike '{known}'", "true"),
         _vote(f"x.before rlike '{_quoted(_FOR)}'", f"x.before rlike '{_quoted(_AGAINST)}'"),
         _vote("not (right(x.before, 1) rlike '[A-Za-z0-9]' or x.after rlike '[A-Za-z0-9@]')", "true"),

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -192,3 +193,107 @@ def test_a_repeated_id_enters_the_fit_once(spark, documents):
     assert sample.count() == len(ids)
     models = [toxicity.fit(documents(x), labels) for x in (pairs + again, again[::-1] + pairs)]
     assert models[0] == models[1]
+
+
+def _loss(w, b, rows, toxic, pairs, shares, counterfactual):
+    """What ``solve`` minimises, with plain loops."""
+    n = {y: sum(t == y for t in toxic) for y in (0, 1)}
+    out = 0.0
+    for features, y in zip(rows, toxic, strict=True):
+        p = 1 / (1 + math.exp(-(b + sum(w[f] for f in features))))
+        out -= shares[y] / max(n[y], 1) * math.log(p if y else 1 - p)
+    out += toxicity.RIDGE / len(rows) ** 0.5 * sum(x * x for x in w) / 2
+    for one, other in pairs:
+        out += counterfactual / len(pairs) * (sum(w[f] for f in other) - sum(w[f] for f in one)) ** 2
+    return out
+
+
+@pytest.mark.parametrize("counterfactual", [0.0, toxicity.COUNTERFACTUAL, 10.0])
+def test_weights_against_plain_gradient_descent(counterfactual):
+    """Slow, plain descent along differences of the loss comes to the same weights."""
+    rng = random.Random(11)
+    size, shares = 7, (0.7, 0.3)
+    rows = [sorted(rng.sample(range(size), rng.randint(1, 4))) for _ in range(200)]
+    toxic = [int(rng.random() < (0.8 if 0 in r else 0.2 if 1 in r else 0.4)) for r in rows]
+    pairs = [(r, sorted({1 if f == 0 else 0 if f == 1 else f for f in r})) for r in rows if {0, 1} & set(r)]
+    args = (rows, toxic, pairs, shares, counterfactual)
+    got_w, got_b = toxicity.solve(rows, toxic, pairs, shares, size, counterfactual=counterfactual, steps=3000)
+    w, b, step = [0.0] * size, 0.0, 1e-5
+    rate = 0.5 / (1 + counterfactual)
+    for _ in range(400):
+        gradient = []
+        for i in range(size):
+            up, down = list(w), list(w)
+            up[i] += step
+            down[i] -= step
+            gradient.append((_loss(up, b, *args) - _loss(down, b, *args)) / (2 * step))
+        slope = (_loss(w, b + step, *args) - _loss(w, b - step, *args)) / (2 * step)
+        w = [x - rate * g for x, g in zip(w, gradient, strict=True)]
+        b -= rate * slope
+    assert _loss(got_w, got_b, *args) <= _loss(w, b, *args) + 1e-3
+    if counterfactual:
+        plain, _ = toxicity.solve(rows, toxic, pairs, shares, size, counterfactual=0.0, steps=3000)
+        assert abs(got_w[0] - got_w[1]) < 0.5 * abs(plain[0] - plain[1])
+
+
+def test_spark_scores_like_plain_loops(spark, documents):
+    data = _sentences(400, 9)
+    docs = documents([(i, t) for i, (t, _) in enumerate(data)] + [(1000, None), (1001, "")])
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(data)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    texts = dict(enumerate(t for t, _ in data)) | {1000: "", 1001: ""}
+    rows = toxicity.report(docs, labels).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        z, seen = model.bias, set()
+        for word in re.findall(r"[^\W\d_]+", texts[r.doc_id].lower()):
+            for name in [word] + [word[:n] + "-" for n in (4, 5, 6) if len(word) > n]:
+                if name not in seen:
+                    seen.add(name)
+                    z += model.weights.get(name, 0.0)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-12)
+        assert r.predicted == int(r.score >= 0.5)
+
+
+def test_the_weight_in_use_spares_neutral_mentions(spark, documents):
+    """With the query's own weight a neutral mention scores the same for each group."""
+    data = _sentences(1500, 5)
+    docs = documents([(i, t) for i, (t, _) in enumerate(data)])
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(data)], "doc_id long, toxic int")
+    plain, used = toxicity.fit(docs, labels, counterfactual=0.0), toxicity.fit(docs, labels)
+    neutral = "waa wab wac muslims wba wbb"
+    swapped = neutral.replace("muslims", "christians")
+    assert abs(used.score(neutral) - used.score(swapped)) < 0.05
+    assert plain.score(neutral) - plain.score(swapped) > 0.4
+    held = [(t, y) for t, y in _sentences(800, 6) if "muslims" in t]
+    wrong = [sum(m.score(t) >= 0.5 for t, y in held if not y) for m in (used, plain)]
+    found = sum(used.score(t) >= 0.5 for t, y in held if y)
+    assert wrong[0] < wrong[1]
+    assert found >= 0.6 * sum(y for _, y in held)
+
+
+def test_added_spans_against_planted_ones(documents):
+    """Precision and recall of what the model adds, and that plain majority does no better."""
+    rng = random.Random(21)
+    pairs, planted = [], {}
+    for i in range(600):
+        number = f"{rng.randint(200, 999)}-555-{rng.randint(1000, 9999)}"
+        private = rng.random() < 0.5
+        before = rng.choice(["Please call ", "my phone: ", "reach me, tel ", "mobile "] if private
+                            else ["order id=", "serial #", "build/", "invoice "])
+        pairs.append((i, f"{before}{number} thanks"))
+        if private:
+            planted[i] = f"phone:{len(before)}:{len(before) + len(number)}"
+    rows = pii.report(documents(pairs)).collect()
+    _check(rows, dict(pairs))
+    added = {r.doc_id: r.spans for r in rows if r.spans}
+    right = sum(added.get(i) == s for i, s in planted.items())
+    assert right / len(planted) >= 0.95 and right / max(len(added), 1) >= 0.95
+    # majority voting over the same candidates finds no more of them, and is right no more often
+    candidates = pii.with_candidates(documents(pairs)).selectExpr(
+        "_doc.doc_id", "inline(filter(_other, c -> c.origin = 'loose'))"
+    ).collect()
+    majority = {c.doc_id: f"{c.kind}:{c.start}:{c.end}" for c in candidates
+                if sum(map(int, c.votes.split(","))) > 0}
+    agree = sum(majority.get(i) == s for i, s in planted.items())
+    assert agree <= right and agree / max(len(majority), 1) <= right / max(len(added), 1)
