@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from strikeline import fixed
 from strikeline.functions.strikes import usable
 from strikeline.operators.instruments import chain_of_expiries, ladder, with_current_expiry
-from strikeline.operators.ordered import Slices, asof_join
+from strikeline.operators.ordered import Slices, asked_keys, asof_join, of_asked
+from strikeline.session import cut_lineage
 from strikeline.sources.quotes import QuoteStore
 
 _LOTS = {tf: m for tf, _, _, m in fixed.TIMEFRAMES if m is not None}
@@ -77,12 +78,15 @@ def with_trade_params(looked_up: DataFrame) -> DataFrame:
 def price_at(rows: DataFrame, quotes: DataFrame | QuoteStore, token: str, ts: str, name: str,
              slices: Slices | None) -> DataFrame:
     """Add the last traded price of ``token`` at ``ts``. ``quotes``: token, ts, ltp, or a
-    store of them, which is read without moving them."""
+    store of them, which is read without moving them. Quotes of tokens that no row names are
+    not moved, unless the rows name very many."""
     if isinstance(quotes, QuoteStore):
         return quotes.price_at(rows, token, ts, name, slices)
     offered = quotes.select(
         F.col("token").alias(token), F.col("ts").alias(ts), F.col("ltp").alias(name)
     )
+    rows = cut_lineage(rows)  # they are read twice
+    offered = of_asked(offered, asked_keys(rows, [token]), [token])
     return asof_join(rows, offered, [token], ts, [name], slices)
 
 

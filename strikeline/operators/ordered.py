@@ -17,10 +17,14 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strikeline.session import cut_lineage
+
 SLICE = "time_slice"
 _AT = "slice_position"
 _SAMPLE_PER_SLICE = 1000
 _SLICES_PER_PARTITION = 4
+#: So many distinct keys are sent to every task.
+_MOST_ASKED = 200_000
 
 
 @dataclass(frozen=True)
@@ -127,6 +131,18 @@ def previous_values(
     )
 
 
+def asked_keys(probes: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """The distinct keys of ``probes``, stored; None if they are too many to be sent to every
+    task. Reads ``probes`` once more."""
+    asked = cut_lineage(probes.select(*keys).dropna().distinct())
+    return asked if asked.count() <= _MOST_ASKED else None
+
+
+def of_asked(rows: DataFrame, asked: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    """``rows`` without those whose keys no probe has, where they lie. The others answer nothing."""
+    return rows if asked is None else rows.join(F.broadcast(asked), [*keys], "left_semi")
+
+
 def asof_join(
     probes: DataFrame,
     quotes: DataFrame,

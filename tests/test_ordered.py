@@ -120,3 +120,20 @@ def test_packed_rows_are_unpacked(spark):
     want = want.select(*got.columns)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
     assert got.select("TA_SIGNAL").distinct().count() >= 6
+
+
+def test_quotes_nobody_asks_for_are_not_moved(spark):
+    from strikeline.operators.decisions import price_at
+
+    start = datetime(2024, 1, 1)
+    quotes = spark.createDataFrame(
+        [(str(i), start, float(i)) for i in range(1000)] + [(None, start, 1.0)],
+        "token string, ts timestamp_ntz, ltp double",
+    )
+    asked = spark.createDataFrame(
+        [(1, "7", start), (2, None, start), (3, "7", None), (4, "none", start), (5, "11", start)],
+        "id int, k string, at timestamp_ntz",
+    )
+    out = price_at(asked, quotes, "k", "at", "price", Slices())
+    assert {r.id: r.price for r in out.collect()} == {1: 7.0, 2: None, 3: None, 4: None, 5: 11.0}
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()

@@ -203,6 +203,58 @@ def test_quotes_are_packed_by_symbol_and_span():
     assert got == {("A", 7): 2, ("A", day + 1): 1, ("B", 6): 1}
 
 
+def test_quotes_of_several_batches_are_packed_together():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict(
+        {"symbol": ["A", "B"], "token": ["1", "2"], "time": [5, 6], "price": [1.0, 2.0]}
+    )
+    rows = [r for b in pack_quotes(iter([batch] * 7)) for r in b.to_pylist()]
+    assert [r["symbol"] for r in rows] == ["A", "B"]
+    assert [pa.ipc.open_stream(r["rows"]).read_all().num_rows for r in rows] == [7, 7]
+
+
+class _Map:
+    """A map state that counts what is written to it."""
+
+    def __init__(self):
+        self.rows, self.written = {}, 0
+
+    def containsKey(self, key):
+        return key in self.rows
+
+    def getValue(self, key):
+        return self.rows.get(key)
+
+    def updateValue(self, key, value):
+        self.rows[key] = value
+        self.written += sum(len(v) for v in value if isinstance(v, bytes))
+
+
+def test_waiting_quotes_are_written_to_state_once():
+    """However many chunks they come in, and not once more for every timeframe."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+    import pyarrow as pa
+
+    from strikeline.streaming.keyed import TradeKeeper
+
+    maps = {}
+    keeper = TradeKeeper(tr.CLOSES)
+    keeper.init(SimpleNamespace(
+        getMapState=lambda name, *_: maps.setdefault(name, _Map()), registerTimer=lambda at: None
+    ))
+    batch = pa.RecordBatch.from_pydict({
+        "symbol": ["A"] * 500, "token": ["1"] * 500, "time": list(range(500)), "price": [1.0] * 500,
+    })
+    [packed] = [r["rows"] for b in pack_quotes(iter([batch])) for r in b.to_pylist()]
+    at = pd.Timestamp("2024-01-01 05:00")
+    chunk = pd.DataFrame({"at": [at], "rows": [packed]})
+    list(keeper.handleInputRows(("A", "1_MIN"), iter([chunk] * 20), None))
+    assert maps["quotes"].written < 25 * len(packed)
+
+
 def test_repeated_signals_are_dropped(spark):
     path = shared_dir(spark)
     schema = "symbol string, tf string, minute timestamp_ntz, n int"
