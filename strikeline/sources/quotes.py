@@ -7,7 +7,8 @@ token and slot, a table that is smaller by the number of quotes in a slot.
 
 A lookup takes the last quote of an earlier slot from the small table and the last one of the
 same slot from the files, which are read where they lie: only rows that ask are shuffled, and
-days outside the asked range are not opened. Appending the same quotes again changes no
+days outside the asked range are not opened. Tokens that nobody asks for are left out of both
+as they are read, unless very many are asked for. Appending the same quotes again changes no
 answer, so a load that died is simply repeated.
 """
 
@@ -15,15 +16,21 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
-from strikeline.operators.ordered import Slices, asof_join
+from strikeline.operators.ordered import Slices, asked_keys, asof_join, of_asked
+from strikeline.session import cut_lineage
 from strikeline.sources import files
 
 _KEYLESS_PARTS = 4096
 _DAY_MINUTES = 1440
+#: Days of one load that a task writes side by side; rows of more days are sorted by day first.
+_OPEN_DAYS = 64
 
 
 class QuoteStore:
@@ -42,7 +49,7 @@ class QuoteStore:
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self._quotes} "
             "(token STRING, slot BIGINT, ts TIMESTAMP_NTZ, ltp DOUBLE, day DATE) USING parquet "
-            "PARTITIONED BY (day) CLUSTERED BY (token, slot) SORTED BY (token, ts) "
+            "PARTITIONED BY (day) CLUSTERED BY (token, slot) "
             f"INTO {int(buckets)} BUCKETS LOCATION '{self._place('quotes')}'"
         )
         spark.sql(
@@ -91,12 +98,19 @@ class QuoteStore:
             "token", self._slot(ts).cast("long").alias("slot"), ts.alias("ts"),
             F.col("ltp").cast("double").alias("ltp"), ts.cast("date").alias("day"),
         )
-        by_bucket = placed.repartition(self.buckets, "token", "slot")
-        by_bucket.sortWithinPartitions("day", "token", "ts").write.insertInto(self._quotes)
-        newest = F.max(F.struct("ts", "ltp")).alias("quote")
-        placed.groupBy("token", "slot").agg(newest).select("token", "quote.*").write.insertInto(
-            self._closes
-        )
+        # one order serves the files, whose days are then written side by side, and the groups
+        by_bucket = placed.repartition(self.buckets, "token", "slot").sortWithinPartitions(
+            "token", "slot", "ts", "ltp"
+        ).persist(StorageLevel.DISK_ONLY)
+        try:
+            with _side_by_side(self.spark, _OPEN_DAYS):
+                by_bucket.write.insertInto(self._quotes)
+            newest = F.max(F.struct("ts", "ltp")).alias("quote")
+            by_bucket.groupBy("token", "slot").agg(newest).select(
+                "token", "quote.*"
+            ).write.insertInto(self._closes)
+        finally:
+            by_bucket.unpersist()
         self._refresh()
 
     def read(self, first_day: str | None = None, last_day: str | None = None) -> DataFrame:
@@ -121,7 +135,12 @@ class QuoteStore:
         ``first_day`` and ``last_day`` say which days ``ts`` lies in, where that is known: quotes
         of other days are not read. A row outside them may then get an older price.
         """
-        closes = self.spark.table(self._closes).toDF(token, ts, name)
+        named = asked_keys(rows.select(F.col(token).alias("token")), ["token"])
+        closes = of_asked(self.spark.table(self._closes), named, ["token"]).select(
+            F.col("token").alias(token), F.col("ts").alias(ts), F.col("ltp").alias(name)
+        )
+        if named is not None:
+            closes = cut_lineage(closes)  # what is left is read several times
         carried = asof_join(rows, closes, [token], ts, [name], slices)
 
         asked = [F.col(token).alias("token"), F.col(ts).cast("timestamp_ntz").alias("ts")]
@@ -129,7 +148,7 @@ class QuoteStore:
             "slot", self._probe_slot()
         )
         # named anew: only then Spark sees that both sides of the union are placed alike
-        stored = self._days(first_day, last_day).select(
+        stored = of_asked(self._days(first_day, last_day), named, ["token"]).select(
             *[F.col(c).alias(c) for c in ("token", "slot", "ts", "ltp")]
         )
         together = stored.unionByName(
@@ -157,6 +176,18 @@ class QuoteStore:
         return F.when(keyless, -1 - spread).otherwise(self._slot(F.col("ts"))).cast("long")
 
 
+@contextmanager
+def _side_by_side(spark: SparkSession, folders: int) -> Iterator[None]:
+    """Within it, a task keeps so many folders open instead of sorting its rows by folder."""
+    setting = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(folders))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def stored_quotes(
     quotes: DataFrame, path: str, buckets: int | None = None, slot_minutes: int = 60
 ) -> QuoteStore:

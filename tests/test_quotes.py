@@ -131,3 +131,28 @@ def test_a_hot_token_lies_in_all_files(spark):
         bucket = re.search(r"_(\d{5})\.", name).group(1)
         by_bucket[bucket] = by_bucket.get(bucket, 0) + n
     assert len(by_bucket) == 4 and max(by_bucket.values()) < len(rows) / 2
+
+
+def test_a_load_reads_its_quotes_once(spark):
+    rows = [("a", _at(t), float(t)) for t in range(0, 300_000, 3000)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        read.add(1)
+        return row
+
+    store = QuoteStore.create(spark, shared_dir(spark), 2)
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    store.append(spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(counted), QUOTE))
+    assert read.value == len(rows)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    assert sorted(map(tuple, store.read().collect())) == rows
+
+
+def test_stored_quotes_nobody_asks_for_are_left_out_as_they_are_read(spark):
+    quotes = [(str(i), 0, float(i)) for i in range(100)]
+    store = stored_quotes(_frame(spark, quotes), shared_dir(spark), 2)
+    asked = _frame(spark, [("7", 60, None), ("none", 60, None)]).drop("ltp")
+    out = store.price_at(asked, "token", "ts", "price")
+    assert {r.token: r.price for r in out.collect()} == {"7": 7.0, "none": None}
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
